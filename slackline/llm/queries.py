@@ -55,7 +55,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filter": f"SELECT page_id, host, path, CASE {case(1)} END AS rule, CASE {case(2)} ELSE 'allow' END AS verdict FROM ({_URL_PARTS})",
         "op2_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-good AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+good AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9),
 reach AS (SELECT vec_id AS s, vec_id AS t FROM v UNION SELECT r.s, l.b FROM reach r JOIN links l ON r.t = l.a)
 SELECT v.vec_id, coalesce(max(c.n), 0)::BIGINT AS n_links, min(r.t) AS component_id, v.vec_id = min(r.t) AS kept
@@ -63,7 +63,7 @@ FROM v JOIN reach r ON r.s = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM li
 GROUP BY v.vec_id""",
         "op6_warc": """
 SELECT page_id, octet_length(coalesce(html, '')::BLOB) AS payload_bytes,
-       array_to_string(list_transform(generate_series(0, 31), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_reduce(list_transform(generate_series(0, 4), k -> (CASE WHEN (strpos('0123456789abcdef', d[((i * 5 + k) // 4) + 1]) - 1) & (8 >> ((i * 5 + k) % 4)) > 0 THEN 1 ELSE 0 END)::INTEGER), (x, y) -> x * 2 + y) + 1, 1)), '') AS payload_digest,
+       array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_reduce(list_transform(generate_series(0, 4), lambda k: (CASE WHEN (strpos('0123456789abcdef', d[((i * 5 + k) // 4) + 1]) - 1) & (8 >> ((i * 5 + k) % 4)) > 0 THEN 1 ELSE 0 END)::INTEGER), lambda x, y: x * 2 + y) + 1, 1)), '') AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM (SELECT page_id, html, sha1(coalesce(html, '')) AS d, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)""",
     }
