@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pstable, url_filter, warc
+from . import langid, packing, pstable, url_filter, warc
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -25,18 +25,28 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), capacity=2048, with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = langid.identify(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return pstable.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_embedding_near_dedup, op6_warc, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_url_filter, op2_embedding_near_dedup, op4_best_fit_packing, op6_warc, op7_language_id, op10_nearest_neighbours)}
 
 
 _URL_PARTS = """
@@ -62,7 +72,7 @@ SELECT v.vec_id, coalesce(max(c.n), 0)::BIGINT AS n_links, min(r.t) AS component
 FROM v JOIN reach r ON r.s = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = v.vec_id
 GROUP BY v.vec_id""",
         "op6_warc": """
-SELECT page_id, octet_length(coalesce(html, '')::BLOB) AS payload_bytes,
+SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
        array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_reduce(list_transform(generate_series(0, 4), lambda k: (CASE WHEN (strpos('0123456789abcdef', d[((i * 5 + k) // 4) + 1]) - 1) & (8 >> ((i * 5 + k) % 4)) > 0 THEN 1 ELSE 0 END)::INTEGER), lambda x, y: x * 2 + y) + 1, 1)), '') AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM (SELECT page_id, html, sha1(coalesce(html, '')) AS d, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)""",

@@ -158,8 +158,9 @@ def judge_urls(df: DataFrame, rules: list[UrlRule], url: str = "url", keep: list
     keep = [c for c in (df.columns if keep is None else keep) if c not in VERDICT.names and c != url]
     names = []
     for p in build(rules, tempfile.mkdtemp(prefix="urls-")):
-        spark.sparkContext.addFile(p)
         names.append(os.path.basename(p))
+        if not os.path.exists(SparkFiles.get(names[-1])):  # names tell the content
+            spark.sparkContext.addFile(p)
 
     def run(batches):
         index = DigestArray(*[SparkFiles.get(n) for n in names])
