@@ -25,6 +25,8 @@ _KIND[ord("0") : ord("9") + 1] = 3
 _KIND[[0x20, *range(9, 14)]] = 4
 _KIND[[ord(c) for c in ".,;:?'\"-()"]] = 5
 N_FEATURES = 14
+#: Groups broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST_GROUPS = 100_000
 
 
 def features(text: str | None) -> np.ndarray:
@@ -127,7 +129,7 @@ def _prob(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def strength(groups: DataFrame, of: str, prior: Column) -> float:
+def strength(groups: DataFrame, prior: Column) -> float:
     """How many documents the prior is worth, by the method of moments over group means: little
     where groups differ more than the noise of their own size explains, much where they don't."""
     m = F.col("s") / F.col("n")
@@ -159,20 +161,43 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_limit: int = 4000, d
     return combined(base)
 
 
-def combined(base: DataFrame) -> DataFrame:
-    """The hierarchy over (doc_id, site, path, log_odds)."""
+def hierarchy(base: DataFrame) -> tuple[DataFrame, float, float]:
+    """(sums of every path with its site's posterior, the global prior, a site posterior's strength
+    for its paths) over (doc_id, site, path, log_odds)."""
     p = _prob(F.col("log_odds"))
     sums = (F.sum(p).alias("s"), F.sum(p * p).alias("q"), F.count("*").alias("n"))
     paths = persisted(base.groupBy("site", "path").agg(*sums), "quality-paths")
     sites = paths.groupBy("site").agg(*(F.sum(c).alias(c) for c in ("s", "q", "n")))
     total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     prior = total["s"] / total["n"] if total["n"] else 0.5
-    k_site = strength(sites, "site", F.lit(prior))
+    k_site = strength(sites, F.lit(prior))
     sites = sites.select("site", ((F.col("s") + k_site * prior) / (F.col("n") + k_site)).alias("site_quality"))
     paths = persisted(paths.join(sites, "site").select(F.col("site").alias("__site"), F.col("path").alias("__path"), "s", "q", "n", "site_quality"), "quality-groups")
-    k_path = strength(paths, "path", F.col("site_quality"))
+    return paths, prior, strength(paths, F.col("site_quality"))
+
+
+def combined(base: DataFrame) -> DataFrame:
+    """The posteriors of (doc_id, site, path, log_odds); a document's own evidence is left out of its path's."""
+    paths, prior, k_path = hierarchy(base)
     rows = base.join(paths, (F.col("site") == F.col("__site")) & (F.col("path") == F.col("__path")))
-    others = (F.col("s") - p + k_path * F.col("site_quality")) / (F.col("n") - 1 + k_path)
+    others = (F.col("s") - _prob(F.col("log_odds")) + k_path * F.col("site_quality")) / (F.col("n") - 1 + k_path)
     rows = rows.select("doc_id", "site", "path", "log_odds", "site_quality", others.alias("path_quality"))
     quality = _prob(F.col("log_odds") + _odds(F.col("path_quality")) - _odds(F.lit(prior)))
     return rows.withColumn("quality", quality).withColumn("keep", F.col("quality") >= 0.5)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, train_limit: int = 4000, doc_id: str = "doc_id", text: str = "text", site: str = "source", path: str = "lang") -> DataFrame:
+    """The rows of docs that score_quality() keeps, with their columns. Texts aren't shuffled: a
+    document's evidence is computed anew beside it, and only the group sums join it."""
+    model = learn(docs, labels, train_limit, doc_id, text, "quality")
+    group = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    log_odds = evidence(docs.sparkSession, model)
+    base = persisted(docs.select(F.lit(0).alias("doc_id"), group(site).alias("site"), group(path).alias("path"), log_odds(F.col(text)).alias("log_odds")), "quality-evidence")
+    paths, prior, k_path = hierarchy(base)
+    paths = paths.select("__site", "__path", F.col("s").alias("__s"), F.col("n").alias("__n"), F.col("site_quality").alias("__q"))
+    rows = docs.withColumn("__log_odds", log_odds(F.col(text))).withColumn("__gs", group(site)).withColumn("__gp", group(path))
+    if paths.count() <= MAX_BROADCAST_GROUPS:
+        paths = F.broadcast(paths)
+    rows = rows.join(paths, (F.col("__gs") == F.col("__site")) & (F.col("__gp") == F.col("__path")))
+    others = (F.col("__s") - _prob(F.col("__log_odds")) + k_path * F.col("__q")) / (F.col("__n") - 1 + k_path)
+    return rows.where(_prob(F.col("__log_odds") + _odds(others) - _odds(F.lit(prior))) >= 0.5).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pstable, url_filter, warc
+from . import jaccard_join, langid, license_scan, mixing, packing, pstable, quality, url_filter, warc
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -25,11 +25,24 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+#: Target weights of the domains of the labels table.
+DOMAIN_TARGETS = {"good": 0.97, "low": 0.02, "toxic": 0.01}
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.quality_domains(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), labelled, DOMAIN_TARGETS)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), capacity=2048, with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,13 +53,35 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return pstable.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+OPERATORS = (
+    op1_url_filter,
+    op2_embedding_near_dedup,
+    op3_source_mixing,
+    op4_best_fit_packing,
+    op5_ngram_jaccard_join,
+    op6_warc,
+    op7_language_id,
+    op8_quality_classifier,
+    op9_license_scan,
+    op10_nearest_neighbours,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_embedding_near_dedup, op4_best_fit_packing, op6_warc, op7_language_id, op10_nearest_neighbours)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 _URL_PARTS = """
