@@ -1,9 +1,79 @@
-STAGES = []
+"""From documents to packed sequences: language, quality, near duplicates, mixture, packing.
+
+Each stage reads what its predecessor wrote, takes its decisions over all of it, and (but for the
+last) returns rows with the columns of documents. All stages keep extra columns, accept null in any
+column and give no rows for no rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from slackline.llm import jaccard_join, langid, mixing, packing, quality
+from slackline.llm._shared import broadcast_if_small, persisted
+from slackline.llm.queries import DOMAIN_TARGETS, table
+
+#: A learned model, scores near half and repeated sampling have no SQL; tests use brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; null texts and those without a letter go."""
+    texts = langid.sample(docs, 3000)
+    predict = langid.predictor(spark, langid.fit(texts) if texts else None)
+    if not texts:  # nothing to learn from: keep what has a letter
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return docs.withColumn("__lang", predict(F.col("text"))).where(F.col("__lang.lang") != langid.UNDETERMINED).select(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior of good quality is at least one half."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each class of near copies; of rows that repeat a doc_id, one.
+
+    Rows without a doc_id stay. What goes is joined away: by broadcast if it is few, else by a shuffle.
+    """
+    classes = persisted(jaccard_join.jaccard_classes(docs), "pipeline-classes")
+    gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__repeated"))
+    gone = persisted(gone, "pipeline-gone")
+    kept = docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
+    repeated = persisted(repeated, "pipeline-repeated")
+    n = repeated.count()
+    if n:
+        few = broadcast_if_small(repeated, n)
+        once = kept.join(few, F.col("doc_id") == F.col("__repeated"), "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(few, F.col("doc_id") == F.col("__repeated"), "left_anti").unionByName(once)
+    return kept
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its fitted rate says, so that the domains meet their target weights."""
+    return mixing.resample(docs, mixing.quality_domains(table(spark, sf_dir, "labels")), DOMAIN_TARGETS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 2048 tokens."""
+    return packing.pack(docs, capacity=2048, with_ids=False)
+
+
+STAGES = [
+    ("language ID", language),
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("mixing to target weights", mixture),
+    ("best-fit packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = persisted(docs, "pipeline-stage")
     return docs
