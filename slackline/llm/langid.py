@@ -41,8 +41,7 @@ class Pieces:
     def load(cls, path: str, extra_letters: str) -> Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())}
-        found = {p for p in found if 0 < len(p) <= PIECE and (rest := p.replace(START, "")) == "" or WORD.fullmatch(rest)}
-        found = {p for p in found if len(p) <= PIECE and START not in p[1:]} | {START, *extra_letters}
+        found = {p for p in found if len(p) <= PIECE and (p == START or WORD.fullmatch(p.removeprefix(START)))} | {START, *extra_letters}
         letters = {c: i + 1 for i, c in enumerate(sorted({c for p in found for c in p})[:1022])}
         found = {p for p in found if all(c in letters for c in p)}
         keys = np.array(sorted({cls.key([letters[c] for c in p]) for p in found}), np.int64)

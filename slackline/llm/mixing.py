@@ -9,6 +9,7 @@ only a vector and a matrix of the domains' number reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -18,11 +19,16 @@ from pyspark.sql import functions as F
 from ._shared import persisted
 
 
+#: Documents' worth of the prior in each feature's counts, and the log likelihood that a feature must gain.
+SMOOTHING = 5.0
+LEAST_GAIN = 10.0
+
+
 @dataclass(frozen=True)
 class DomainModel:
     domains: list[str]
-    prior: list[float]
-    weights: dict[str, list[float]]  # log ratio of each feature by domain
+    base: list[float]  # log weight of a text without any feature
+    weights: dict[str, list[float]]  # what a feature's presence adds, by domain
 
 
 def words_of(text: Column) -> Column:
@@ -52,9 +58,9 @@ def quality_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain")).where("domain is not null")
 
 
-def learn_domains(docs: DataFrame, labelled: DataFrame, train_limit: int = 2000, lexicon: int = 256, doc_id: str = "doc_id", text: str = "text") -> DomainModel | None:
-    """Learn from at most train_limit labelled documents (smallest hashes of their ids); the lexicon most
-    telling features stay. A document with several domains counts for each. None without labels."""
+def learn_domains(docs: DataFrame, labelled: DataFrame, train_limit: int = 4000, lexicon: int = 256, doc_id: str = "doc_id", text: str = "text") -> DomainModel | None:
+    """Learn from at most train_limit labelled documents (smallest hashes of their ids); of the features
+    that tell more than chance would, the lexicon most telling ones stay. A document with several domains counts for each. None without labels."""
     known = labelled.where("doc_id is not null").select(F.col("doc_id").alias("__d"), "domain").distinct().orderBy(F.xxhash64("__d"), "__d", "domain").limit(train_limit)
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(known), F.col("__id") == F.col("__d"))  # train_limit rows at most
     rows = persisted(_features(rows, "__t").select("domain", "__f"), "mixing-sample")
@@ -63,20 +69,23 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, train_limit: int = 2000,
         return None
     domains, total = list(sizes), sum(sizes.values())
     tally = rows.select("domain", F.explode("__f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)])
-    ratio = [F.log((F.col(f"n{i}") + 0.5) / (sizes[d] + 1)) - F.log((F.col("n") + 0.5) / (total + 1)) for i, d in enumerate(domains)]
-    tally = tally.select("f", F.array(*ratio).alias("w"), sum((F.col(f"n{i}") * r for i, r in enumerate(ratio)), F.lit(0.0)).alias("gain"))
-    best = tally.orderBy(F.desc("gain"), "f").limit(lexicon).collect()
-    return DomainModel(domains, [(sizes[d] + 1) / (total + len(domains)) for d in domains], {r["f"]: list(r["w"]) for r in best})
+    prior = [(n + 1) / (total + len(domains)) for n in sizes.values()]
+    ratio = [F.log((F.col(f"n{i}") + SMOOTHING * p) / (F.col("n") + SMOOTHING) / p) for i, p in enumerate(prior)]
+    absent = [F.log1p(-(F.col(f"n{i}") + SMOOTHING * p) / (n + SMOOTHING)) - F.log1p(-(F.col("n") + SMOOTHING) / (total + 2 * SMOOTHING)) for i, (p, n) in enumerate(zip(prior, sizes.values()))]
+    tally = tally.select("f", F.array(*ratio).alias("w"), F.array(*absent).alias("v"), sum((F.col(f"n{i}") * r for i, r in enumerate(ratio)), F.lit(0.0)).alias("gain"))
+    best = tally.where(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "f").limit(lexicon).collect()
+    base = [math.log(p) + sum(r["v"][i] for r in best) for i, p in enumerate(prior)]
+    return DomainModel(domains, base, {r["f"]: [x - y for x, y in zip(r["w"], r["v"])] for r in best})
 
 
 def with_posteriors(df: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:
     """df with __n (tokens) and __p (posteriors in the order of model.domains)."""
     df = _features(df, text)
-    lex = F.array(*[F.lit(f) for f in model.weights])
+    lex = F.array(*[F.lit(f) for f in model.weights]).cast("array<string>")
     table = F.map_from_arrays(lex, F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in model.weights.values()]))
     df = df.withColumn("__hits", F.transform(F.array_intersect("__f", lex), lambda f: F.element_at(table, f)))
     summed = lambda i: lambda a, w: a + w[i]
-    logs = [F.aggregate("__hits", F.log(F.lit(p)), summed(i)) for i, p in enumerate(model.prior)]
+    logs = [F.aggregate("__hits", F.lit(float(b)), summed(i)) for i, b in enumerate(model.base)]
     df = df.withColumn("__l", F.array(*logs)).withColumn("__e", F.transform("__l", lambda x: F.exp(x - F.array_max("__l"))))
     total = F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)
     return df.withColumn("__p", F.transform("__e", lambda x: x / total)).drop("__w", "__u", "__f", "__hits", "__l", "__e")
@@ -157,7 +166,7 @@ def _rated(df: DataFrame, steps: list[list[float]], doc_id: Column) -> DataFrame
     return df.withColumn("__rate", rate_of(steps)).withColumn("__copies", F.floor(F.col("__rate") + draw).cast("int"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], train_limit: int = 2000, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], train_limit: int = 4000, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, n_tokens, p_<domain>..., rate, copies), one row per row of docs.
 
     labelled has (doc_id, domain). Domains are those that occur in the sample of labelled documents;
@@ -175,7 +184,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], trai
     return out.select("doc_id", "source", F.col("__n").alias("n_tokens"), *[F.col("__p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], train_limit: int = 2000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], train_limit: int = 4000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every row as often as its copies say; the cases are those of mix().
 
     The posteriors are computed anew beside the texts, so texts are neither shuffled nor joined.
@@ -186,4 +195,5 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float],
     members = persisted(with_posteriors(docs.select(F.col(text).alias("__text")), model, "__text").drop("__text"), "mixing-members")
     steps = fit_rates(members, wanted)
     out = _rated(with_posteriors(docs, model, text), steps, F.col(doc_id))
-    return out.where("__copies > 0").withColumn("__one", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[out[c] for c in docs.columns])
+    # a filter on __copies, also one inferred from an inner explode, would be pushed below and compute it all twice
+    return out.withColumn("__one", F.explode_outer(F.array_repeat(F.lit(1), F.col("__copies")))).where("__one is not null").select(*docs.columns)
