@@ -28,7 +28,8 @@ def schedule(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) for c in columns})
+    """Columns rounded, and 0 for -0."""
+    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})
 
 
 BASE = f"WITH RECURSIVE {ACT_SQL},\n{LNK_SQL}"

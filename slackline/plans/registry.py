@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("core_queries",)
+MODULES = ("core_queries", "more_queries")
 
 
 def _modules():
