@@ -9,9 +9,13 @@ A pair's m is the smaller one of its two documents.
 The order needs frequencies, not exact ones: any order is correct. They come from one row of a
 count-min sketch of fixed size over all tokens of all documents.
 
+A shared token also tells by its places in the two orders how much can follow it. Of a pair that
+reaches the threshold, each of the first m shared tokens leaves room enough for the rest, so a
+token that doesn't is no evidence for its pair, and pairs are emitted only where it does.
+
 What is wanted is classes of linked documents. Equal sets are one node from the start. Candidates are
-verified in two steps: first one best partner for each document, by which large groups of near
-copies become one class with as many checks as members; then every candidate pair that
+verified in two steps: first one best partner for each document (tried first: the one in whose
+order the shared token stands nearest to the front, as it has the fewest tokens of its own), by which large groups of near copies become one class with as many checks as members; then every candidate pair that
 is not yet in one class. So no link between different classes is missed, and the pairs within a class are
 never listed.
 """
@@ -53,8 +57,8 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix_of(tokens: np.ndarray, sketch: np.ndarray, floor: float, plan: JoinPlan) -> tuple[np.ndarray, np.ndarray, int]:
-    """(tokens of the prefix, the m from which on each belongs to it, the document's m)."""
+def prefix_of(tokens: np.ndarray, sketch: np.ndarray, floor: float, plan: JoinPlan) -> tuple[np.ndarray, int]:
+    """(tokens of the prefix in order, the document's m)."""
     n = len(tokens)
     need = least_overlap(n, plan.percent)
     base = n - need + 1
@@ -66,9 +70,20 @@ def prefix_of(tokens: np.ndarray, sketch: np.ndarray, floor: float, plan: JoinPl
     read = lists[base - 1 : base + most - 1]
     cost = read + plan.verify_cost * n * read / m  # at most read / m documents share m of the tokens
     own = int(np.argmin(cost)) + 1
-    take = base + own - 1
-    level = np.maximum(1, np.arange(take) - base + 2).astype(np.int16)
-    return tokens[order[:take]], level, own
+    return tokens[order[: base + own - 1]], own
+
+
+def level_of(pos: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """The m from which on a place in the order belongs to the prefix."""
+    return np.maximum(1, pos - (n - -(-percent * n // 100)) + 1)
+
+
+def admissible(n: np.ndarray, pos: np.ndarray, m: np.ndarray, n2: np.ndarray, pos2: np.ndarray, m2: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a shared token at these places can be one of the first m of a pair that reaches the threshold."""
+    need = -(-percent * (n + n2) // (100 + percent))
+    least = np.minimum(m, m2)
+    ok = least + np.minimum(n - pos, n2 - pos2) - 1 >= need
+    return ok & (np.maximum(level_of(pos, n, percent), level_of(pos2, n2, percent)) <= least)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -101,11 +116,12 @@ def jaccard_classes(docs: DataFrame, plan: JoinPlan | None = None, doc_id: str =
     only = source.where("doc is not null").join(broadcast_if_small(copies.select("doc").distinct(), copies.count()), "doc", "left_anti")
 
     shared_sketch = spark.sparkContext.broadcast(sketch)
-    postings = only.mapInArrow(lambda it: _postings(it, shared_sketch, plan), "token long, doc long, n int, level short, m short")
-    postings = postings.repartition(n_parts, "token").sortWithinPartitions("token", "n", "doc")
-    postings = persisted(postings.mapInArrow(_shared_only, "token long, doc long, n int, level short, m short, first long"), "jaccard-postings")
+    shape = "token long, doc long, n int, pos int, m short"
+    postings = only.mapInArrow(lambda it: _postings(it, shared_sketch, plan), shape)
+    postings = postings.repartition(n_parts, "token").sortWithinPartitions("token", "pos", "doc")
+    postings = persisted(postings.mapInArrow(_shared_only, shape + ", first struct<doc:long,n:int,pos:int,m:short>"), "jaccard-postings")
 
-    stars = postings.where("doc != first").groupBy("doc", "first").agg(F.count("*").alias("c"))
+    stars = postings.select("doc", "n", "pos", "m", "first").mapInArrow(lambda it: _led(it, plan), "doc long, first long").groupBy("doc", "first").agg(F.count("*").alias("c"))
     stars = stars.groupBy("doc").agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("other"))
     stars = persisted(stars.select(F.col("other").alias("a"), F.col("doc").alias("b")), "jaccard-stars")
     linked = persisted(verified(only, stars, plan), "jaccard-links")
@@ -179,43 +195,55 @@ def _postings(batches, sketch, plan: JoinPlan) -> Iterator[pa.RecordBatch]:
                 np.concatenate([p[0] for p, _, _ in got]).view(np.int64),
                 np.repeat(np.array([d for _, _, d in got], np.int64), size),
                 np.repeat(np.array([n for _, n, _ in got], np.int32), size),
-                np.concatenate([p[1] for p, _, _ in got]),
-                np.repeat(np.array([p[2] for p, _, _ in got], np.int16), size),
+                np.concatenate([np.arange(k, dtype=np.int32) for k in size]),
+                np.repeat(np.array([p[1] for p, _, _ in got], np.int16), size),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "doc", "n", "level", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "doc", "n", "pos", "m"])
+
+
+LEAD = ("doc", "n", "pos", "m")
 
 
 def _shared_only(batches) -> Iterator[pa.RecordBatch]:
-    """Postings of tokens with two documents or more, each with its token's first document. Rows stream: the
-    last one of a batch waits for the next batch."""
-    last, first, first_shared = None, None, False
+    """Postings of tokens with two documents or more, with the token's first posting. Rows stream: a
+    batch waits for the next one's first token."""
+    before, lead, held = None, None, None
 
-    def told(t: pa.Table, tokens: np.ndarray, docs: np.ndarray, after: int | None) -> Iterator[pa.RecordBatch]:
-        nonlocal last, first
+    def kept(b: pa.RecordBatch, after: int | None) -> pa.RecordBatch:
+        nonlocal before, lead
+        tokens = numpy_of(b.column("token"))
         bounds = run_bounds(tokens)
-        lead = np.repeat(docs[bounds[:-1]], np.diff(bounds))
-        if last is not None and tokens[0] == last:
-            lead[: bounds[1]] = first
-        shared = np.zeros(len(tokens), bool)
-        shared[1:] |= tokens[1:] == tokens[:-1]
-        shared[:-1] |= tokens[1:] == tokens[:-1]
-        shared[0] |= last is not None and tokens[0] == last
-        shared[-1] |= after is not None and tokens[-1] == after
-        last, first = int(tokens[-1]), int(lead[-1])
-        keep = pa.array(np.flatnonzero(shared))
-        t = t.append_column("first", pa.array(lead)).take(keep)
-        yield from t.combine_chunks().to_batches()
-
-    held = None
+        same = tokens[1:] == tokens[:-1]
+        shared = np.append(same, after is not None and tokens[-1] == after)
+        shared[1:] |= same
+        cols = []
+        for i, c in enumerate(LEAD):
+            v = numpy_of(b.column(c))[bounds[:-1]].copy()
+            if before is not None and tokens[0] == before:
+                v[0] = lead[i]
+            cols.append(v)
+        shared[0] |= before is not None and tokens[0] == before
+        before, lead = int(tokens[-1]), [int(v[-1]) for v in cols]
+        first = pa.StructArray.from_arrays([pa.array(np.repeat(v, np.diff(bounds))) for v in cols], names=list(LEAD))
+        return pa.RecordBatch.from_arrays([*b.columns, first], names=[*b.schema.names, "first"]).filter(pa.array(shared))
+
     for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        if held is not None:
-            yield from told(held, numpy_of(held["token"]), numpy_of(held["doc"]), int(numpy_of(t["token"])[0]))
-        held = t
+        if b.num_rows:
+            if held is not None:
+                yield kept(held, int(numpy_of(b.column("token"))[0]))
+            held = b
     if held is not None:
-        yield from told(held, numpy_of(held["token"]), numpy_of(held["doc"]), None)
+        yield kept(held, None)
+
+
+def _led(batches, plan: JoinPlan) -> Iterator[pa.RecordBatch]:
+    """(doc, first document of the token) where the token can be evidence for the pair."""
+    for b in batches:
+        first = b.column("first")
+        mine = [numpy_of(b.column(c)).astype(np.int64) for c in LEAD]
+        other = [numpy_of(first.field(i)).astype(np.int64) for i in range(len(LEAD))]
+        ok = (mine[0] != other[0]) & admissible(*mine[1:], *other[1:], plan.percent)
+        yield pa.RecordBatch.from_arrays([pa.array(mine[0][ok]), pa.array(other[0][ok])], names=["doc", "first"])
 
 
 def _across(postings: DataFrame, classes: DataFrame, plan: JoinPlan) -> DataFrame:
@@ -229,8 +257,7 @@ def _across(postings: DataFrame, classes: DataFrame, plan: JoinPlan) -> DataFram
     def pairs(batches):
         for chunk in aligned(batches, keys, 8192):
             key = [numpy_of(chunk[k]) for k in keys]
-            doc, comp, n, level, m, side = (numpy_of(chunk[c]) for c in ("doc", "component", "n", "level", "m", "side"))
-            n = n.astype(np.int64)
+            doc, comp, n, pos, m, side = (numpy_of(chunk[c]).astype(np.int64) for c in ("doc", "component", "n", "pos", "m", "side"))
             bounds = run_bounds(*key)
             for s, e in zip(bounds[:-1], bounds[1:]):
                 if e - s < 2:
@@ -242,12 +269,11 @@ def _across(postings: DataFrame, classes: DataFrame, plan: JoinPlan) -> DataFram
                 ok = (comp[left][:, None] != comp[right][None]) & (doc[left][:, None] != doc[right][None])
                 if inner:
                     ok &= doc[left][:, None] < doc[right][None]
-                ok &= 100 * np.minimum(n[left][:, None], n[right][None]) >= plan.percent * np.maximum(n[left][:, None], n[right][None])
-                ok &= np.maximum(level[left][:, None], level[right][None]) <= np.minimum(m[left][:, None], m[right][None])
+                ok &= admissible(n[left][:, None], pos[left][:, None], m[left][:, None], n[right][None], pos[right][None], m[right][None], plan.percent)
                 i, j = np.nonzero(ok)
                 if len(i):
                     a, b = doc[left[i]], doc[right[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.minimum(m[left[i]], m[right[j]]))], names=["a", "b", "m"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.minimum(m[left[i]], m[right[j]]).astype(np.int16))], names=["a", "b", "m"])
 
     found = rows.mapInArrow(pairs, "a long, b long, m short")
     return found.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("m").alias("m")).where("c >= m").select("a", "b")
