@@ -164,10 +164,10 @@ v2 AS (SELECT *, CASE WHEN p < 1 AND e > 0 AND p < e THEN least(2.0, greatest(1.
 s AS (SELECT project_id, sum(duration) AS bac, sum(duration * share) AS bcws, sum(duration * p) AS bcwp, sum(CASE WHEN p = 0 THEN 0 WHEN actual_cost > 0 THEN actual_cost / cost_rate ELSE duration * p * behind END) AS acwp_hours, sum(CASE WHEN p = 0 THEN 0 WHEN actual_cost > 0 THEN actual_cost ELSE duration * p * behind * cost_rate END) AS acwp_cost FROM v2 GROUP BY 1)"""
 
 
-@query(f"{EV} SELECT project_id, bac, round(bcws, 6) AS bcws, round(bcwp, 6) AS bcwp, round(acwp_hours, 6) AS acwp_hours, round(acwp_cost, 4) AS acwp_cost FROM s")
+@query(f"{EV} SELECT project_id, bac, round(bcws, 6) AS bcws, round(bcwp, 6) AS bcwp, round(acwp_hours, 6) AS acwp_hours, round(acwp_cost, 7) AS acwp_cost FROM s")
 def evm_scalars(spark, sf_dir):
     s = evm.scalars(activities(spark, sf_dir), STATUS_DATE)
-    return rounded(rounded(s, 6, "bcws", "bcwp", "acwp_hours"), 4, "acwp_cost")
+    return rounded(rounded(s, 6, "bcws", "bcwp", "acwp_hours"), 7, "acwp_cost")
 
 
 EVX = f"""{EV}, m AS (SELECT *, CASE WHEN bcws > 0 THEN bcwp / bcws WHEN bcwp <= 0 THEN 1.0 END AS spi, CASE WHEN acwp_hours > 0 THEN bcwp / acwp_hours WHEN bcwp <= 0 THEN 1.0 END AS cpi, 100 * bcwp / bac AS pc FROM s),
