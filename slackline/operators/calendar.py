@@ -57,3 +57,17 @@ def horizon_days(hours: float, hours_per_day: float = 8.0, cap: float | None = N
         return least
     factor = max(6.0, 1.5 * cap) if cap and cap > 0 else 6.0
     return int(min(max(-(-hours / hours_per_day * factor // 1), least), most))
+
+
+def add_days(rows: DataFrame, cal: DataFrame, start: str, hours: str, first_day: str, out: str = "finished", hours_per_day: float = 8.0, back: bool = False) -> DataFrame:
+    """rows with the start moved by whole working days: as many as the hours begin, at the same time of day.
+
+    The other algebra of the two: no rest by the clock, and the start itself need not be a working day.
+    """
+    n = F.ceil(F.col(hours) / hours_per_day).cast("int")
+    d = F.broadcast(cal.select(F.col("day").alias("_d"), F.col("days_before").alias("_b"), F.col("is_working").cast("int").alias("_w")))
+    r = rows.join(d, F.to_date(F.col(start)) == F.col("_d"), "left").withColumn("_k", F.when(F.lit(back), F.col("_b") - n + 1).otherwise(F.col("_b") + F.col("_w") + n))
+    # the k-th working day of the calendar
+    kth = F.broadcast(cal.where("is_working").select((F.col("days_before") + 1).alias("_k"), F.col("day").alias("_to")))
+    r = r.join(kth, "_k", "left")
+    return r.withColumn(out, F.when(F.col(hours) > 0, F.col(start) + F.make_dt_interval(F.datediff("_to", F.to_date(F.col(start))))).otherwise(F.col(start))).drop("_d", "_b", "_w", "_k", "_to")

@@ -134,3 +134,47 @@ def earned_schedule(acts: DataFrame, status: str) -> DataFrame:
     out = out.withColumn("spi_t", spi_t).withColumn("spi_t_model", model)
     teac = F.when(F.col("pd") > 0, F.greatest(F.col("at"), F.col("pd") / F.col("spi_t_model"))).otherwise(0.0)
     return out.select("project_id", "es", "at", "pd", "spi_t", "spi_t_model", teac.alias("teac_days"))
+
+
+def earned_at(rows: DataFrame, status: str) -> DataFrame:
+    """Earned hours of each activity at a day (columns duration, pct, dates and day), by what is known of it.
+
+    Finished work counts wholly from its finish, and linearly by days before it; started work rises to its percentage
+    at the status date; progress without dates follows the plan up to its percentage; work after the status date
+    follows predicted dates. Days are calendar days; a window has one day at least.
+    """
+    at, h, p = F.to_timestamp_ntz(F.lit(status)), F.col("duration"), F.col("pct") / 100
+    day, a0, a1 = F.col("day"), F.col("actual_start"), F.col("actual_finish")
+    share = lambda frm, to: F.least(F.lit(1.0), F.greatest(F.lit(0), F.datediff(day, frm)) / F.greatest(F.lit(1), F.datediff(to, frm)))
+    started = F.when(a1.isNotNull(), h * share(a0, a1)).when(p > 0, h * p * share(a0, at)).otherwise(0.0)
+    planned = F.when(F.col("finish") <= day, h * p).when(F.col("start") <= day, h * F.least(share(F.col("start"), F.col("finish")), p)).otherwise(0.0)
+    ps, pe = F.coalesce("predicted_start", "start"), F.col("predicted_end")
+    ahead = F.when(pe <= day, h).when((ps <= day) & (day < pe), h * share(ps, pe)).otherwise(0.0)
+    value = F.when(a1 <= day, h).when(a0 <= day, started).when((p > 0) & (day <= at), planned).when(day > at, ahead).otherwise(0.0)
+    return rows.withColumn("earned", value)
+
+
+def earned_curve(acts: DataFrame, dates: DataFrame, status: str) -> DataFrame:
+    """Earned hours of each project at each of its dates (project_id, day), never falling.
+
+    Activities meet only their own project's dates, in a join by project.
+    """
+    rows = earned_at(acts.join(dates, "project_id"), status)
+    w = Window.partitionBy("project_id").orderBy("day")
+    return rows.groupBy("project_id", "day").agg(F.sum("earned").alias("e")).select("project_id", "day", F.max("e").over(w).alias("earned"))
+
+
+def initial_predictions(acts: DataFrame, status: str) -> DataFrame:
+    """predicted_hours and predicted_start of each activity, before any propagation (columns performance_delta, slip_days).
+
+    Finished work keeps its dates; work in progress takes its remaining hours times the performance;
+    what hasn't begun starts at its date or the status date, moved on by the slip.
+    """
+    at, h, p = F.to_timestamp_ntz(F.lit(status)), F.col("duration"), F.col("pct") / 100
+    k = F.greatest(F.col("performance_delta"), F.lit(0.0))
+    done = F.col("actual_start").isNotNull() & F.col("actual_finish").isNotNull()
+    going = F.col("actual_start").isNotNull() & (p > 0) & (p < 1)
+    hours = F.when(done, h).when(p >= 1, h).when(going, h * p + h * (1 - p) * k).otherwise(h * k)
+    shifted = F.greatest("start", at) + F.make_dt_interval(F.col("slip_days"))
+    start = F.when(done | going, F.col("actual_start")).when(p >= 1, F.col("start")).otherwise(shifted)
+    return acts.withColumn("predicted_hours", hours).withColumn("predicted_start", start)

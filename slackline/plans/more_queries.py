@@ -55,8 +55,8 @@ def sector_overruns(spark, sf_dir):
 
 CAL_DAY, CAL_DAYS, HOLIDAYS = "1995-01-01", 3650, ("1995-07-04", "1996-01-01", "1997-12-25", "1998-01-01", "1999-05-03")
 CAL_SQL = f"""dy AS (SELECT i::INTEGER AS day_idx, (DATE '{CAL_DAY}' + i::INTEGER) AS day FROM range({CAL_DAYS}) t(i)),
-dw AS (SELECT *, isodow(day) <= 5 AS is_weekday, isodow(day) <= 5 AND day NOT IN ({', '.join(f"DATE '{h}'" for h in HOLIDAYS)}) AS is_working FROM dy),
-cal AS (SELECT *, (coalesce(sum(is_working::INT) OVER (ORDER BY day_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS days_before, coalesce(min(CASE WHEN is_weekday THEN day_idx END) OVER f, {CAL_DAYS - 1}) AS next_weekday, coalesce(min(CASE WHEN is_working THEN day_idx END) OVER f, {CAL_DAYS - 1}) AS next_working FROM dw WINDOW f AS (ORDER BY day_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+wk AS (SELECT *, isodow(day) <= 5 AS is_weekday, isodow(day) <= 5 AND day NOT IN ({', '.join(f"DATE '{h}'" for h in HOLIDAYS)}) AS is_working FROM dy),
+cal AS (SELECT *, (coalesce(sum(is_working::INT) OVER (ORDER BY day_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS days_before, coalesce(min(CASE WHEN is_weekday THEN day_idx END) OVER f, {CAL_DAYS - 1}) AS next_weekday, coalesce(min(CASE WHEN is_working THEN day_idx END) OVER f, {CAL_DAYS - 1}) AS next_working FROM wk WINDOW f AS (ORDER BY day_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
 def work_calendar(spark) -> DataFrame:
