@@ -58,6 +58,20 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_IDS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def hash_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """About limit rows, at most: those with the smallest hashes of key, the same at every partitioning.
+
+    A first count of the rows gives a bound on the hash that about one and a half times limit rows pass, so
+    what the tasks hand on doesn't grow with their number.
+    """
+    n = df.count()
+    h = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
+    if n > limit:
+        share = min(1.0, (1.5 * limit + 100) / n)
+        df = df.where(h <= F.lit(min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))))
+    return df.orderBy(h, key).limit(limit)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -101,6 +115,21 @@ def aligned(batches: Iterable[pa.RecordBatch], keys: list[str], least_rows: int
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows of an Arrow batch in this session from now on: rows hold whole texts, and a batch is
+    held several times over by executor and worker. (A lazy result needs the setting when it runs.)"""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what a kernel makes of whole texts stays small beside them."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def last_run_start(t: pa.Table, keys: list[str]) -> int:
     same = np.ones(t.num_rows, bool)
     for k in keys:

@@ -20,6 +20,8 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import hash_sample, small_batches
+
 VOCABULARY = "piece_bpe_32k.model"
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -179,11 +181,10 @@ def fit(texts: list[tuple[str, str]], vocabulary: str | None = None, rounds: int
 
 
 def sample(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """At most limit labelled texts whose crc32 of the id as text leaves no remainder of 1 by 3,
-    those with the smallest hashes of their ids, so the same at every partitioning."""
-    rows = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id).alias("h"), F.col(doc_id).alias("d"))
-    return [(r["text"], r["lang"]) for r in rows.orderBy("h", "d", "text").limit(limit).collect()]
+    """At most limit labelled texts whose crc32 of the id as text leaves no remainder of 1 by 3."""
+    rows = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull())
+    rows = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("id"))
+    return [(r["text"], r["lang"]) for r in hash_sample(rows, "id", limit).collect() if r["text"] is not None]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -192,6 +193,7 @@ def held_out(doc_id: Column) -> Column:
 
 def predictor(spark, model: LanguageModel | None, min_letters: int = 1):
     """A column function from text to struct(lang, score)."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -200,28 +202,32 @@ def predictor(spark, model: LanguageModel | None, min_letters: int = 1):
         known: dict[str, int] = {}
         scores = np.zeros((0, len(m.langs) if m else 0))
         for texts in batches:
-            if len(known) > 400_000:
-                known, scores = {}, scores[:0]
-            places, new, bounds = [], [], [0]
-            for t in texts:
-                for w in WORD.findall(t.lower()) if t else ():
-                    k = known.get(w)
-                    if k is None:
-                        k = known[w] = len(known)
-                        new.append(w)
-                    places.append(k)
-                bounds.append(len(places))
-            if m is None:
-                yield pd.DataFrame({"lang": [UNDETERMINED] * len(texts), "score": 0.0})
-                continue
-            if new:
-                scores = np.concatenate([scores, m.word_scores(new)])
-            total = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores[np.array(places, np.int64)], axis=0)])
-            doc = np.diff(total[np.array(bounds)], axis=0) + np.log(m.prior)
-            doc = np.exp(doc - doc.max(1, keepdims=True)) if len(doc) else doc
-            doc /= doc.sum(1, keepdims=True)
-            best, some = doc.argmax(1), np.diff(bounds) > 0
-            yield pd.DataFrame({"lang": np.where(some, np.array(m.langs, object)[best], UNDETERMINED), "score": np.where(some, doc.max(1), 0.0)})
+            parts = []
+            for first in range(0, len(texts), 256):  # few at once: a row of doubles for each word of them
+                part = texts.iloc[first : first + 256]
+                if m is None:
+                    parts.append(pd.DataFrame({"lang": [UNDETERMINED] * len(part), "score": 0.0}))
+                    continue
+                if len(known) > 200_000:
+                    known, scores = {}, scores[:0]
+                places, new, bounds = [], [], [0]
+                for t in part:
+                    for w in WORD.findall(t.lower()) if t else ():
+                        k = known.get(w)
+                        if k is None:
+                            k = known[w] = len(known)
+                            new.append(w)
+                        places.append(k)
+                    bounds.append(len(places))
+                if new:
+                    scores = np.concatenate([scores, m.word_scores(new)])
+                total = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores[np.array(places, np.int64)], axis=0)])
+                doc = np.diff(total[np.array(bounds)], axis=0) + np.log(m.prior)
+                doc = np.exp(doc - doc.max(1, keepdims=True))
+                doc /= doc.sum(1, keepdims=True)
+                best, some = doc.argmax(1), np.diff(bounds) > 0
+                parts.append(pd.DataFrame({"lang": np.where(some, np.array(m.langs, object)[best], UNDETERMINED), "score": np.where(some, doc.max(1), 0.0)}))
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang": [], "score": []}).astype({"lang": object})
 
     return predict
 

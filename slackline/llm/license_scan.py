@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import CHUNK, WordHasher
-from ._shared import binaries
+from ._shared import binaries, small_batches
 
 #: All ASCII but letters and digits (after A-Z is lower-cased).
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -164,6 +164,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     rows. Only the two named columns are read. Two narrow passes over the texts: one counts the template
     words' document frequencies (one row for each task and word), one scans.
     """
+    small_batches(docs.sparkSession)
     known = templates(notices)
     vocabulary = np.unique(np.concatenate([t.hashes for t in known]))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

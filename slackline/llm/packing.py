@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import persisted
+from ._shared import persisted, small_batches
 
 #: The byte-level BPE vocabulary as ranks: the same ids as byte_bpe_50k.json gives, several times faster.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -128,6 +128,7 @@ def tokenized(docs: DataFrame, vocabulary: str, capacity: int, doc_id: str, text
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "task", "place"])
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task int, place long")
 
