@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slackline.plans.grouped import graph_apply
@@ -41,8 +42,6 @@ def recurring(paths: DataFrame, shortest: int = 3, longest: int = 4, support: in
 
 def overlaps(paths: DataFrame, most: int = 64) -> DataFrame:
     """Jaccard overlap of the links of each pair of a project's longest paths (most of them)."""
-    from pyspark.sql import Window
-
     edges = F.expr("transform(sequence(1, greatest(1, size(n) - 1)), i -> concat(get(n, i - 1), '>', coalesce(get(n, i), '')))")
     rows = paths.withColumn("n", F.split("path", ">")).withColumn("edges", edges)
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("duration"), "path"))).where(F.col("k") <= most).select("project_id", "k", "edges")
@@ -51,6 +50,71 @@ def overlaps(paths: DataFrame, most: int = 64) -> DataFrame:
     return pairs.select("project_id", "k", "k2", (F.size(F.array_intersect("edges", "e2")) / F.size(F.array_union("edges", "e2"))).alias("jaccard"))
 
 
+def driving_chains(acts: DataFrame, links: DataFrame, tolerance: float = 1e-6, most: int = 80, shown: int = 15, novelty: float = 0.25) -> DataFrame:
+    """(project_id, chain, hours, selected): chains of driving predecessors back from the activity that ends last.
+
+    A predecessor drives if it comes within the tolerance of fixing the early start. The most driving ones are
+    followed first, up to most chains of a project; of those, from the longest on, a chain is selected if its
+    activities overlap with every selected one's by 1 - novelty at most (shown of them).
+    """
+
+    def kernel(a, e):
+        a, e, _ = passes(a, e)
+        d, es = a.duration.fillna(0).to_numpy(float), a.es.to_numpy()
+        src, dst = e.src.to_numpy(int), e.dst.to_numpy(int)
+        value = es[src] + e.w.to_numpy()
+        top = np.full(len(a), -np.inf)
+        np.maximum.at(top, dst, value)
+        delta = top[dst] - value
+        use = np.flatnonzero(delta <= tolerance)
+        use = use[np.lexsort((src[use], delta[use], dst[use]))]
+        back: dict[int, list[int]] = {}
+        for k in use.tolist():
+            if int(src[k]) not in back.setdefault(int(dst[k]), []):
+                back[int(dst[k])].append(int(src[k]))
+        p = a.p.to_numpy()
+        order = np.lexsort((a.seq.to_numpy(), -a.ef.to_numpy(), p))
+        ends = order[np.unique(p[order], return_index=True)[1]]
+        ids, projects = a.id.to_numpy(object), a.project_id.to_numpy()
+        rows = []
+        for end in ends.tolist():
+            chains, stack = [], [(end,)]
+            while stack and len(chains) < most:
+                c = stack.pop()
+                before = back.get(c[-1])
+                if before:
+                    stack += [(*c, x) for x in reversed(before) if x not in c]
+                else:
+                    chains.append(c[::-1])
+            hours = [float(sum(d[list(c)])) for c in chains]
+            picked: list[set] = []
+            chosen = set()
+            for i in sorted(range(len(chains)), key=lambda i: -hours[i]):
+                s = set(chains[i])
+                if len(picked) < shown and all(len(s & t) / len(s | t) <= 1 - novelty for t in picked):
+                    picked.append(s)
+                    chosen.add(i)
+            rows += [(projects[end], ">".join(ids[list(c)]), hours[i], i in chosen) for i, c in enumerate(chains)]
+        return pd.DataFrame(rows, columns=["project_id", "chain", "hours", "selected"])
+
+    return graph_apply(acts, links, kernel, "project_id long, chain string, hours double, selected boolean", ["seq", "duration"])
+
+
+def diverse(paths: DataFrame, most: int = 20, per_branch: int = 5, depth: int = 2) -> DataFrame:
+    """At most `most` paths of each project: the longest of each branch, different midpoints first.
+
+    Within a branch the longest path of each midpoint comes before second ones; branches take turns by their
+    own order, so a project's quota is spread over them. Ranks are windows over a project's paths.
+    """
+    s = signatures(paths, depth)
+    long = lambda *by: Window.partitionBy("project_id", *by).orderBy(F.desc("duration"), "path")
+    s = s.withColumn("again", F.row_number().over(long("branch", "midpoint")))
+    turn = Window.partitionBy("project_id", "branch").orderBy("again", F.desc("duration"), "path")
+    s = s.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= per_branch)
+    order = Window.partitionBy("project_id").orderBy("turn", F.desc("duration"), "path")
+    return s.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("project_id", "path", "duration", "branch", "midpoint", "place")
+
+
 def cascade(acts: DataFrame, links: DataFrame, hours: float, first: int = 1) -> DataFrame:
     """How much later each activity starts if activity number `first` of its project slips, and whether its float absorbs that."""
 

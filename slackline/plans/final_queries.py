@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slackline.functions import stats
-from slackline.operators import calendar, ensemble, evm, montecarlo, solver
-from slackline.plans.core_queries import DW, rounded, schedule
+from slackline.operators import calendar, community, cpm, ensemble, evm, montecarlo, paths, solver
+from slackline.plans.core_queries import DW, PASSES, rounded, schedule
+from slackline.plans.extra_queries import PATH_CTE
 from slackline.plans.more_queries import CAL_DAY, CAL_SQL, MC, SAMPLES, work_calendar
 from slackline.sources.star import ACT_SQL, STATUS_DATE, activities
 
@@ -109,3 +110,45 @@ def group_health(spark, sf_dir):
     g = activities(spark, sf_dir).groupBy("project_id", "task_type")
     out = g.agg(F.count("*").alias("n"), F.avg("risk").alias("mean_risk"), F.max("risk").alias("max_risk"), (F.sum(F.col("pct") * F.col("duration")) / F.sum("duration")).alias("progress"), F.count_if(F.col("pct") >= 100).alias("finished"), F.count_if((F.col("pct") > 0) & (F.col("pct") < 100)).alias("running"))
     return rounded(rounded(out, 8, "mean_risk", "max_risk"), 6, "progress")
+
+
+@query(
+    f"""{PASSES}, c AS (SELECT l.*, e.es + l.w AS c, max(e.es + l.w) OVER (PARTITION BY l.project_id, l.dst) AS top FROM lnk l JOIN early e ON e.project_id = l.project_id AND e.seq = l.src), dr AS (SELECT project_id, src, dst FROM c WHERE top - c <= 1e-6),
+en AS (SELECT project_id, arg_min(seq, (-ef, seq)) AS seq FROM dates GROUP BY 1), ch AS (SELECT a.project_id, a.seq, a.id AS chain, a.duration AS hours FROM en JOIN act a USING (project_id, seq) UNION ALL SELECT h.project_id, d.src, a.id || '>' || h.chain, h.hours + a.duration FROM ch h JOIN dr d ON d.project_id = h.project_id AND d.dst = h.seq JOIN act a ON a.project_id = d.project_id AND a.seq = d.src)
+SELECT project_id, chain, hours FROM ch WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.project_id = ch.project_id AND dr.dst = ch.seq)"""
+)
+def driving_chains(spark, sf_dir):
+    return paths.driving_chains(*schedule(spark, sf_dir)).drop("selected")
+
+
+@query()
+def novel_chains(spark, sf_dir):
+    return paths.driving_chains(*schedule(spark, sf_dir)).where("selected").drop("selected")
+
+
+@query(
+    f"""{PATH_CTE}, sg AS (SELECT project_id, path, duration, array_to_string(x[1:2], '>') AS branch, array_to_string(x[greatest(1, len(x) // 2):greatest(1, len(x) // 2) + 1], '>') AS midpoint FROM (SELECT *, string_split(path, '>') AS x FROM pt)),
+ag AS (SELECT *, row_number() OVER (PARTITION BY project_id, branch, midpoint ORDER BY duration DESC, path) AS again FROM sg), tn AS (SELECT *, row_number() OVER (PARTITION BY project_id, branch ORDER BY again, duration DESC, path) AS turn FROM ag),
+pl AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY turn, duration DESC, path) AS place FROM tn WHERE turn <= 5) SELECT project_id, path, duration, branch, midpoint, place FROM pl WHERE place <= 20"""
+)
+def diverse_paths(spark, sf_dir):
+    return paths.diverse(cpm.path_durations(*schedule(spark, sf_dir)))
+
+
+def by(spark, sf_dir, column: str) -> DataFrame:
+    return activities(spark, sf_dir).select("project_id", "id", F.col(column).alias("community"))
+
+
+@query(f"WITH {ACT_SQL}, k AS (SELECT project_id, resources AS child, task_type AS parent, count(*) AS k FROM act GROUP BY ALL), n AS (SELECT project_id, child, sum(k) AS n FROM k GROUP BY 1, 2) SELECT project_id, parent, child, round_even(k / n, 3) AS overlap FROM k JOIN n USING (project_id, child) WHERE k / n >= 0.7")
+def community_hierarchy(spark, sf_dir):
+    return community.hierarchy(by(spark, sf_dir, "task_type"), by(spark, sf_dir, "resources"))
+
+
+@query(f"WITH {ACT_SQL}, g AS (SELECT project_id, resources FROM act GROUP BY 1, 2 HAVING count(*) >= 2 AND min(task_type) = max(task_type) AND min(resource_count) = max(resource_count)) SELECT project_id, resources AS community, id FROM act JOIN g USING (project_id, resources)")
+def stable_cores(spark, sf_dir):
+    return community.stable_cores(by(spark, sf_dir, "resources"), [by(spark, sf_dir, "task_type"), by(spark, sf_dir, "resource_count")])
+
+
+@query()
+def multi_resolution(spark, sf_dir):
+    return community.multi_resolution(*schedule(spark, sf_dir))
