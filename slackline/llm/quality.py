@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import persisted
+from ._shared import hash_sample, persisted, small_batches
 
 _KIND = np.zeros(256, np.uint8)  # 0 other, 1 letter, 2 capital, 3 digit, 4 blank, 5 sentence mark
 _KIND[ord("a") : ord("z") + 1] = 1
@@ -95,8 +95,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_limit: int, doc_id: str, tex
 
     Of a document with several labels the least counts. None without both kinds of label.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("__d"), F.col(label).cast("double").alias("__y")).where(F.col("__d").isNotNull() & F.col("__y").isNotNull())
-    known = known.groupBy("__d").agg(F.min("__y").alias("__y")).orderBy(F.xxhash64("__d"), "__d").limit(train_limit)
+    known = hash_sample(known.groupBy("__d").agg(F.min("__y").alias("__y")), "__d", train_limit)
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), F.col("__id") == F.col("__d"))  # train_limit rows at most
     got = rows.select(style("__text").alias("x"), "__y", "__id").orderBy("__id").limit(2 * train_limit).collect()
     y = np.array([r["__y"] > 0 for r in got], float)
