@@ -131,23 +131,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     found = persisted(raw.select("path", "content").mapInArrow(run, CANDIDATES), "warc-candidates")
     on_chain = reachable(found.select("file", "offset", "successor"))
-    return found.join(on_chain, ["file", "offset"], "left_semi").drop("successor", "first")
+    return found.join(on_chain.hint("merge"), ["file", "offset"], "left_semi").drop("successor", "first")
 
 
 def reachable(links: DataFrame) -> DataFrame:
     """(file, offset) of what can be reached from offset 0 by successor links, by pointer jumping.
 
     Round k holds each candidate's 2**k-th successor and what lies within 2**k steps of the start;
-    it ends when no pointer leads to a candidate any more. Join keys are unique on one side.
+    it ends when no pointer leads to a candidate any more. Join keys are unique on one side. The joins
+    are merges: file names compress so well that a broadcast judged by file size could be large.
     """
     jump = links.select("file", F.col("offset").alias("at"), F.col("successor").alias("to"))
-    jump = persisted(jump.join(jump.select("file", F.col("at").alias("to")), ["file", "to"], "left_semi").select("file", "at", "to"), "warc-jumps")
+    jump = persisted(jump.join(jump.select("file", F.col("at").alias("to")).hint("merge"), ["file", "to"], "left_semi").select("file", "at", "to"), "warc-jumps")
     reach = persisted(links.where("offset = 0").select("file", "offset"), "warc-reach")
     while not jump.isEmpty():
-        further = reach.join(jump, (reach["file"] == jump["file"]) & (reach["offset"] == jump["at"])).select(reach["file"], F.col("to").alias("offset"))
+        further = reach.join(jump.hint("merge"), (reach["file"] == jump["file"]) & (reach["offset"] == jump["at"])).select(reach["file"], F.col("to").alias("offset"))
         new = persisted(reach.unionByName(further), "warc-reach")
         second = jump.select("file", F.col("at").alias("to"), F.col("to").alias("then"))
-        longer = persisted(jump.join(second, ["file", "to"]).select("file", "at", F.col("then").alias("to")), "warc-jumps")
+        longer = persisted(jump.join(second.hint("merge"), ["file", "to"]).select("file", "at", F.col("then").alias("to")), "warc-jumps")
         dropped(reach, jump)
         reach, jump = new, longer
     return reach
