@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import WordHasher, mixed, shingle_sets
-from ._shared import aligned, binaries, block_pairs, broadcast_if_small, dropped, numpy_of, persisted, run_bounds, shuffle_partitions
+from ._shared import aligned, binaries, block_pairs, broadcast_if_small, numpy_of, persisted, run_bounds, shuffle_partitions, sliced, small_batches
 from .components import components
 
 
@@ -106,6 +106,7 @@ def jaccard_classes(docs: DataFrame, plan: JoinPlan | None = None, doc_id: str =
     plan = plan or JoinPlan()
     spark = docs.sparkSession
     n_parts = shuffle_partitions(spark)
+    small_batches(spark)
     source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     seen = persisted(source.mapInArrow(lambda it: _fingerprints(it, plan), "doc long, n int, f1 long, f2 long, part int, counts binary"), "jaccard-sets")
     sets = seen.where("part is null").select("doc", "n", "f1", "f2")
@@ -141,7 +142,7 @@ def _fingerprints(batches, plan: JoinPlan) -> Iterator[pa.RecordBatch]:
     """A row for each document (size and 128-bit fingerprint of its set), and the task's sketch in parts."""
     names = ["doc", "n", "f1", "f2", "part", "counts"]
     hasher, sketch = WordHasher(), np.zeros(plan.cells, np.int64)
-    for b in batches:
+    for b in sliced(batches):
         sets = shingle_sets(binaries(b.column("text")), plan.width, hasher)
         size = np.array([len(s) for s in sets], np.int32)
         flat = np.concatenate([*sets, np.zeros(1, np.uint64)])
@@ -183,22 +184,21 @@ def _merged(seen: DataFrame, plan: JoinPlan) -> np.ndarray:
 def _postings(batches, sketch, plan: JoinPlan) -> Iterator[pa.RecordBatch]:
     hasher, counts = WordHasher(), sketch.value
     floor = float(np.median(counts))  # what a cell holds of other tokens
-    for b in batches:
+    for b in sliced(batches):
         docs = numpy_of(b.column("doc"))
         sets = shingle_sets(binaries(b.column("text")), plan.width, hasher)
-        for i in range(0, len(sets), 512):
-            got = [(prefix_of(s, counts, floor, plan), len(s), d) for s, d in zip(sets[i : i + 512], docs[i : i + 512]) if len(s)]
-            if not got:
-                continue
-            size = [len(p[0]) for p, _, _ in got]
-            cols = [
-                np.concatenate([p[0] for p, _, _ in got]).view(np.int64),
-                np.repeat(np.array([d for _, _, d in got], np.int64), size),
-                np.repeat(np.array([n for _, n, _ in got], np.int32), size),
-                np.concatenate([np.arange(k, dtype=np.int32) for k in size]),
-                np.repeat(np.array([p[1] for p, _, _ in got], np.int16), size),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "doc", "n", "pos", "m"])
+        got = [(prefix_of(s, counts, floor, plan), len(s), d) for s, d in zip(sets, docs) if len(s)]
+        if not got:
+            continue
+        size = [len(p[0]) for p, _, _ in got]
+        cols = [
+            np.concatenate([p[0] for p, _, _ in got]).view(np.int64),
+            np.repeat(np.array([d for _, _, d in got], np.int64), size),
+            np.repeat(np.array([n for _, n, _ in got], np.int32), size),
+            np.concatenate([np.arange(k, dtype=np.int32) for k in size]),
+            np.repeat(np.array([p[1] for p, _, _ in got], np.int16), size),
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "doc", "n", "pos", "m"])
 
 
 LEAD = ("doc", "n", "pos", "m")
@@ -297,17 +297,15 @@ def verified(docs: DataFrame, pairs: DataFrame, plan: JoinPlan) -> DataFrame:
 
     def checked(batches):
         hasher, at, lead = WordHasher(), None, None
-        for b in batches:
+        for b in sliced(batches):
             keys = list(zip(b.column("a").to_pylist(), b.column("blk").to_pylist()))
             docs_, roles = b.column("doc").to_pylist(), b.column("role").to_pylist()
             out = []
-            for first in range(0, b.num_rows, 256):
-                sets = shingle_sets(binaries(b.column("text").slice(first, 256)), plan.width, hasher)
-                for i, s in enumerate(sets, first):
-                    if roles[i] == 0:
-                        at, lead = keys[i], (s if at != keys[i] else lead)
-                    elif at == keys[i] and similar(lead, s, plan.percent):
-                        out.append((keys[i][0], docs_[i]))
+            for i, s in enumerate(shingle_sets(binaries(b.column("text")), plan.width, hasher)):
+                if roles[i] == 0:
+                    at, lead = keys[i], (s if at != keys[i] else lead)
+                elif at == keys[i] and similar(lead, s, plan.percent):
+                    out.append((keys[i][0], docs_[i]))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(checked, "a long, b long")
