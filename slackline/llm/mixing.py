@@ -82,7 +82,8 @@ def with_posteriors(df: DataFrame, model: DomainModel, text: str = "text") -> Da
     """df with __n (tokens) and __p (posteriors in the order of model.domains)."""
     df = _features(df, text)
     lex = F.array(*[F.lit(f) for f in model.weights]).cast("array<string>")
-    table = F.map_from_arrays(lex, F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in model.weights.values()]))
+    # the casts give an empty lexicon its types
+    table = F.map_from_arrays(lex, F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in model.weights.values()]).cast("array<array<double>>"))
     df = df.withColumn("__hits", F.transform(F.array_intersect("__f", lex), lambda f: F.element_at(table, f)))
     summed = lambda i: lambda a, w: a + w[i]
     logs = [F.aggregate("__hits", F.lit(float(b)), summed(i)) for i, b in enumerate(model.base)]

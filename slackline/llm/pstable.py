@@ -235,7 +235,7 @@ class SearchPlan:
     projections: int = 8
     tables: int = 2
     width: float = 2.5
-    visit: float = 0.5
+    visit: float = 0.7
     block_rows: int = 16384
     query_rows: int = 4096
 
