@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slackline.functions import stats
-from slackline.operators import calendar, community, cpm, ensemble, evm, montecarlo, paths, solver
+from slackline.operators import calendar, community, cpm, ensemble, evm, montecarlo, paths, sanitise, solver
 from slackline.plans.core_queries import DW, PASSES, rounded, schedule
 from slackline.plans.extra_queries import PATH_CTE
 from slackline.plans.more_queries import CAL_DAY, CAL_SQL, MC, SAMPLES, work_calendar
@@ -152,3 +152,12 @@ def stable_cores(spark, sf_dir):
 @query()
 def multi_resolution(spark, sf_dir):
     return community.multi_resolution(*schedule(spark, sf_dir))
+
+
+@query()
+def sanitised_links(spark, sf_dir):
+    """The derived links with one that leads back from each third activity to its project's first; milestones are the first and the last."""
+    a, e = schedule(spark, sf_dir)
+    back = a.where("seq = 3").select("project_id", F.col("id").alias("source"), F.concat_ws("-", F.col("project_id"), F.lit(1)).alias("target"), F.lit("FS").alias("rel"), F.lit(0.0).alias("lag"), F.lit(3).alias("ord"))
+    marked = a.withColumn("milestone", (F.col("seq") == 1) | (F.col("duration") >= 45))
+    return sanitise.sanitised(marked, e.unionByName(back))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slackline.functions import reference_classes, stats, units
 from slackline.functions.order_stats import index_percentiles
-from slackline.operators import calendar, community, cpm, evm, health, montecarlo, outcomes, solver
+from slackline.operators import calendar, community, cpm, ensemble, evm, health, montecarlo, outcomes, paths, sanitise, solver
 from slackline.streaming import progress
 
 ACT = "project_id long, id string, seq int, duration double"
@@ -188,3 +188,36 @@ def test_stream_drops_late_and_repeated_events(spark, tmp_path):
         out = progress.run_once(s, f"file://{tmp_path}/out", f"file://{tmp_path}/state")
     got = sorted((str(r.start)[11:16], r.n, r.total) for r in out.collect())
     assert got == [("10:00", 2, 3.0), ("12:00", 2, 12.0)]
+
+
+def test_cycles_are_cut_at_the_smallest_link(spark):
+    acts, links = network(spark, {"A": 1.0, "B": 1.0, "C": 1.0, "D": 1.0}, [("A", "B"), ("B", "C"), ("C", "A"), ("C", "D")])
+    assert [(r.source, r.target) for r in sanitise.removed_links(acts, links).collect()] == [("A", "B")]
+    marked = acts.withColumn("milestone", F.col("id").isin("B", "D"))
+    got = {(r.source, r.target) for r in sanitise.sanitised(marked, links).collect()}
+    assert got == {("B", "C"), ("C", "A"), ("C", "D"), ("A", "D")}
+    plain = network(spark, {"A": 1.0, "B": 1.0}, [("A", "B")])
+    assert sanitise.removed_links(*plain).count() == 0
+    assert {(r.source, r.target) for r in sanitise.sanitised(plain[0].withColumn("milestone", F.lit(False)), plain[1]).collect()} == {("A", "B")}
+
+
+def test_optimum_is_no_worse_and_within_bounds(spark):
+    acts, links = network(spark, {"A": 10.0, "B": 20.0, "C": 5.0, "D": 0.0}, [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D")])
+    acts = acts.withColumns({"risk": F.lit(0.3), "resource_count": F.lit(2.0)})
+    rows = {r.id: r for r in ensemble.optimise(acts, links, {"schedule": 1.0}).collect()}
+    assert rows["A"].value <= rows["A"].initial_value and rows["A"].schedule_after == pytest.approx(24.0)
+    assert all(0.8 * r.duration - 1e-9 <= r.optimised <= r.duration for r in rows.values())
+    cheap = {r.id: r.optimised for r in ensemble.optimise(acts, links, {"quality": 1.0}).collect()}
+    assert cheap == {"A": 10.0, "B": 20.0, "C": 5.0, "D": 0.0}
+
+
+def test_resolutions_and_novelty(spark):
+    names = [f"{c}{i}" for c in "ab" for i in range(4)]
+    links = [(f"{c}{i}", f"{c}{j}") for c in "ab" for i in range(4) for j in range(i + 1, 4)] + [("a3", "b0")]
+    acts, lnk = network(spark, dict.fromkeys(names, 1.0), links)
+    got = community.multi_resolution(acts, lnk, ladder=(0.05, 1.0)).collect()
+    assert {r.community for r in got if r.resolution == 0.05} == {0}
+    assert {r.id: r.community for r in got if r.resolution == 1.0} == {x: "ab".index(x[0]) for x in names}
+    assert all(r.stability == pytest.approx(1.0) for r in got)
+    chains = paths.driving_chains(acts, lnk).collect()
+    assert [(r.chain, r.hours, r.selected) for r in chains] == [("a0>a1>a2>a3>b0>b1>b2>b3", 8.0, True)]
