@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from slackline.plans.grouped import graph_apply
 
 from .cpm import acyclic, by_level
+from .montecarlo import BLOCK, factors
 
 
 def sampled_passes(a, e, durations: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +45,30 @@ def risk_indices(sampled: DataFrame, links: DataFrame) -> DataFrame:
     return graph_apply(sampled, links, kernel, "project_id long, id string, criticality double, cruciality double", ["seq", "duration", "mult"])
 
 
+def risk_indices_sampled(scoped: DataFrame, links: DataFrame, samples: int) -> DataFrame:
+    """What risk_indices gives, for many samples: made in the kernel, BLOCK at once, with sums of differences from the first."""
+
+    def kernel(a, e):
+        if not len(a):  # a chunk may hold links alone
+            return a.assign(criticality=0.0, cruciality=0.0)
+        d, p = np.nan_to_num(a.duration.to_numpy(float))[:, None], a.p.to_numpy()
+        sums, first, critical = np.zeros((5, len(a))), None, np.zeros(len(a))
+        for s in range(0, samples, BLOCK):
+            mult = factors(a, s, min(BLOCK, samples - s))
+            tf, span = sampled_passes(a, e, d * mult)
+            y = span[p]
+            first = first or (mult[:, :1], y[:, :1])
+            x, y = mult - first[0], y - first[1]
+            critical += (np.abs(tf) < 1e-9).sum(1)
+            sums += [v.sum(1) for v in (x, y, x * x, y * y, x * y)]
+        x, y, xx, yy, xy = sums
+        vx, vy = xx - x * x / samples, yy - y * y / samples
+        r = np.where((vx > 1e-12) & (vy > 1e-12), (xy - x * y / samples) / np.sqrt(np.maximum(vx * vy, 1e-300)), 0.0)
+        return a.assign(criticality=critical / samples, cruciality=r)
+
+    return graph_apply(scoped, links, kernel, "project_id long, id string, criticality double, cruciality double", ["seq", "duration", "remaining", "risk", "fat"])
+
+
 def extremes(sampled: DataFrame, cap: str) -> DataFrame:
     """Activities that reach 95 % of their cap in a tenth of the samples or more (black swans), or whose largest
     multiplier lies beyond mean + 4 deviations and twice the mean (dragon kings)."""

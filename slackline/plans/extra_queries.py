@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slackline.functions import reference_classes
 from slackline.operators import community, cpm, evm, montecarlo, outcomes, paths
 from slackline.plans.core_queries import BASE, PASSES, SQL as CORE_SQL, rounded, schedule
-from slackline.plans.more_queries import MCF, SAMPLES
+from slackline.plans.more_queries import MCF, SAMPLES, summary_full
 from slackline.sources.star import ACT_SQL, STATUS_DATE, activities, table
 from slackline.streaming import progress
 
@@ -63,18 +63,26 @@ def reference_class_table(spark, sf_dir):
     return reference_classes.table(spark)
 
 
-@query(f"{MCF}, c AS (SELECT project_id, expected, p50, p80, p95, CASE project_id % 3 WHEN 0 THEN 'rail' WHEN 1 THEN 'it_software' END AS rc FROM sm) SELECT project_id, rc AS reference_class, " + ", ".join(f"round(expected + (p{q} - expected) * CASE rc WHEN 'rail' THEN {a} WHEN 'it_software' THEN {b} ELSE 1 END, 6) AS p{q}_calibrated" for q, a, b in ((50, 1.15, 1.15), (80, 1.45, 1.50), (95, 1.95, 2.50))) + " FROM c")
-def mc_calibrated(spark, sf_dir):
-    a, e = schedule(spark, sf_dir)
-    s = montecarlo.summary(montecarlo.forecast(montecarlo.with_scope(a, STATUS_DATE), e, SAMPLES))
+def calibrated(s: DataFrame) -> DataFrame:
     named = F.when(F.col("project_id") % 3 == 0, "Civil").when(F.col("project_id") % 3 == 1, "it software")
     s = s.withColumn("reference_class", reference_classes.resolved(named))
-    f = reference_classes.table(spark).select(F.col("name").alias("reference_class"), *[F.col(f"p{q}").alias(f"f{q}") for q in (50, 80, 95)])
+    f = reference_classes.table(s.sparkSession).select(F.col("name").alias("reference_class"), *[F.col(f"p{q}").alias(f"f{q}") for q in (50, 80, 95)])
     rows = s.join(F.broadcast(f), "reference_class", "left")  # 19 rows
     out = rows.select("project_id", "reference_class", *[reference_classes.calibrated(F.col(f"p{q}"), F.col("expected"), F.col(f"f{q}")).alias(f"p{q}_calibrated") for q in (50, 80, 95)])
     return rounded(out, 6, "p50_calibrated", "p80_calibrated", "p95_calibrated")
 
 
+@query(f"{MCF}, c AS (SELECT project_id, expected, p50, p80, p95, CASE project_id % 3 WHEN 0 THEN 'rail' WHEN 1 THEN 'it_software' END AS rc FROM sm) SELECT project_id, rc AS reference_class, " + ", ".join(f"round(expected + (p{q} - expected) * CASE rc WHEN 'rail' THEN {a} WHEN 'it_software' THEN {b} ELSE 1 END, 6) AS p{q}_calibrated" for q, a, b in ((50, 1.15, 1.15), (80, 1.45, 1.50), (95, 1.95, 2.50))) + " FROM c")
+def mc_calibrated(spark, sf_dir):
+    a, e = schedule(spark, sf_dir)
+    return calibrated(montecarlo.summary(montecarlo.forecast(montecarlo.with_scope(a, STATUS_DATE), e, SAMPLES)))
+
+
+@query()
+def mc_calibrated_full(spark, sf_dir):
+    return calibrated(summary_full(spark, sf_dir))
+
+
 def by_type(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     a, e = schedule(spark, sf_dir)
     return a.select("project_id", "id", F.col("task_type").alias("community")), e

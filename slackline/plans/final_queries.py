@@ -9,7 +9,7 @@ from slackline.functions import stats
 from slackline.operators import calendar, community, cpm, ensemble, evm, montecarlo, paths, sanitise, solver
 from slackline.plans.core_queries import DW, PASSES, rounded, schedule
 from slackline.plans.extra_queries import PATH_CTE
-from slackline.plans.more_queries import CAL_DAY, CAL_SQL, MC, SAMPLES, work_calendar
+from slackline.plans.more_queries import CAL_DAY, CAL_SQL, FULL_ENSEMBLE, MC, SAMPLES, work_calendar
 from slackline.sources.star import ACT_SQL, STATUS_DATE, activities
 
 QUERIES: dict = {}
@@ -52,6 +52,18 @@ def extreme_activities(spark, sf_dir):
     return ensemble.extremes(sampled(spark, sf_dir)[0], CAP)
 
 
+@query()
+def risk_indices_full(spark, sf_dir):
+    a, e = schedule(spark, sf_dir)
+    return rounded(ensemble.risk_indices_sampled(montecarlo.with_scope(a, STATUS_DATE), e, FULL_ENSEMBLE), 6, "cruciality")
+
+
+@query()
+def extreme_activities_full(spark, sf_dir):
+    a, _ = schedule(spark, sf_dir)
+    return ensemble.extremes(montecarlo.multipliers(montecarlo.with_scope(a, STATUS_DATE), FULL_ENSEMBLE), CAP)
+
+
 @query()
 def optimised_durations(spark, sf_dir):
     return ensemble.optimise(*schedule(spark, sf_dir), {"schedule": 0.6, "risk": 0.2, "quality": 0.2})

@@ -141,7 +141,9 @@ def pagerank_closeness(spark, sf_dir):
     return health.centralities(a, e.withColumn("duration", F.lit(1.0))).select("project_id", "id", "pagerank", "closeness")
 
 
+#: Samples of the queries that SQL checks; the _full ones draw the reference's 500, or 100 in ensembles, and have none.
 SAMPLES = 4
+FULL, FULL_ENSEMBLE = 500, 100
 _U0 = f"greatest(1e-10, least(1e0 - 1e-10, ('0x' || substr(md5('{montecarlo.SEED}|' || (s // 2) || '|' || id), 1, 13))::BIGINT / 4503599627370496e0))"
 MC = f"""{BASE}, sc AS (SELECT *, duration * (1 - pct / 100) AS remaining, CASE WHEN actual_start IS NULL THEN greatest(0, (epoch(start) - epoch(TIMESTAMP '{STATUS_DATE}')) / 3600) ELSE 0 END AS base, CASE task_type WHEN 'A' THEN 0.35e0 WHEN 'R' THEN 0.4e0 ELSE 0.55e0 END AS fat FROM act),
 us AS (SELECT sc.*, s, CASE WHEN s % 2 = 0 THEN {_U0} ELSE 1e0 - {_U0} END AS u FROM sc, range({SAMPLES}) r(s)), zs AS (SELECT *, {stats.ndtri('u')} AS z FROM us),
@@ -154,6 +156,12 @@ def mc_multipliers(spark, sf_dir):
     return rounded(rows.select("project_id", "id", F.posexplode("mult").alias("sample", "mult")), 7, "mult")
 
 
+@query()
+def mc_multipliers_full(spark, sf_dir):
+    rows = montecarlo.multipliers(montecarlo.with_scope(activities(spark, sf_dir), STATUS_DATE), FULL)
+    return rounded(rows.select("project_id", "id", F.posexplode("mult").alias("sample", "mult")), 7, "mult")
+
+
 MCF = f"""{MC}, du AS (SELECT project_id, seq, base, remaining, s, remaining * mult AS d FROM ml UNION ALL SELECT project_id, seq, base, remaining, -1, remaining FROM sc),
 fl AS (SELECT project_id, seq, s, 's' AS kind, base AS t FROM du UNION SELECT q.project_id, q.nseq, q.s, q.nkind, q.nt FROM (
  SELECT f.project_id, f.seq AS nseq, f.s, 'f' AS nkind, f.t + du.d AS nt FROM fl f JOIN du ON du.project_id = f.project_id AND du.seq = f.seq AND du.s = f.s WHERE f.kind = 's'
@@ -181,6 +189,22 @@ def mc_teac(spark, sf_dir):
     return rounded(rounded(t, 6, "teac_expected", "teac_p50", "teac_p80", "teac_p95"), 8, "spi_t_p80")
 
 
+def summary_full(spark, sf_dir) -> DataFrame:
+    a, e = schedule(spark, sf_dir)
+    return montecarlo.summary(montecarlo.forecast_sampled(montecarlo.with_scope(a, STATUS_DATE), e, FULL))
+
+
+@query()
+def mc_forecast_full(spark, sf_dir):
+    return rounded(rounded(summary_full(spark, sf_dir), 6, "expected", "p20", "p50", "p80", "p95", "mean"), 5, "sd")
+
+
+@query()
+def mc_teac_full(spark, sf_dir):
+    t = montecarlo.teac(summary_full(spark, sf_dir), activities(spark, sf_dir), STATUS_DATE)
+    return rounded(rounded(t, 6, "teac_expected", "teac_p50", "teac_p80", "teac_p95"), 8, "spi_t_p80")
+
+
 _NAMES = "CASE part % 8 WHEN 0 THEN 'Design review' WHEN 1 THEN 'Vendor shipment' WHEN 2 THEN 'Engineering model' WHEN 3 THEN 'Weld frame' WHEN 4 THEN 'Install pipes' WHEN 5 THEN 'Start-up tests' ELSE 'Other' END"
 _SUPPLIER = "CASE supplier % 9 WHEN 0 THEN 'external_equipment' WHEN 1 THEN 'External_Service' ELSE '' END"
 CRASH = f"""{PASSES}, nm AS (SELECT *, {_NAMES} AS name, lower({_SUPPLIER}) AS st, duration * (1 - pct / 100) AS remaining, tf / 8 AS float_days FROM dates),

@@ -221,3 +221,34 @@ def test_resolutions_and_novelty(spark):
     assert all(r.stability == pytest.approx(1.0) for r in got)
     chains = paths.driving_chains(acts, lnk).collect()
     assert [(r.chain, r.hours, r.selected) for r in chains] == [("a0>a1>a2>a3>b0>b1>b2>b3", 8.0, True)]
+
+
+def test_full_samples_against_carried_multipliers(spark):
+    rng = np.random.default_rng(5)
+    names = [f"N{i}" for i in range(14)]
+    pairs = sorted({(int(i), int(j)) for i, j in rng.integers(0, 14, (30, 2)) if i < j})
+    acts, links = network(spark, {k: float(v) for k, v in zip(names, rng.uniform(8, 400, 14))}, [(names[i], names[j]) for i, j in pairs])
+    risk = F.element_at(F.array(*[F.lit(x) for x in (0.0, 0.06, 0.1, 0.17, 0.3, 0.5, 0.56, 0.7, 0.79, 0.81, 0.9, 1.0, 0.2, 0.45)]), F.col("seq"))
+    acts = acts.withColumns({"remaining": F.col("duration"), "base": F.lit(0.0), "risk": risk, "fat": F.lit(0.55)})
+    carried = montecarlo.multipliers(acts, 500)
+    a = carried.orderBy("seq").toPandas()
+    assert np.allclose(np.concatenate([montecarlo.factors(a, s, 50) for s in range(0, 500, 50)], axis=1), np.stack(a.mult), rtol=1e-9)
+    want, got = montecarlo.forecast(acts, links, 500).first(), montecarlo.forecast_sampled(acts, links, 500).first()
+    assert len(got.finishes) == 500 and got.expected == want.expected and np.allclose(got.finishes, want.finishes, rtol=1e-9)
+    s = montecarlo.summary(montecarlo.forecast_sampled(acts, links, 500)).first()
+    finishes = sorted(want.finishes)
+    assert [s.p80, s.p95] == pytest.approx([finishes[399], finishes[474]]) and s.p80 < s.p95
+    assert montecarlo.forecast_sampled(acts.limit(0), links, 500).count() == 0 and montecarlo.forecast_sampled(acts.withColumn("remaining", F.lit(0.0)), links, 500).count() == 0 and ensemble.risk_indices_sampled(acts.limit(0), links, 100).count() == 0
+    want = {r.id: r for r in ensemble.risk_indices(montecarlo.multipliers(acts, 100), links).collect()}
+    got = {r.id: r for r in ensemble.risk_indices_sampled(acts, links, 100).collect()}
+    assert all(got[k].criticality == r.criticality and got[k].cruciality == pytest.approx(r.cruciality, abs=1e-9) for k, r in want.items())
+
+
+def test_full_queries_draw_the_references_samples(spark):
+    from slackline.plans import registry
+
+    q = registry.queries()
+    f = q["mc_forecast_full"](spark, "/root/testdata/sf0.001").toPandas()
+    assert len(f) and (f.p95 > f.p80).mean() > 0.5
+    c = q["risk_indices_full"](spark, "/root/testdata/sf0.001").toPandas().criticality
+    assert np.allclose(c * 100, np.round(c * 100)) and ((c * 4) % 1 > 1e-9).any()
