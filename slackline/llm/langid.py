@@ -26,8 +26,12 @@ VOCABULARY = "piece_bpe_32k.model"
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
-#: Letters of a piece at most: six codes of ten bits fit a 64-bit key.
+#: Letters of a piece at most.
 PIECE = 6
+#: Keys are polynomials of the letters' codes in this number, modulo 2**64 (fixed value): letters have no limit.
+BASE = 0x5851F42D4C957F2D
+#: Code of a letter neither in the vocabulary nor in the training texts; above all others, as there are fewer letters.
+STRANGE = 1 << 21
 #: Words are scored in windows of so many letters, so that products stay within a double's range.
 WINDOW = 24
 
@@ -43,9 +47,9 @@ class Pieces:
     def load(cls, path: str, extra_letters: str) -> Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())}
-        found = {p for p in found if len(p) <= PIECE and (p == START or WORD.fullmatch(p.removeprefix(START)))} | {START, *extra_letters}
-        letters = {c: i + 1 for i, c in enumerate(sorted({c for p in found for c in p})[:1022])}
-        found = {p for p in found if all(c in letters for c in p)}
+        found = {p for p in found if p == START or WORD.fullmatch(p.removeprefix(START))}
+        letters = {c: i + 1 for i, c in enumerate(sorted({START, *extra_letters, *(c for p in found for c in p)}))}
+        found = {p for p in found if len(p) <= PIECE} | set(letters)
         keys = np.array(sorted({cls.key([letters[c] for c in p]) for p in found}), np.int64)
         return cls(letters, keys)
 
@@ -53,11 +57,11 @@ class Pieces:
     def key(codes: list[int]) -> int:
         k = 0
         for c in codes:
-            k = k << 10 | c
-        return k
+            k = (k * BASE + c) % 2**64
+        return k - 2**64 if k >= 2**63 else k
 
     def coded(self, words: list[str]) -> np.ndarray:
-        """Letter codes, a row for each window of each word; 0 fills up and 1023 is an unknown letter."""
+        """Letter codes, a row for each window of each word; 0 fills up and STRANGE is an unknown letter."""
         width = max(map(len, words), default=1)
         flat = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width)
         table = self.table()
@@ -67,7 +71,7 @@ class Pieces:
 
     def table(self) -> np.ndarray:
         if not hasattr(self, "_table"):
-            t = np.full(max(map(ord, self.letters)) + 2, 1023, np.int32)
+            t = np.full(max(map(ord, self.letters)) + 2, STRANGE, np.int32)
             for c, i in self.letters.items():
                 t[ord(c)] = i
             self._table = t
@@ -77,7 +81,7 @@ class Pieces:
         """Number of the piece that ends at each place and has so many letters (len(keys): none)."""
         key = np.zeros_like(codes[:, size - 1 :])
         for j in range(size):
-            key = key << 10 | codes[:, j : codes.shape[1] - size + 1 + j]
+            key = key * np.int64(BASE) + codes[:, j : codes.shape[1] - size + 1 + j]
         k = np.searchsorted(self.keys, key)
         k[k == len(self.keys)] = 0
         return np.where(self.keys[k] == key, k, len(self.keys))
@@ -112,7 +116,7 @@ class LanguageModel:
         numbers = [self.pieces.at(codes, s) for s in range(1, min(PIECE, width) + 1)]
         forward = np.zeros((n, width + 1, len(self.langs)))
         forward[:, 0] = 1
-        strange = (codes == 1023)[:, :, None] * self.unknown
+        strange = (codes == STRANGE)[:, :, None] * self.unknown
         for i in range(1, width + 1):
             total = forward[:, i - 1] * strange[:, i - 1]
             for s in range(1, min(PIECE, i) + 1):
@@ -150,7 +154,7 @@ class LanguageModel:
             back = np.zeros_like(f)
             back[:, width] = 1
             for i in range(width - 1, -1, -1):
-                total = back[:, i + 1] * (codes[:, i] == 1023) * self.unknown
+                total = back[:, i + 1] * (codes[:, i] == STRANGE) * self.unknown
                 for s in range(1, min(PIECE, width - i) + 1):
                     total = total + back[:, i + s] * p[numbers[s - 1][:, i]]
                 back[:, i] = total
@@ -167,8 +171,8 @@ def fit(texts: list[tuple[str, str]], vocabulary: str | None = None, rounds: int
     words = {lang: Counter() for lang in langs}
     for text, lang in texts:
         words[lang].update(WORD.findall(text.lower()))
-    letters = Counter(c for w in words.values() for k, n in w.items() for c in k)
-    pieces = Pieces.load(vocabulary or public_tokenizers.path(VOCABULARY), "".join(c for c, n in letters.most_common(500)))
+    letters = {c for w in words.values() for k in w for c in k}
+    pieces = Pieces.load(vocabulary or public_tokenizers.path(VOCABULARY), "".join(sorted(letters)))
     n = len(pieces.keys)
     prob = np.full((n + 1, len(langs)), 1.0 / n)
     prob[n] = 0

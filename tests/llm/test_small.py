@@ -354,6 +354,20 @@ def test_forward_sums_all_segmentations():
         assert np.exp(model.word_scores([word])[0, 0]) == pytest.approx(total(codes))
 
 
+def test_langid_keeps_every_letter(spark):
+    hangul = [chr(c) for c in range(0xAC00, 0xAC00 + 1500)]
+    han = [chr(c) for c in range(0x4E00, 0x4E00 + 1500)]
+    texts = [("".join(x[i : i + 5]), la) for x, la in ((hangul, "ko"), (han, "zh")) for i in range(0, 1500, 5)]
+    model = langid.fit(texts)
+    assert all(c in model.pieces.letters for c in hangul + han)
+    assert len(set(model.pieces.keys)) == len(model.pieces.keys)
+    codes = model.pieces.coded(["▁" + hangul[-1], "▁" + han[-1]])
+    assert (codes != langid.STRANGE).all() and (model.pieces.at(codes, 1) < len(model.pieces.keys)).all()
+    ko, zh = model.word_scores([hangul[-1] + hangul[3], han[-1] + han[3]])
+    assert ko[0] > ko[1] + 1 and zh[1] > zh[0] + 1
+    assert (model.pieces.coded(["\u1e4d\U0001e900"]) == langid.STRANGE).any()
+
+
 # --- quality --------------------------------------------------------------------------------------
 
 
