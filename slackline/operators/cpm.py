@@ -75,6 +75,8 @@ def passes(a: pd.DataFrame, e: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame
     return a.assign(es=es, ef=es + d, ls=ls, lf=ls + d, tf=tf, critical=np.abs(tf) < 1e-9, makespan=span[a.p.to_numpy()]), e.assign(w=w), level
 
 
+#: Paths that are followed at once.
+HELD_PATHS = 10_000
 CPM = "project_id long, id string, seq int, es double, ef double, ls double, lf double, tf double, critical boolean, makespan double"
 
 
@@ -153,58 +155,53 @@ def distances(acts: DataFrame, links: DataFrame) -> DataFrame:
     return graph_apply(acts, links, kernel, "project_id long, id string, shortest_from_start double, longest_from_start double, shortest_to_end double, longest_to_end double", ["seq", "duration"])
 
 
-def path_durations(acts: DataFrame, links: DataFrame, most_paths: int = 10_000) -> DataFrame:
-    """(project_id, path_no, length, duration, path) of every path from a start to an end.
+def path_durations(acts: DataFrame, links: DataFrame, most_paths: int | None = None) -> DataFrame:
+    """(project_id, length, duration, path) of every path from a start to an end.
 
-    A path's duration runs along its relations with starts clamped at 0. Projects with more than most_paths
-    paths (counted before any is listed) are left out; enumerate those longest first instead.
+    A path's duration runs along its relations with starts clamped at 0. Paths are followed depth first,
+    HELD_PATHS at once, and given as they end, so a project's number of paths bounds time but not memory. With
+    most_paths, projects with more paths (counted before any is listed) are left out.
     """
 
     def kernel(a, e):
         d = np.nan_to_num(a.duration.to_numpy(float))
         e, level = acyclic(len(a), e)
-        src, dst = e.src.to_numpy(int), e.dst.to_numpy(int)
+        src, dst, lags = e.src.to_numpy(int), e.dst.to_numpy(int), e.lag.to_numpy(float)
         rel = e.rel.str.upper().to_numpy(object) if len(e) else np.zeros(0, object)
-        count = np.zeros(len(a))
-        count[np.bincount(dst, minlength=len(a)) == 0] = 1
-        for g in by_level(level, dst):
-            np.add.at(count, dst[g], count[src[g]])
-        p = a.p.to_numpy()
-        ends = np.bincount(src, minlength=len(a)) == 0
-        total = np.bincount(p[ends], count[ends], minlength=int(p.max()) + 1)
-        ok = total[p] <= most_paths
+        ids, projects, p = a.id.to_numpy(object), a.project_id.to_numpy(), a.p.to_numpy()
+        starts, ends = np.bincount(dst, minlength=len(a)) == 0, np.bincount(src, minlength=len(a)) == 0
+        ok = np.ones(len(a), bool)
+        if most_paths is not None:
+            count = starts.astype(float)
+            for g in by_level(level, dst):
+                np.add.at(count, dst[g], count[src[g]])
+            ok = np.bincount(p[ends], count[ends], minlength=len(a))[p] <= most_paths
         order = np.lexsort((e.ord.to_numpy(), src))
         first = np.searchsorted(src[order], np.arange(len(a) + 1))
-        at = np.flatnonzero((np.bincount(dst, minlength=len(a)) == 0) & ok)
-        start, finish, back = np.zeros(len(at)), d[at], np.full(len(at), -1)
-        steps, done = [], []
-        while len(at):
-            steps.append((at, back))
-            over = ends[at]
-            done.append((len(steps) - 1, np.flatnonzero(over), finish[over]))
+        at = np.flatnonzero(starts & ok)
+        # a frame: activities reached, their start and finish, places in the frame before, and that frame
+        stack = [(at[i : i + HELD_PATHS], np.zeros(len(at[i : i + HELD_PATHS])), d[at[i : i + HELD_PATHS]], None, None) for i in range(0, len(at), HELD_PATHS)]
+        while stack:
+            frame = stack.pop()
+            at, start, finish, _, before = frame
+            over = np.flatnonzero(ends[at])
+            if len(over):
+                cols, i, f = [], over, frame
+                while f is not None:
+                    cols.append(f[0][i])
+                    i, f = (f[3][i] if f[3] is not None else i), f[4]
+                paths = np.stack(cols[::-1], axis=1)
+                yield pd.DataFrame({"project_id": projects[paths[:, 0]], "length": np.full(len(over), len(cols), "int32"), "duration": finish[over] if before is not None else np.zeros(len(over)), "path": [">".join(ids[x]) for x in paths]})
             n = first[at + 1] - first[at]
             who = np.repeat(np.arange(len(at)), n)
             k = order[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            lag, to, r = e.lag.to_numpy(float)[k], dst[k], rel[k]
+            to, r = dst[k], rel[k]
             s, f, own = start[who], finish[who], d[to]
             by_finish = np.isin(r, ["FF", "SF"])
-            base = np.where(np.isin(r, ["SS", "SF"]), s, f) + lag
+            base = np.where(np.isin(r, ["SS", "SF"]), s, f) + lags[k]
             ns = np.maximum(np.where(by_finish, np.maximum(base - own, 0), base), 0)
-            nf = np.where(by_finish, base, ns + own)
-            at, start, finish, back = to, ns, np.maximum(nf, ns + own), who
-        rows = []
-        ids, projects = a.id.to_numpy(object), a.project_id.to_numpy()
-        for k, where, length in done:
-            cols, i = [], where
-            for j in range(k, -1, -1):
-                nodes, prev = steps[j]
-                cols.append(nodes[i])
-                i = prev[i]
-            paths = np.stack(cols[::-1], axis=1) if cols else np.zeros((0, 0), int)
-            one = paths[:, 0] if len(paths) else np.zeros(0, int)
-            rows.append(pd.DataFrame({"project_id": projects[one], "length": k + 1, "duration": length if k else np.zeros(len(length)), "path": [">".join(ids[x]) for x in paths]}))
-        out = pd.concat(rows) if rows else pd.DataFrame({"project_id": [], "length": [], "duration": [], "path": []})
-        return out.assign(length=out.length.astype("int32"))
+            nf = np.maximum(np.where(by_finish, base, ns + own), ns + own)
+            stack += [(to[i : i + HELD_PATHS], ns[i : i + HELD_PATHS], nf[i : i + HELD_PATHS], who[i : i + HELD_PATHS], frame) for i in range(0, len(to), HELD_PATHS)]
 
     return graph_apply(acts, links, kernel, "project_id long, length int, duration double, path string", ["seq", "duration"])
 

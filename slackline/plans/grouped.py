@@ -20,8 +20,8 @@ from pyspark.sql.types import StructType
 CHUNK_ROWS = 20_000
 
 
-def graph_apply(acts: DataFrame, links: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, columns: list[str], link_columns: list[str] | None = None, order: str = "seq") -> DataFrame:
-    """kernel(activities, links) for chunks of whole projects.
+def graph_apply(acts: DataFrame, links: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame | Iterator[pd.DataFrame]], schema: str, columns: list[str], link_columns: list[str] | None = None, order: str = "seq") -> DataFrame:
+    """kernel(activities, links) for chunks of whole projects; it returns its rows, or yields them in parts.
 
     activities has project_id, id, p (number of the project in the chunk) and the columns asked for, in
     order within the project; links has src and dst (positions of activities), rel, lag, ord and
@@ -46,7 +46,8 @@ def graph_apply(acts: DataFrame, links: DataFrame, kernel: Callable[[pd.DataFram
             e["dst"] = index.get_indexer(pd.MultiIndex.from_arrays([e["project_id"], e["target"]])) if len(e) else np.zeros(0, int)
             e = e[(e.src >= 0) & (e.dst >= 0) & (e.src != e.dst)].reset_index(drop=True)
             out = kernel(a, e)
-            yield from pa.Table.from_arrays([pa.array(out[f.name], f.type, from_pandas=True) for f in target], schema=target).to_batches()
+            for part in [out] if isinstance(out, pd.DataFrame) else out:
+                yield from pa.Table.from_arrays([pa.array(part[f.name], f.type, from_pandas=True) for f in target], schema=target).to_batches()
 
     return both.mapInArrow(run, schema)
 

@@ -252,3 +252,13 @@ def test_full_queries_draw_the_references_samples(spark):
     assert len(f) and (f.p95 > f.p80).mean() > 0.5
     c = q["risk_indices_full"](spark, "/root/testdata/sf0.001").toPandas().criticality
     assert np.allclose(c * 100, np.round(c * 100)) and ((c * 4) % 1 > 1e-9).any()
+
+
+def test_every_path_of_a_large_network(spark):
+    names = ["S"] + [f"{s}{i}" for i in range(14) for s in "ab"] + ["E"]
+    links = [("S", s + "0") for s in "ab"] + [(f"{s}{i}", f"{t}{i + 1}") for i in range(13) for s in "ab" for t in "ab"] + [(s + "13", "E") for s in "ab"]
+    d = {k: float(2 ** int(k[1:])) if k[0] == "a" else 0.0 for k in names}
+    got = cpm.path_durations(*network(spark, d, links)).toPandas()
+    assert len(got) == 2**14 and got.path.is_unique and (got.length == 16).all()
+    assert sorted(got.duration) == list(range(2**14))
+    assert all(sum(d[x] for x in r.path.split(">")) == r.duration for r in got.itertuples())
