@@ -17,9 +17,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if none is set."""
+    """The folder that driver and executors share; a temporary one only if none is set, and only on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="slackline-"))
         found = _OWN[0]
@@ -58,18 +60,22 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_IDS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
-def hash_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """About limit rows, at most: those with the smallest hashes of key, the same at every partitioning.
+def hash_sample(df: DataFrame, limit: int, *key: str) -> DataFrame:
+    """limit rows (all, if fewer): those with the smallest hashes of the key columns, the same at every partitioning.
 
-    A first count of the rows gives a bound on the hash that about one and a half times limit rows pass, so
-    what the tasks hand on doesn't grow with their number.
+    A first count gives a bound on the hash that about one and a half times limit rows pass, so what the tasks
+    hand on doesn't grow with their number. Where too few pass, as many rows share a key, the bound is widened.
     """
     n = df.count()
-    h = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
-    if n > limit:
-        share = min(1.0, (1.5 * limit + 100) / n)
-        df = df.where(h <= F.lit(min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))))
-    return df.orderBy(h, key).limit(limit)
+    h = F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in key], F.lit("sample"))
+    share = (1.5 * limit + 100) / max(n, 1)
+    rows = df
+    while n > limit and share < 1:
+        rows = df.where(h <= F.lit(-(1 << 63) + int(share * (1 << 64))))
+        if rows.count() >= limit:
+            break
+        share, rows = 4 * share, df
+    return rows.orderBy(h, *key).limit(limit)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

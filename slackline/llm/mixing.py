@@ -61,8 +61,9 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 def learn_domains(docs: DataFrame, labelled: DataFrame, train_limit: int = 4000, lexicon: int = 256, doc_id: str = "doc_id", text: str = "text") -> DomainModel | None:
     """Learn from at most train_limit labelled documents (smallest hashes of their ids); of the features
     that tell more than chance would, the lexicon most telling ones stay. A document with several domains counts for each. None without labels."""
-    known = hash_sample(labelled.where("doc_id is not null").select(F.col("doc_id").alias("__d"), "domain").distinct(), "__d", train_limit)
+    known = hash_sample(labelled.where("doc_id is not null").select(F.col("doc_id").alias("__d"), "domain").distinct(), train_limit, "__d", "domain")
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(known), F.col("__id") == F.col("__d"))  # train_limit rows at most
+    rows = rows.groupBy("__id", "domain").agg(F.min("__t").alias("__t"))  # one text of an id, however often it is repeated
     rows = persisted(_features(rows, "__t").select("domain", "__f"), "mixing-sample")
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").collect()}
     if not sizes:

@@ -93,13 +93,14 @@ def style(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def learn(docs: DataFrame, labels: DataFrame, train_limit: int, doc_id: str, text: str, label: str) -> tuple | None:
     """Fit on at most train_limit labelled documents, those with the smallest hashes of their ids.
 
-    Of a document with several labels the least counts. None without both kinds of label.
+    Of a document with several labels the least counts, of a doc_id with several texts the smallest. None without both kinds of label.
     """
     small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("__d"), F.col(label).cast("double").alias("__y")).where(F.col("__d").isNotNull() & F.col("__y").isNotNull())
-    known = hash_sample(known.groupBy("__d").agg(F.min("__y").alias("__y")), "__d", train_limit)
+    known = hash_sample(known.groupBy("__d").agg(F.min("__y").alias("__y")), train_limit, "__d")
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), F.col("__id") == F.col("__d"))  # train_limit rows at most
-    got = rows.select(style("__text").alias("x"), "__y", "__id").orderBy("__id").limit(2 * train_limit).collect()
+    rows = rows.groupBy("__id").agg(F.min("__text").alias("__text"), F.min("__y").alias("__y"))  # one text of an id
+    got = rows.select(style("__text").alias("x"), "__y", "__id").orderBy("__id").collect()
     y = np.array([r["__y"] > 0 for r in got], float)
     if len(y) == 0 or y.min() == y.max():
         return None

@@ -106,6 +106,11 @@ def test_stages_on_odd_rows(spark):
     assert sorted(x or -1 for x in told) == [-1, 1, 1, 5, 6]
     kept = [r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
     assert sorted(x or -1 for x in kept) == [-1, 1, 2, 3, 4, 5, 6] or sorted(x or -1 for x in kept) == [-1, 1, 2, 3, 4, 6]
+    other, third = (" ".join(f"{k}{i}" for i in range(40)) for k in "uv")  # ids that repeat with different texts
+    twice = [(1, good), (1, other), (1, other), (2, other + " more"), (3, third), (4, third), (4, other), (4, None), (4, None), (None, third)]
+    twice = spark.createDataFrame([(i, t, "en", "s", k, None, None, None) for k, (i, t) in enumerate(twice)], shape)
+    kept = [(r.doc_id or -1, r.text) for r in corpus_pipeline.one_of_each_group(spark, twice, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(-1, third), (1, good), (1, other), (3, third), (4, None)], key=str)
 
 
 def test_pipeline_keeps_clean_documents(spark):

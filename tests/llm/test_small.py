@@ -272,6 +272,29 @@ def test_jaccard_against_brute_force(spark, plan):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(rows)
 
 
+def test_jaccard_repeated_ids_with_different_texts(spark):
+    text = {k: " ".join(words(i, 60)) for i, k in enumerate("ABXY")}
+    more = {k: v + " more" for k, v in text.items()}
+    rows = [(1, text["A"]), (1, text["B"]), (2, more["B"]), (3, more["A"]), (10, text["X"]), (15, text["X"]), (15, text["Y"]), (16, more["Y"]), (16, None), (20, "alone"), (20, None), (None, text["A"])]
+    got = jaccard_join.jaccard_classes(docs(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (10, 10), (15, 10), (15, 10), (16, 10), (16, 10), (20, 20), (20, 20)]
+
+
+def test_jaccard_keys_that_clash(spark, monkeypatch):
+    rows = [(i, " ".join(words(i // 2, 40) + ["x"] * (i % 2)), "en", "s") for i in range(12)]
+    keys = jaccard_join.keys_of
+
+    def poor(sets):
+        a, b = keys(sets)
+        return a % 3, b
+
+    monkeypatch.setattr(jaccard_join, "keys_of", poor)
+    assert sorted(jaccard_join.node_keys([np.array([k], np.uint64) for k in range(9)], [0, 1, 2]).tolist()) == sorted(keys([np.array([k], np.uint64) for k in range(9)])[1].tolist())
+    monkeypatch.undo()
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_classes(docs(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(12)}
+
+
 def test_jaccard_threshold_null_ids_and_empty(spark):
     a = [f"t{k}" for k in range(13)]  # 9 shingles; one more word makes 10: 9 / 10; two more: 9 / 11
     rows = [(1, " ".join(a), "", ""), (2, " ".join(a + ["x"]), "", ""), (3, " ".join(a + ["y", "z", "q"]), "", ""), (None, " ".join(a), "", ""), (1, " ".join(a), "", "")]
@@ -339,19 +362,61 @@ def test_langid(spark):
     assert langid.identify(docs(spark, [])).count() == 0
 
 
-def test_forward_sums_all_segmentations():
-    pieces = langid.Pieces({"▁": 1, "a": 2, "b": 3}, np.array(sorted({langid.Pieces.key(k) for k in ([1], [2], [3], [1, 2], [2, 3], [2, 2])}), np.int64))
-    rng = np.random.default_rng(0)
-    p = np.append(rng.uniform(0.05, 0.3, 6), 0)[:, None]
+def segmentations(known, codes):
+    return 1.0 if not codes else sum(known.get(tuple(codes[:n]), 0.0) * segmentations(known, codes[n:]) for n in range(1, len(codes) + 1))
+
+
+def toy_model():
+    parts = [[1], [2], [3], [1, 2], [2, 3], [2, 2], [2, 3, 2, 3, 2, 2, 3, 3]]
+    pieces = langid.Pieces.of({"▁": 1, "a": 2, "b": 3}, parts)
+    p = np.random.default_rng(0).uniform(0.05, 0.3, len(parts))[:, None]
     model = langid.LanguageModel(["x"], pieces, p, np.ones(1))
-    known = {tuple(k): p[np.searchsorted(pieces.keys, langid.Pieces.key(list(k))), 0] for k in ((1,), (2,), (3,), (1, 2), (2, 3), (2, 2))}
+    return model, {tuple(k): p[np.searchsorted(pieces.keys, langid.Pieces.key(k)), 0] for k in parts}
 
-    def total(codes):
-        return 1.0 if not codes else sum(known.get(tuple(codes[:n]), 0.0) * total(codes[n:]) for n in range(1, len(codes) + 1))
 
-    for word in ("ab", "aab", "abab", "b", "aaaa"):
+def test_forward_sums_all_segmentations():
+    model, known = toy_model()
+    for word in ("ab", "aab", "abab", "b", "aaaa", "ababaabb", "aababaabba"):
         codes = [1] + [{"a": 2, "b": 3}[c] for c in word]
-        assert np.exp(model.word_scores([word])[0, 0]) == pytest.approx(total(codes))
+        assert np.exp(model.word_scores([word])[0, 0]) == pytest.approx(segmentations(known, codes))
+
+
+def test_long_words_by_chunks(monkeypatch):
+    model, _ = toy_model()
+    rng = np.random.default_rng(1)
+    words_ = ["".join(rng.choice(["a", "b"], n)) for n in (39, 40, 41, 77, 200)]
+    whole = model.word_scores(words_)
+    monkeypatch.setattr(langid, "CHUNK", 10)
+    assert np.allclose(model.word_scores(words_), whole, rtol=1e-10)
+    monkeypatch.undo()
+    long = model.word_scores(["ab" * 100_000])[0, 0]
+    assert np.isfinite(long) and long == pytest.approx(50 * model.word_scores(["ab" * 2000])[0, 0], rel=0.01)
+
+
+def test_learning_counts_every_use():
+    model, known = toy_model()
+    used = model.learn({"ababaabb": 2, "b": 1}, 0)
+    at = lambda k: np.searchsorted(model.pieces.keys, langid.Pieces.key(k))
+    letters = sum(used[at(list(k))] * len(k) for k in known)
+    assert letters == pytest.approx(2 * 9 + 2)
+
+
+def test_letters_are_unicode_letters(spark):
+    assert langid.words_of("x²½Ⅷ٣ é_ß 9a") == ["x", "é", "ß", "a"]
+    rows = language_rows(60) + [(500, "½ ² Ⅷ ٣", "en", "s")]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs(spark, rows)).collect()}
+    assert got[500] == "und" and set(got.values()) == {"en", "de", "fr", "und"}
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "few"])
+def test_samples_of_null_and_repeated_ids(spark, ids):
+    n = 20_000
+    key = {"null": F.lit(None).cast("long"), "one": F.lit(8).cast("long"), "few": (F.col("id") % 3 * 5 + 3).cast("long")}[ids]
+    df = spark.range(n).select(key.alias("doc_id"), F.concat(F.lit("word "), F.when(F.col("id") % 2 == 0, "a").otherwise("b")).alias("text"), F.lit("en").alias("lang"))
+    trained = df.where(~langid.held_out(F.col("doc_id"))).count()
+    assert trained and len(langid.sample(df, 3000)) == 3000
+    assert len(langid.sample(df, 3000, most_bytes=60)) == 10
+    assert len(langid.sample(df.limit(50), 3000)) == df.limit(50).where(~langid.held_out(F.col("doc_id"))).count()
 
 
 def test_langid_keeps_every_letter(spark):
@@ -362,7 +427,7 @@ def test_langid_keeps_every_letter(spark):
     assert all(c in model.pieces.letters for c in hangul + han)
     assert len(set(model.pieces.keys)) == len(model.pieces.keys)
     codes = model.pieces.coded(["▁" + hangul[-1], "▁" + han[-1]])
-    assert (codes != langid.STRANGE).all() and (model.pieces.at(codes, 1) < len(model.pieces.keys)).all()
+    assert (codes != langid.STRANGE).all() and (model.pieces.entries(codes)[3] < len(model.pieces.keys)).all()
     ko, zh = model.word_scores([hangul[-1] + hangul[3], han[-1] + han[3]])
     assert ko[0] > ko[1] + 1 and zh[1] > zh[0] + 1
     assert (model.pieces.coded(["\u1e4d\U0001e900"]) == langid.STRANGE).any()
