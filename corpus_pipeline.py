@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from slackline.llm import jaccard_join, langid, mixing, packing, quality
 from slackline.llm._shared import broadcast_if_small, persisted
+from slackline.llm.components import components
 from slackline.llm.queries import DOMAIN_TARGETS, table
 
 #: A learned model, scores near half and repeated sampling have no SQL; tests use brute force.
@@ -19,12 +20,13 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and those without a letter go."""
+    """Documents whose language can be told. Null texts, those without a letter and those that are less likely, letter
+    by letter, than any text the languages were learned from go (another script, noise)."""
     texts = langid.sample(docs, 3000)
     predict = langid.predictor(spark, langid.fit(texts) if texts else None)
     if not texts:  # nothing to learn from: keep what has a letter
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return docs.withColumn("__lang", predict(F.col("text"))).where(F.col("__lang.lang") != langid.UNDETERMINED).select(*docs.columns)
+    return docs.withColumn("__lang", predict(F.col("text"))).where(~F.col("__lang.strange")).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +35,35 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each class of near copies; of rows that repeat a doc_id, one.
+    """One document of each class of near copies, the one of the smallest doc_id.
 
-    Rows without a doc_id stay. What goes is joined away: by broadcast if it is few, else by a shuffle.
+    A class is one of texts, not of ids: of rows that repeat a doc_id, each distinct text is judged for itself, and
+    one row stays of those that are alike in words (that of the smallest hash of all columns). Texts without words
+    and rows without a doc_id have no copies and stay, but rows that repeat an id without words are one. What goes is
+    joined away: by broadcast if it is few, else by a shuffle.
     """
-    classes = persisted(jaccard_join.jaccard_classes(docs), "pipeline-classes")
-    gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__repeated"))
-    gone = persisted(gone, "pipeline-gone")
-    kept = docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
-    repeated = persisted(repeated, "pipeline-repeated")
+    plan = jaccard_join.JoinPlan()
+    found = jaccard_join.links(docs, plan)
+    classes = persisted(components(found.edges), "pipeline-classes")
+    of = found.nodes.join(classes, "node").select("component", "node", "first")
+    best = of.groupBy("component").agg(F.min_by("node", F.struct("first", "node")).alias("best"))
+    lost = persisted(of.join(best, "component").where("node != best").select("node"), "pipeline-lost")
+    stay = found.nodes.join(broadcast_if_small(lost, lost.count()), "node", "left_anti").select(F.col("first").alias("doc"), "node")
+    rows = found.sets.where("doc is not null").groupBy("doc").agg(F.count("*").alias("rows"), F.max(F.col("n") == 0).alias("empty"))
+    rows = rows.join(stay.select("doc").distinct().withColumn("stays", F.lit(True)), "doc", "left")
+    gone = persisted(rows.where("rows = 1 and not empty and stays is null").select(F.col("doc").alias("__gone")), "pipeline-gone")
+    repeated = persisted(rows.where("rows > 1").select(F.col("doc").alias("__repeated")), "pipeline-repeated")
     n = repeated.count()
+    kept = docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
     if n:
         few = broadcast_if_small(repeated, n)
-        once = kept.join(few, F.col("doc_id") == F.col("__repeated"), "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(few, F.col("doc_id") == F.col("__repeated"), "left_anti").unionByName(once)
+        again = kept.join(few, F.col("doc_id").cast("long") == F.col("__repeated"), "left_semi")
+        again = again.withColumn("__key", jaccard_join.node_key(plan, found.clash)("text")).groupBy("doc_id", "__key")
+        again = again.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
+        good = stay.select(F.col("doc").alias("__doc"), F.col("node").alias("__node"))
+        again = again.join(good, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.col("__key") == F.col("__node")), "left")
+        once = again.where("__key is null or __node is not null").select("__row.*")
+        kept = kept.join(few, F.col("doc_id").cast("long") == F.col("__repeated"), "left_anti").unionByName(once)
     return kept
 
 
@@ -57,8 +73,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 2048 tokens."""
-    return packing.pack(docs, capacity=2048, with_ids=False)
+    """The pieces of sequences of 2048 tokens, with their ids."""
+    return packing.pack(docs, capacity=2048)
 
 
 STAGES = [
