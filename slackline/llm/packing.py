@@ -1,21 +1,25 @@
 """Best-fit packing of token sequences in bulk-synchronous rounds.
 
-Documents become pieces of at most `capacity` tokens. Pieces and gaps (the free ends of open
-sequences) are kept sorted by length; as a length is a whole number up to capacity, a sorted list is
-a run of equal pieces or gaps per length, and a sweep over the runs is bounded by capacity, not by
-the corpus. A round takes the longest pieces left and matches them with their successors, the
-smallest gaps that hold them; which piece gets which gap is resolved by rank within the runs; the
-gaps shrink, and the next round begins. Ranks come from counts per task, so no task ever sorts or holds a
-group of equal lengths, however large.
+Documents become pieces of at most `capacity` tokens. A round range-sorts the pieces left and the gaps (free ends
+of sequences) together by length, longest first. A piece's successor is the smallest gap still free that holds it.
+Sweeping from long to short, gaps go on a stack and a piece takes the top one: every task sweeps its own range, and a
+sweep over two counts of each task (pieces that found nothing, gaps that nobody took) tells by ranks which task's
+left-over gaps its shorter neighbours' pieces get, so that no two pieces get one gap. Gaps shrink, and the next round
+begins; new sequences are opened only for pieces longer than every gap. A gap that holds several of the longest pieces
+left is offered as so many slots, so that short pieces don't need a round each.
+
+A round places at least one piece; on the documents here 9 to 13 rounds place all. Their number grows with the variety
+of lengths, not with the number of documents.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
+import itertools
+import logging
+import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import public_tokenizers
@@ -25,77 +29,137 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import persisted, small_batches
+from ._shared import dropped, numpy_of, persisted, shuffle_partitions, small_batches, write_path
 
 #: The byte-level BPE vocabulary as ranks: the same ids as byte_bpe_50k.json gives, several times faster.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The special token of byte_bpe_50k.json (fixed value): its string in a text is this one id, as there.
+SPECIAL = {"<|endoftext|>": 50256}
 END_OF_TEXT = 0
+#: Pieces and slots of a task of a sweep.
+SWEEP_ROWS = 50_000
+log = logging.getLogger(__name__)
 
 
 def encoder(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
-@dataclass
-class Placement:
-    """Which pieces go where, as runs: pieces of one length with ranks from first on, per_gap to each sequence."""
+SWEPT = "part int, rank long, pid long, size int, sequence_id long, slot int"
 
-    length: list[int] = field(default_factory=list)
-    first: list[int] = field(default_factory=list)
-    sequence: list[int] = field(default_factory=list)
-    per_gap: list[int] = field(default_factory=list)
-    offset: list[int] = field(default_factory=list)
 
-    def add(self, *run: int) -> None:
-        for column, v in zip((self.length, self.first, self.sequence, self.per_gap, self.offset), run):
-            column.append(v)
+def matched(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (pieces, their gaps, pieces without one, gaps without one) of a sweep in order; piece tells which are pieces.
+
+    Gaps open and pieces close brackets; a pair stands on one level with nothing of that level between.
+    """
+    depth = np.cumsum(np.where(piece, -1, 1))
+    alone = piece & (depth < np.minimum(0, np.minimum.accumulate(np.append(0, depth[:-1]))))
+    rest = np.flatnonzero(~alone)
+    closes = piece[rest]
+    level = np.cumsum(np.where(closes, -1, 1)) + closes
+    order = np.argsort(level, kind="stable")
+    here, level, closes = rest[order], level[order], closes[order]
+    pair = np.flatnonzero(closes)  # before each piece of a level stands its gap
+    free = np.ones(len(here), bool)
+    free[pair] = free[pair - 1] = False
+    return here[pair], here[pair - 1], np.flatnonzero(alone), np.sort(here[free])
+
+
+def swept(batches) -> Iterator[pa.RecordBatch]:
+    """One task's sweep: pairs, and ranks of what is left (pieces first to last, gaps in the order of the sweep)."""
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return
+    t = pa.Table.from_batches(tables)
+    kind, ids, size, slot = (numpy_of(t[c]) for c in ("kind", "id", "size", "slot"))
+    pieces, gaps, loose, open_ = matched(kind == 1)
+    part = TaskContext.get().partitionId()
+
+    def rows(n, rank, pid, sizes, seq, slots):
+        none = lambda v, kind: pa.nulls(n, kind) if v is None else pa.array(v, kind)
+        cols = [pa.array(np.full(n, part, np.int32)), none(rank, pa.int64()), none(pid, pa.int64()), none(sizes, pa.int32()), none(seq, pa.int64()), none(slots, pa.int32())]
+        return pa.RecordBatch.from_arrays(cols, names=["part", "rank", "pid", "size", "sequence_id", "slot"])
+
+    yield rows(len(pieces), None, ids[pieces], size[pieces], ids[gaps], slot[gaps])
+    yield rows(len(loose), np.arange(len(loose)), ids[loose], size[loose], None, None)
+    yield rows(len(open_), np.arange(len(open_)), None, size[open_], ids[open_], slot[open_])
+
+
+def resolved(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """From (task, pieces left, gaps left) of every task: (task, first rank, last rank, task of the gaps, rank of the
+    first one's gap); later pieces get gaps of falling ranks."""
+    stack, out = [], []
+    for part, pieces, gaps in sorted(counts):
+        done = 0
+        while done < pieces and stack:
+            owner, n = stack.pop()
+            take = min(n, pieces - done)
+            out.append((part, done, done + take - 1, owner, n - 1))
+            done += take
+            if n > take:
+                stack.append((owner, n - take))
+        if gaps:
+            stack.append((part, gaps))
+    return out
 
 
-def sweep(counts: dict[int, int], capacity: int) -> Placement:
-    """Rounds from the longest pieces to the shortest: each takes its successor among the gaps.
+def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
+    """(pid, sequence_id, offset) of pieces (pid, size), sizes from 1 to capacity; sequences are numbered from 0.
 
-    A gap that holds several equal pieces takes all of them at once, as best fit would one by one
-    (what is left after the first is still the smallest gap that fits).
+    A round's tables are written to the shared folder. The driver gets the number of pieces and gaps of each
+    length (2 * capacity numbers at most) and two counts of each task.
     """
-    out = Placement()
-    gaps: dict[int, list[tuple[int, int]]] = {}  # free length -> runs of sequences (first, number)
-    sizes: list[int] = []  # the free lengths in order
-    opened = 0
-
-    def put(free: int, first: int, number: int) -> None:
-        if free and number:
-            if free not in gaps:
-                bisect.insort(sizes, free)
-                gaps[free] = []
-            gaps[free].append((first, number))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect.bisect_left(sizes, length)
-            if k == len(sizes):
-                per, number = capacity // length, -(-left // (capacity // length))
-                free, first = capacity, opened
-                opened += number
-            else:
-                free = sizes[k]
-                first, number = gaps[free].pop()
-                if not gaps[free]:
-                    del gaps[free], sizes[k]
-                per = free // length
-            full = min(number, left // per)
-            rest = left - full * per if full < number else 0
-            taken = full + (rest > 0)
-            out.add(length, rank, first, per, capacity - free)
-            put(free - per * length, first, full)
-            if rest:
-                put(free - rest * length, first + full, 1)
-            put(free, first + taken, number - taken)
-            rank += full * per + rest
-            left -= full * per + rest
-    return out
+    spark = pieces.sparkSession
+    path = write_path(spark, "packing-placed")
+    shape = "pid long, size int, sequence_id long, slot int"
+    left, opened = persisted(pieces.select("pid", F.col("size").cast("int").alias("size")), "packing-left"), 0
+    gaps = persisted(spark.createDataFrame([], "sequence_id long, free int"), "packing-gaps")
+    for turn in itertools.count():
+        tally = left.groupBy(F.lit(1).alias("kind"), "size").count().unionByName(gaps.groupBy(F.lit(0).alias("kind"), F.col("free").alias("size")).count()).collect()
+        sizes = sorted(((r["size"], r["count"]) for r in tally if r["kind"] == 1), reverse=True)
+        if not sizes:
+            break
+        longest, shortest, widest = sizes[0][0], sizes[-1][0], max((r["size"] for r in tally if r["kind"] == 0), default=0)
+        now = gaps.where(F.col("free") >= shortest)
+        if longest > widest:
+            new = sum(n for s, n in sizes if s > widest and 2 * s > capacity) or math.ceil(sum(s * n for s, n in sizes if s > widest) / capacity)
+            now = now.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("sequence_id"), F.lit(capacity).alias("free")))
+            opened += new
+        k = F.greatest(F.lit(1), F.floor(F.col("free") / longest)).cast("int")
+        slots = now.withColumn("k", k).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        slots = slots.select(F.lit(0).alias("kind"), F.col("sequence_id").alias("id"), F.when(F.col("slot") == F.col("k") - 1, F.col("free") - longest * (F.col("k") - 1)).otherwise(longest).cast("int").alias("size"), "slot")
+        both = slots.unionByName(left.select(F.lit(1).alias("kind"), F.col("pid").alias("id"), "size", F.lit(0).alias("slot"))).withColumn("h", F.xxhash64("id", "slot"))
+        n_rows = 2 * sum(n for _, n in sizes) + sum(r["count"] for r in tally if r["kind"] == 0)
+        order = [F.desc("size"), F.asc("kind"), F.asc("h")]  # of equal lengths gaps come first: they hold the pieces
+        both = both.repartitionByRange(max(1, min(shuffle_partitions(spark), math.ceil(n_rows / SWEEP_ROWS))), *order).sortWithinPartitions(*order)
+        found = persisted(both.select("kind", "id", "size", "slot").mapInArrow(swept, SWEPT), "packing-swept")
+        loose, open_ = found.where("sequence_id is null"), found.where("pid is null")
+        ranked = found.where("rank is not null").groupBy("part").agg(F.count("pid").alias("pieces"), F.count("sequence_id").alias("gaps")).collect()
+        runs = resolved([(r["part"], r["pieces"], r["gaps"]) for r in ranked])
+        placed = found.where("rank is null").select("pid", "size", "sequence_id", "slot")
+        if runs:
+            table = F.broadcast(spark.createDataFrame(runs, "part int, first long, last long, owner int, top long"))  # two rows for each task at most
+            asked = loose.join(table, "part").where("rank between first and last").select("pid", "size", "owner", (F.col("top") - F.col("rank") + F.col("first")).alias("rank"))
+            offered = open_.select(F.col("part").alias("owner"), "rank", "sequence_id", "slot")
+            placed = placed.unionByName(asked.join(offered, ["owner", "rank"]).select("pid", "size", "sequence_id", "slot"))
+        placed.write.parquet(f"{path}/round={turn}")
+        placed = spark.read.schema(shape).parquet(f"{path}/round={turn}")
+        after = loose.select("pid", "size")
+        after = persisted(after.join(placed.select("pid"), "pid", "left_anti") if runs else after, "packing-left")
+        shrunk = now.unionByName(placed.select("sequence_id", (-F.col("size")).alias("free"))).groupBy("sequence_id").agg(F.sum("free").cast("int").alias("free")).where("free > 0")
+        shrunk = persisted(shrunk, "packing-gaps")
+        dropped(left, gaps, found)
+        left, gaps = after, shrunk
+        log.info("round %d: %d pieces of up to %d tokens, %d sequences", turn, sum(n for _, n in sizes), longest, opened)
+    dropped(left, gaps)
+    if not opened:
+        return spark.createDataFrame([], "pid long, sequence_id long, offset long")
+    before = Window.partitionBy("sequence_id").orderBy("round", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    rows = spark.read.schema(f"{shape}, round int").parquet(path)
+    return rows.select("pid", "sequence_id", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("offset"))
 
 
 def pieces_of(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -108,67 +172,46 @@ def pieces_of(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 
 
 def tokenized(docs: DataFrame, vocabulary: str, capacity: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids, task, place): place counts a task's pieces of one length."""
+    """(doc_id, piece, start, length, ids_crc32, ids, pid): pid numbers the pieces, by task and place."""
 
     def run(batches):
         enc = encoder(vocabulary)
-        task = TaskContext.get().partitionId()
-        seen = [0] * (capacity + 1)
+        pid = TaskContext.get().partitionId() << 36
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 rows: list[tuple] = []
                 for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = np.append(enc.encode_to_numpy(t or "", disallowed_special=()), END_OF_TEXT).astype("<u4")
+                    ids = np.append(enc.encode_to_numpy(t or "", allowed_special="all"), END_OF_TEXT).astype("<u4")
                     for p, (start, n) in enumerate(pieces_of(len(ids), capacity)):
                         raw = ids[start : start + n].tobytes()
-                        rows.append((d, p, start, n, zlib.crc32(raw), raw, task, seen[n]))
-                        seen[n] += 1
-                cols = list(zip(*rows)) if rows else [()] * 8
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "task", "place"])
+                        rows.append((d, p, start, n, zlib.crc32(raw), raw, pid))
+                        pid += 1
+                cols = list(zip(*rows)) if rows else [()] * 7
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "pid"])
 
     small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task int, place long")
+    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, pid long")
 
 
 def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset): every token of every document, packed.
 
-    A document is its text's ids and then id 0; a null or empty text is that one id. Longer ones than
-    capacity are cut, a shorter piece first. Rows that repeat, and null ids, are documents
-    of their own. An empty table gives no rows. Ties (pieces of one length) go by task and place.
-    Only the two named columns are read. with_ids=False leaves the ids out.
+    A document is its text's ids and then id 0; a null or empty text is that one id; the string of the special token
+    is its id. Longer ones than capacity are cut, a shorter piece first. Rows that repeat, and null ids, are documents
+    of their own. An empty table gives no rows. Ties (pieces of one length) go by a hash of the piece's number. Only
+    the two named columns are read. with_ids=False leaves the ids out. Whole pieces are sequences of their own
+    (negative numbers).
 
-    The corpus is tokenised once, into a table in the shared folder that fixes each task's counts; the
-    only shuffle besides is of one row for each task and length. What the driver gathers is one count
-    per length.
+    The corpus is tokenised once, into a table in the shared folder; the rounds move numbers and lengths of pieces
+    only. At the end each piece is joined with its place.
     """
     made = tokenized(docs, vocabulary or public_tokenizers.path(VOCABULARY), capacity, doc_id, text)
     made = persisted(made if with_ids else made.drop("ids"), "pieces")
-    tally = persisted(made.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
-    counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = sweep(counts, capacity)
-    runs = docs.sparkSession.sparkContext.broadcast([np.array(x, np.int64) for x in (plan.length, plan.first, plan.sequence, plan.per_gap, plan.offset)])
-    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = tally.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-
-    def placed(batches):
-        length, first, sequence, per_gap, offset = runs.value
-        # runs of a length stand together, lengths falling and ranks rising
-        key = (capacity - length) * np.int64(1 << 48) + first
-        for b in batches:
-            n = b.column("length").to_numpy()
-            rank = b.column("before").to_numpy() + b.column("place").to_numpy()
-            k = np.searchsorted(key, (capacity - n) * np.int64(1 << 48) + rank, side="right") - 1
-            inside = rank - first[k]
-            keep = [c for c in b.schema.names if c not in ("before", "place", "task")]
-            seq, at = sequence[k] + inside // per_gap[k], offset[k] + inside % per_gap[k] * n
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(seq), pa.array(at)], names=[*keep, "sequence_id", "offset"])
-
-    rows = made.join(ranks, ["length", "task"])
-    names = [c for c in made.columns if c not in ("task", "place")]
-    kinds = dict(made.dtypes)
-    shape = ", ".join(f"{c} {kinds[c]}" for c in names) + ", sequence_id long, offset long"
-    return rows.select(*names, "place", "before").mapInArrow(placed, shape)
+    names = [c for c in made.columns if c != "pid"]
+    short = made.where(F.col("length") < capacity)
+    places = best_fit(short.select("pid", F.col("length").alias("size")), capacity)
+    whole = made.where(F.col("length") == capacity).select(*names, (-1 - F.col("pid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return short.join(places.hint("shuffle_hash"), "pid").select(*names, "sequence_id", "offset").unionByName(whole)

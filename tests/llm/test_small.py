@@ -181,7 +181,6 @@ def test_packing_round_trip(spark):
     import public_tokenizers
 
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(words(i, int(n))), "en", "s") for i, n in enumerate(rng.integers(1, 60, 80))]
     rows += [(100, None, None, None), (101, "", "en", "s"), (102, " ".join(words(9, 3000)), "en", "s"), (103, "a <|endoftext|> b \n\t é 漢字 \U0001f600", "en", "s"), (104, "x" * 30000, "en", "s"), (None, "no id", "en", "s"), (3, rows[3][1], "en", "s")]
@@ -200,24 +199,55 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
-def test_sweep_is_best_fit():
-    rng = np.random.default_rng(4)
-    sizes = rng.integers(1, 65, 500).tolist()
-    plan = packing.sweep({s: sizes.count(s) for s in set(sizes)}, 64)
+def one_by_one(sizes, capacity):
+    """Number of sequences of best fit, longest first."""
     gaps = []
-    for s in sorted(sizes, reverse=True):  # one by one
+    for s in sorted(sizes, reverse=True):
         fits = [g for g in gaps if g >= s]
         if fits:
             gaps.remove(min(fits))
-            gaps.append(min(fits) - s)
-        else:
-            gaps.append(64 - s)
-    used = 0
-    for k in range(len(plan.length)):
-        last = [j for j in range(len(plan.length)) if plan.length[j] == plan.length[k] and plan.first[j] > plan.first[k]]
-        n = (min(plan.first[j] for j in last) if last else sizes.count(plan.length[k])) - plan.first[k]
-        used = max(used, plan.sequence[k] + -(-n // plan.per_gap[k]))
-    assert used == len(gaps)
+        gaps.append((min(fits) if fits else capacity) - s)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("case", ["spread", "equal", "tiny", "one long", "halves"])
+def test_best_fit_rounds(spark, case, monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = {"spread": rng.integers(1, 129, 1500), "equal": np.full(400, 37), "tiny": rng.integers(1, 4, 600), "one long": np.append(127, np.full(300, 3)), "halves": np.repeat([64, 65], 50)}[case]
+    monkeypatch.setattr(packing, "SWEEP_ROWS", 100)  # several tasks
+    df = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "pid long, size int")
+    got = packing.best_fit(df, 128).toPandas()
+    assert sorted(got.pid) == list(range(len(sizes)))
+    got["size"] = sizes[got.pid]
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == np.cumsum([0, *g["size"][:-1]]).tolist() and g["size"].sum() <= 128
+    assert got.sequence_id.nunique() <= one_by_one(sizes.tolist(), 128) * 1.01 + 1
+
+
+def test_matched_is_a_stack():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 7, 60):
+        piece = rng.random(n) < 0.5
+        stack, pairs, alone = [], set(), []
+        for i, p in enumerate(piece):
+            if not p:
+                stack.append(i)
+            elif stack:
+                pairs.add((i, stack.pop()))
+            else:
+                alone.append(i)
+        a, b, c, d = packing.matched(piece)
+        assert set(zip(a.tolist(), b.tolist())) == pairs and c.tolist() == alone and d.tolist() == stack
+
+
+def test_resolved_like_one_sweep():
+    counts = [(0, 2, 5), (1, 3, 1), (2, 2, 0), (3, 9, 4)]
+    stack, want = [], []
+    for part, pieces, gaps in counts:
+        want += [((part, r), stack.pop()) for r in range(pieces) if stack]
+        stack += [(part, r) for r in range(gaps)]
+    got = [((p, first + i), (owner, top - i)) for p, first, last, owner, top in packing.resolved(counts) for i in range(last - first + 1)]
+    assert got == want
 
 
 # --- n-gram Jaccard join --------------------------------------------------------------------------
