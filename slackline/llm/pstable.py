@@ -7,12 +7,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._hashing import mixed
-from ._shared import aligned, block_pairs, dropped, numpy_of, persisted, run_bounds, shuffle_partitions
+from ._shared import aligned, block_pairs, dropped, numpy_of, persisted, run_bounds, shuffle_partitions, write_path
 from .components import components
 
 
@@ -65,7 +66,7 @@ def keys_of(slots: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def plan_tables(rows: int, dim: int, cosine: float, recall: float = 0.95, width: float = 2.0, per_bucket: int = 32) -> Tables:
+def plan_tables(rows: int, dim: int, cosine: float, recall: float = 0.95, width: float = 2.0, per_bucket: int = 512) -> Tables:
     """As many projections as leave about per_bucket unrelated vectors of a table in a bucket, and as
     many tables as find a pair just at the threshold with chance recall (closer pairs: more often)."""
     far, near = collision(math.sqrt(2), width), collision(math.sqrt(2 - 2 * cosine), width)
@@ -83,8 +84,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     the two named ones are not read.
 
     Equal vectors are grouped first (a partial aggregate), so copies never meet in a bucket. The rest
-    are hashed; a pair is counted in the first table where it collides, which both rows' keys tell, so
-    nothing is joined to remove repeats. Buckets of any size are dealt out as pairs of blocks, and
+    are hashed; a pair is counted in the first table where it collides, which a task tells from both rows' 64-bit keys,
+    made anew from the vectors (a product with the projections costs less than keys that travel), so nothing is joined
+    to remove repeats. Buckets of any size are dealt out as pairs of blocks, and
     a task emits link counts and a spanning forest, never all pairs.
     """
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("e"))
@@ -121,31 +123,30 @@ def _pairs(groups: DataFrame, plan: Tables, cosine: float, block_rows: int) -> D
             if not full:
                 yield pa.RecordBatch.from_arrays([table, pa.array(keys.ravel())], names=["t", "bucket"])
                 continue
-            short = (keys & 0x7FFFFFFF).astype(np.int32)
-            sig = pa.array([s.tobytes() for s in short], pa.binary())
             for at in range(0, n, 512):
                 rows = pa.array(np.repeat(np.arange(at, min(n, at + 512)), t))
                 cut = slice(at * t, min(n, at + 512) * t)
-                cols = [b.column("gid").take(rows), b.column("mult").take(rows), b.column("e").take(rows), sig.take(rows), table[cut], pa.array(keys.ravel()[cut])]
-                yield pa.RecordBatch.from_arrays(cols, names=["gid", "mult", "e", "sig", "t", "bucket"])
+                cols = [b.column("gid").take(rows), b.column("mult").take(rows), b.column("e").take(rows), table[cut], pa.array(keys.ravel()[cut])]
+                yield pa.RecordBatch.from_arrays(cols, names=["gid", "mult", "e", "t", "bucket"])
 
     large = groups.select("e").mapInArrow(lambda it: hashed(it, False), "t int, bucket long").groupBy("t", "bucket").count().where(F.col("count") > block_rows)
     large = persisted(large, "large-buckets")
     kind = dict(groups.dtypes)["e"]
-    rows = groups.mapInArrow(lambda it: hashed(it, True), f"gid long, mult long, e {kind}, sig binary, t int, bucket long")
+    rows = groups.mapInArrow(lambda it: hashed(it, True), f"gid long, mult long, e {kind}, t int, bucket long")
     rows = block_pairs(rows.join(large, ["t", "bucket"], "left").withColumn("count", F.coalesce("count", F.lit(1))), F.col("count"), block_rows, F.col("gid"))
     keys = ["t", "bucket", "blk_i", "blk_j"]
     rows = rows.drop("count").repartition(shuffle_partitions(groups.sparkSession), *keys).sortWithinPartitions(*keys, "side")
-    return rows.mapInArrow(lambda it: _linked(it, keys, cosine), "a long, b long, n long")
+    return rows.mapInArrow(lambda it: _linked(it, keys, cosine, plan), "a long, b long, n long")
 
 
-def _linked(batches, keys: list[str], cosine: float) -> Iterator[pa.RecordBatch]:
+def _linked(batches, keys: list[str], cosine: float, plan: Tables) -> Iterator[pa.RecordBatch]:
+    drawn = plan.draw()
     for chunk in aligned(batches, keys, 8192):
         key = [numpy_of(chunk[k]) for k in keys]
         gid, mult, side, table = numpy_of(chunk["gid"]), numpy_of(chunk["mult"]), numpy_of(chunk["side"]), key[0]
         x = matrix(chunk["e"])
         x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-        sig = np.frombuffer(b"".join(chunk["sig"].to_pylist()), np.int32).reshape(len(x), -1)
+        sig = np.concatenate([keys_of(np.floor(plan.slots(x[i : i + 4096], drawn))) for i in range(0, len(x), 4096)])
         links = np.zeros(len(x), np.int64)
         edges: list[np.ndarray] = []
         bounds = run_bounds(*key)
@@ -230,14 +231,16 @@ def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray
 @dataclass(frozen=True)
 class SearchPlan:
     """visit: the share of all rows in the buckets that a query visits in each table. Vectors without
-    near neighbours (as good as isotropic ones) need a large share; clustered ones a small one."""
+    near neighbours (as good as isotropic ones) need a large share; clustered ones a small one.
+    query_rows: queries broadcast at once. step, least: see nearest()."""
 
     projections: int = 8
     tables: int = 2
     width: float = 2.5
-    visit: float = 0.7
-    block_rows: int = 16384
-    query_rows: int = 4096
+    visit: float = 0.65
+    query_rows: int = 8192
+    step: int = 8
+    least: int = 16384
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", plan: SearchPlan | None = None) -> DataFrame:
@@ -245,141 +248,178 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
 
     A query's own id is no candidate; ties go to the smaller vec_id; with fewer than k candidates
     all come. Vectors that are null, empty, zero or hold null or non-finite components, rows without
-    an id, and vectors of another length than the queries' most frequent one take no part. Rows that
-    repeat an id count once with their best score. No usable query or row: no rows. Only the two named columns are read.
+    an id, and vectors of another length than the queries' most frequent one take no part. Rows or queries
+    that repeat an id count once with their best score. No usable query or row: no rows. Only the two named columns are read.
 
     Inner products become distances by one more component, which fills every row up to the largest norm. The
     directory of buckets with their counts is bounded by the lattice (slots to the power of
     projections), not by the rows. A query ranks all buckets by the squared distance of its
     projections to their slots (the likelier, the nearer) and visits the first of them until they
-    hold the wanted share of the rows. Rows are dealt into blocks of neighbouring buckets, a large bucket
-    into several; queries in blocks meet those row blocks that hold a bucket they visit.
+    hold the wanted share of the rows. A product is taken only of a query and the rows of a bucket that it visits.
+
+    No row is shuffled. Queries are broadcast in blocks of bounded size, and each task keeps the k best of its own
+    rows for each. A ladder of samples (a step-th of the rows of the next one, down to about `least` rows)
+    goes first: the k-th best score in a sample bounds it from below for all rows, so a task hands on about
+    k * step hits of a query in all, whatever the number of tasks, and no row that belongs to the result goes lost.
     """
     plan = plan or SearchPlan()
     spark = vectors.sparkSession
-    pick = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e")).where(usable(F.col("e")) & F.col("vec_id").isNotNull())
-    rows, asked = pick(vectors), pick(queries)
+    pick = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("e")).where(usable(F.col("e")) & F.col("vec_id").isNotNull())
+    rows, asked = pick(vectors), persisted(pick(queries), "search-queries")
     kinds = asked.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not kinds:
         return spark.createDataFrame([], schema)
     dim = kinds[0]["d"]
-    rows, asked = rows.where(F.size("e") == dim), asked.where(F.size("e") == dim)
-    top = rows.agg(F.max(F.aggregate("e", F.lit(0.0), lambda a, v: a + v * v))).first()[0]
-    if top is None:
+    rows, asked = persisted(rows.where(F.size("e") == dim), "search-rows"), asked.where(F.size("e") == dim)
+    double = lambda v: v.cast("double")
+    found = rows.agg(F.max(F.aggregate("e", F.lit(0.0), lambda a, v: a + double(v) * double(v))).alias("top"), F.count("*").alias("n")).first()
+    if not found["n"]:
         return spark.createDataFrame([], schema)
-    hashing = Tables(dim + 1, plan.projections, plan.tables, plan.width)
-    norm = math.sqrt(top)
-
-    def drawn():
-        a, off = hashing.draw()
-        for t in range(plan.tables):  # orthogonal directions tell more than independent ones
-            cols = slice(t * plan.projections, (t + 1) * plan.projections)
-            if plan.projections <= len(a):
-                a[:, cols] = np.linalg.qr(a[:, cols])[0] * math.sqrt(len(a) - 1)
-        return a, off
-
-    def lifted(x: np.ndarray, query: bool) -> np.ndarray:
+    lattice = Lattice(Tables(dim + 1, plan.projections, plan.tables, plan.width), found["top"])
+    cells = rows.select("e").mapInArrow(lambda it: _cells(it, lattice), "t int, code binary, n long").groupBy("t", "code").agg(F.sum("n").alias("n")).orderBy("t", "code").toPandas()
+    codes = [np.frombuffer(b"".join(bytes(c) for c in cells.code[cells.t == t]), np.int16).reshape(-1, plan.projections) for t in range(plan.tables)]
+    index = (codes, [cells.n[cells.t == t].to_numpy() for t in range(plan.tables)])
+    ladder = [1]
+    while found["n"] / ladder[0] > plan.least * plan.step:
+        ladder.insert(0, ladder[0] * plan.step)
+    blocks = max(1, math.ceil(asked.count() / plan.query_rows))
+    path = write_path(spark, "search-hits")
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)) == block).select("vec_id", "e").toPandas()
+        if not len(own):
+            continue
+        q = np.array(own.e.tolist(), np.float64)
+        ids, of = np.unique(own.vec_id.to_numpy(), return_inverse=True)  # rows that repeat a query's id are one query
+        bound = np.full(len(ids), -np.inf)
+        for share in ladder:
+            shared = spark.sparkContext.broadcast((ids, of, q, bound, lattice, index))
+            some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(share)) == 0) if share > 1 else rows
+            hits = some.mapInArrow(lambda it, shared=shared: _searched(it, shared.value, plan, k), "place int, vec_id long, score double")
+            hits = hits.groupBy("place", "vec_id").agg(F.max("score").alias("score"))
+            best = Window.partitionBy("place").orderBy(F.desc("score"), "vec_id")
+            hits = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+            if share > 1:
+                edge = hits.where(F.col("rank") == k).select("place", "score").toPandas()
+                bound = np.full(len(ids), -np.inf)
+                bound[edge.place.to_numpy()] = edge.score.to_numpy()
+                shared.unpersist()
+        named = spark.createDataFrame(pd.DataFrame({"place": np.arange(len(ids), dtype=np.int32), "query_id": ids}))
+        hits.join(F.broadcast(named), "place").select("query_id", "rank", "vec_id", "score").write.parquet(f"{path}/block={block}")  # query_rows rows
+        shared.unpersist()
+    dropped(rows, asked)
+    return spark.read.schema(f"{schema}, block int").parquet(path).drop("block")
+
+
+class Lattice:
+    """The bucket codes of rows and the slot positions of queries, lifted so that inner products become distances."""
+
+    def __init__(self, tables: Tables, top: float):
+        self.tables, self.top, self.norm, self.drawn = tables, top, math.sqrt(top), None
+
+    def slots(self, x: np.ndarray, query: bool) -> np.ndarray:
+        if self.drawn is None:
+            a, off = self.tables.draw()
+            k = self.tables.projections
+            for t in range(self.tables.tables):  # orthogonal directions tell more than independent ones
+                if k <= len(a):
+                    a[:, t * k : (t + 1) * k] = np.linalg.qr(a[:, t * k : (t + 1) * k])[0] * math.sqrt(len(a) - 1)
+            self.drawn = a, off
         own = np.einsum("ij,ij->i", x, x)
-        if query:
-            return np.concatenate([x / np.sqrt(own)[:, None], np.zeros((len(x), 1))], axis=1)
-        return np.concatenate([x / norm, np.sqrt(np.maximum(0, 1 - own / top))[:, None]], axis=1)
+        last = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, 1 - own / self.top))
+        scale = np.sqrt(own)[:, None] if query else self.norm
+        return self.tables.slots(np.concatenate([x / scale, last[:, None]], axis=1), self.drawn)
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return np.floor(self.slots(x, False)).astype(np.int16)
+
+
+def _cells(batches, lattice: Lattice) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        s = lattice.codes(matrix(b.column("e")))
+        for t in range(s.shape[1]):
+            codes, n = np.unique(s[:, t], axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), t, np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(n)], names=["t", "code", "n"])
+
+
+def _visits(q: np.ndarray, lattice: Lattice, index, visit: float) -> list[np.ndarray]:
+    """For each table (queries, buckets): whether the query visits the bucket."""
+    codes, counts = index
+    at = lattice.slots(q, True)
+    out = []
+    for t, code in enumerate(codes):
+        seen = np.zeros((len(q), len(code)), bool)
+        for first in range(0, len(q), 256):
+            score = _bucket_scores(code.astype(np.float64), at[first : first + 256, t])
+            order = np.argsort(score, axis=1, kind="stable")
+            before = np.cumsum(counts[t][order], axis=1) - counts[t][order]
+            np.put_along_axis(seen[first : first + 256], order, before < visit * counts[t].sum(), axis=1)
+        out.append(seen)
+    return out
 
-    def cells(batches):
-        d = drawn()
-        for b in batches:
-            s = np.floor(hashing.slots(lifted(matrix(b.column("e")), False), d)).astype(np.int16)
-            for t in range(plan.tables):
-                codes, n = np.unique(s[:, t], axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), t, np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(n)], names=["t", "code", "n"])
-
-    found = rows.select("e").mapInArrow(cells, "t int, code binary, n long").groupBy("t", "code").agg(F.sum("n").alias("n")).orderBy("t", "code").toPandas()
-    codes, counts, starts = [], [], []
-    for t in range(plan.tables):
-        own = found[found.t == t]
-        codes.append(np.frombuffer(b"".join(bytes(c) for c in own.code), np.int16).reshape(len(own), -1).astype(np.float64))
-        counts.append(own.n.to_numpy())
-        starts.append(np.concatenate([[0], np.cumsum(counts[-1])]))
-    n_blocks = [max(1, math.ceil(s[-1] / plan.block_rows)) for s in starts]
-    total = int(starts[0][-1])
-    index = spark.sparkContext.broadcast((codes, counts, starts))
-
-    def dealt(batches):
-        """Rows to their block of each table: a bucket spans the blocks that its places in the directory fall into."""
-        d = drawn()
-        codes, counts, starts = index.value
-        lookup = [{c.astype(np.int16).tobytes(): i for i, c in enumerate(cs)} for cs in codes]
-        for b in batches:
-            x, ids = matrix(b.column("e")), numpy_of(b.column("vec_id"))
-            s = np.floor(hashing.slots(lifted(x, False), d)).astype(np.int16)
-            spread = mixed(ids.view(np.uint64)).astype(np.float64) / 2.0**64
-            for t in range(plan.tables):
-                cell = np.array([lookup[t][c.tobytes()] for c in s[:, t]], np.int64)
-                place = starts[t][cell] + np.minimum((spread * counts[t][cell]).astype(np.int64), counts[t][cell] - 1)
-                block = (place * n_blocks[t] // total).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(block), pa.array(cell.astype(np.int32)), b.column("vec_id"), b.column("e"), pa.nulls(len(x), pa.float64())], names=DEALT)
-
-    def asking(batches):
-        """Queries to every block that holds a bucket they visit, with the score up to which they visit."""
-        d = drawn()
-        codes, counts, starts = index.value
-        for b in batches:
-            q = matrix(b.column("e"))
-            at = hashing.slots(lifted(q, True), d)
-            for first in range(0, len(q), 256):
-                for t in range(plan.tables):
-                    score = _bucket_scores(codes[t], at[first : first + 256, t])
-                    order = np.argsort(score, axis=1, kind="stable")
-                    before = np.cumsum(counts[t][order], axis=1) - counts[t][order]
-                    last = (before < plan.visit * total).sum(1) - 1
-                    limit = np.take_along_axis(np.take_along_axis(score, order, 1), last[:, None], 1)[:, 0]
-                    low, high = starts[t][:-1] * n_blocks[t] // total, (starts[t][1:] - 1) * n_blocks[t] // total
-                    wanted = np.zeros((len(score), n_blocks[t]), bool)
-                    visited = score <= limit[:, None]
-                    for blk in range(n_blocks[t]):
-                        wanted[:, blk] = visited[:, (low <= blk) & (high >= blk)].any(1)
-                    who, block = np.nonzero(wanted)
-                    pick = pa.array(who + first)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), t, np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(who), -1, np.int32)), b.column("vec_id").take(pick), b.column("e").take(pick), pa.array(limit[who])], names=DEALT)
-
-    n_query_blocks = max(1, math.ceil(asked.count() / plan.query_rows))
-    shape = "t int, block int, cell int, vec_id long, e array<double>, cutoff double"
-    left = asked.mapInArrow(asking, shape).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).cast("int"))
-    right = rows.mapInArrow(dealt, shape).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    keys = ["t", "block", "qb"]
-    both = left.unionByName(right).repartition(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys, "cell")
-
-    def ranked(batches):
-        d = drawn()
-        codes = index.value[0]
-        for chunk in aligned(batches, keys, 1):
-            key = [numpy_of(chunk[c]) for c in keys]
-            ids, cell, cutoff, x = numpy_of(chunk["vec_id"]), numpy_of(chunk["cell"]), numpy_of(chunk["cutoff"]), matrix(chunk["e"])
-            bounds = run_bounds(*key)
-            for s, e in zip(bounds[:-1], bounds[1:]):
-                cut = s + int((cell[s:e] < 0).sum())
-                if cut in (s, e):
-                    continue
-                t = int(key[0][s])
-                own = np.unique(cell[cut:e])
-                of = np.searchsorted(own, cell[cut:e])
-                for q0 in range(s, cut, 256):
-                    q1 = min(cut, q0 + 256)
-                    at = hashing.slots(lifted(x[q0:q1], True), d)[:, t]
-                    visited = _bucket_scores(codes[t][own], at) <= cutoff[q0:q1, None]
-                    score = x[q0:q1] @ x[cut:e].T
-                    score[~visited[:, of]] = -np.inf
-                    score[ids[q0:q1, None] == ids[None, cut:e]] = -np.inf
-                    yield from _best(score, ids[q0:q1], ids[cut:e], x[q0:q1], x[cut:e], k)
-
-    hits = both.mapInArrow(ranked, "query_id long, vec_id long, score double")
-    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)  # bounded: k from each block and table
-    out = hits.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "hit"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.s")).alias("score"))
-
-
-DEALT = ["t", "block", "cell", "vec_id", "e", "cutoff"]
+
+def _searched(batches, shared, plan: SearchPlan, k: int) -> Iterator[pa.RecordBatch]:
+    """Each query's k best of one task's rows that reach its bound, (place of the query, vec_id, score).
+
+    Rows come in growing chunks, so that what a chunk adds to the best of all before stays small."""
+    ids, of, q, bound, lattice, index = shared
+    ids, bound = ids[of], bound[of]
+    visits = lookup = None
+    best_s, best_i = np.full((len(q), k), -np.inf), np.full((len(q), k), -1, np.int64)
+    size = 64
+    for b in batches:
+        lo = 0
+        while lo < b.num_rows:
+            part = b.slice(lo, size)
+            lo, size = lo + size, min(2 * size, 4096)
+            if visits is None:
+                visits = _visits(q, lattice, index, plan.visit)
+                lookup = [{c.tobytes(): i for i, c in enumerate(cs)} for cs in index[0]]
+            x, own = matrix(part.column("e")), numpy_of(part.column("vec_id"))
+            code = lattice.codes(x)
+            cell = [np.array([lookup[t][c.tobytes()] for c in code[:, t]], np.int64) for t in range(len(lookup))]
+            edge = np.maximum(bound, best_s[:, -1])
+            got = []
+            for t, at in enumerate(cell):
+                order = np.argsort(at, kind="stable")
+                for g in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                    who = np.flatnonzero(visits[t][:, at[g[0]]])
+                    score = q[who] @ x[g].T
+                    hit = score >= edge[who, None] - 1e-9
+                    for earlier in range(t):  # a pair counts in the first table that visits it
+                        hit &= ~visits[earlier][np.ix_(who, cell[earlier][g])]
+                    i, j = np.nonzero(hit)
+                    got.append((who[i], g[j]))
+            who, what = (np.concatenate(c) for c in zip(*got))
+            other = ids[who] != own[what]
+            who, what = who[other], what[other]
+            # scores anew in one fixed order of sums
+            exact = np.concatenate([np.einsum("ij,ij->i", q[who[i : i + 65536]], x[what[i : i + 65536]]) for i in range(0, len(who), 65536)] or [np.zeros(0)])
+            _merge(best_s, best_i, who, own[what], exact, k)
+    place, rank = np.nonzero(np.isfinite(best_s) & (best_s >= bound[:, None] - 1e-9))
+    yield pa.RecordBatch.from_arrays([pa.array(of[place].astype(np.int32)), pa.array(best_i[place, rank]), pa.array(best_s[place, rank])], names=["place", "vec_id", "score"])
+
+
+def _merge(best_s: np.ndarray, best_i: np.ndarray, who: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> None:
+    """Put hits among the k best of their queries; an id counts once, with its best score."""
+    touched = np.unique(who)
+    old = np.repeat(touched, k)
+    s, i = np.concatenate([score, best_s[touched].ravel()]), np.concatenate([ids, best_i[touched].ravel()])
+    w = np.concatenate([who, old])
+    use = np.isfinite(s)
+    w, i, s = w[use], i[use], s[use]
+    order = np.lexsort((-s, i, w))
+    w, i, s = w[order], i[order], s[order]
+    new = np.append(True, (w[1:] != w[:-1]) | (i[1:] != i[:-1]))[: len(w)]
+    w, i, s = w[new], i[new], s[new]
+    order = np.lexsort((i, -s, w))
+    w, i, s = w[order], i[order], s[order]
+    first = np.flatnonzero(np.append(True, w[1:] != w[:-1])[: len(w)])
+    rank = np.arange(len(w)) - np.repeat(first, np.diff(np.append(first, len(w))))
+    keep = rank < k
+    best_s[w[keep], rank[keep]], best_i[w[keep], rank[keep]] = s[keep], i[keep]
 
 
 def _bucket_scores(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -389,17 +429,3 @@ def _bucket_scores(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         low = codes[None, :, j] - at[:, j, None]
         out += np.maximum(0, np.maximum(low, -low - 1)) ** 2
     return out
-
-
-def _best(score: np.ndarray, queries: np.ndarray, ids: np.ndarray, q: np.ndarray, x: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """Each query's k best, ties at the end kept for the smaller id; scores anew in one fixed order of sums."""
-    m = min(k, score.shape[1])
-    edge = np.partition(score, score.shape[1] - m, axis=1)[:, score.shape[1] - m]
-    who, what = np.nonzero((score >= edge[:, None] - 1e-9) & np.isfinite(score))
-    exact = np.einsum("ij,ij->i", q[who], x[what])
-    order = np.lexsort((ids[what], -exact, who))
-    who, what, exact = who[order], what[order], exact[order]
-    new = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, int)
-    place = np.arange(len(who)) - np.repeat(new, np.diff(np.append(new, len(who))))
-    keep = place < k
-    yield pa.RecordBatch.from_arrays([pa.array(queries[who[keep]]), pa.array(ids[what[keep]]), pa.array(exact[keep])], names=["query_id", "vec_id", "score"])
