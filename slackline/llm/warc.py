@@ -38,15 +38,17 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     least_bytes the smallest page_id is the response (refers_to null), the others refer to it.
 
     A null payload is empty; rows that repeat a page_id with one payload are responses each; a null
-    page_id is a response. Payloads aren't shuffled: digests are grouped (with a partial
-    minimum, so a payload shared by any share of the pages is no hot task), and only digests that
-    occur twice are joined back, by broadcast if Spark's size threshold allows.
+    page_id is a response. Payloads are equal if their SHA-256, SHA-1 and lengths are (two pages can be made to share
+    a SHA-1). They aren't shuffled: digests are grouped (with a partial minimum, so a payload shared by any share of
+    the pages is no hot task), and only digests that occur twice are joined back, by broadcast if Spark's size
+    threshold allows.
     """
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"")).alias("payload"))
     base = base.select("page_id", "payload", F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    again = base.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    base = base.withColumn("strong", F.unhex(F.sha2("payload", 256)))
+    again = base.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes", "strong").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = persisted(again, "warc-copies")
-    joined = base.join(again, ["payload_digest", "payload_bytes"], "left")
+    joined = base.join(again, ["payload_digest", "payload_bytes", "strong"], "left")
     return joined.select("page_id", "payload", "payload_bytes", "payload_digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
 
 
@@ -73,9 +75,27 @@ def record(row: DataFrame) -> Column:
     return F.concat(head.cast("binary"), body, F.lit(b"\r\n\r")).cast("string")
 
 
-def write_archives(rows: DataFrame, path: str, records_per_file: int = 2000) -> None:
-    """Rows of with_revisits() as .warc files of at most records_per_file records; no shuffle."""
-    rows.select(record(rows).alias("value")).write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\n").text(path)
+#: Files roll at so many records and so many bytes, unless a single record is longer.
+RECORDS, FILE_BYTES = 2000, 128 << 20
+HEAD_BYTES = 1024
+
+
+def size_classes(most: int) -> list[tuple[int, int, int]]:
+    """(least, most payload bytes, records of a file) of classes of pages that are written apart: a file of a class
+    can't exceed FILE_BYTES, as none of its records exceeds the class, and long pages don't make short ones' files few."""
+    out, low, high = [], 0, FILE_BYTES // RECORDS - HEAD_BYTES
+    while low <= most:
+        out.append((low, high, max(1, FILE_BYTES // (high + HEAD_BYTES))))
+        low, high = high + 1, 16 * high
+    return out
+
+
+def write_archives(rows: DataFrame, path: str) -> None:
+    """Rows of with_revisits() as .warc files of bounded size, a folder for each class of sizes; no shuffle."""
+    found = rows.agg(F.max("payload_bytes")).first()[0]
+    for k, (low, high, records) in enumerate(size_classes(found if found is not None else 0)):
+        own = rows.where(F.col("payload_bytes").between(low, high))
+        own.select(record(own).alias("value")).write.option("maxRecordsPerFile", records).option("lineSep", "\n").text(f"{path}/class-{k}")
 
 
 CANDIDATES = "file string, offset long, successor long, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string, intact boolean, first boolean"
@@ -114,8 +134,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     and intact (a response's payload has the digest of its header).
 
     Only records on the chain from offset 0 of their file are returned. An empty file has none.
-    Repeated files give their rows again. A file is read by one task, so files are rolled at a
-    bounded number of records when written.
+    Repeated files give their rows again. A file is read by one task (and Spark refuses files above 2 GB), so files
+    are rolled at a bounded number of records and bytes when written.
     """
 
     def run(batches):
