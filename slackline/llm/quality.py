@@ -3,7 +3,8 @@
 A logistic model on style features of the whole text gives each document's evidence. Grouped sums of
 it give every site's posterior quality, shrunk toward the global prior, and every path's (a part of a
 site), shrunk toward its site's. How strongly is learned from how much the groups differ, so a
-sparse site hardly moves its documents.
+sparse site hardly moves its documents. A document's own evidence is left out of its site's and its path's, so it
+counts once.
 """
 
 from __future__ import annotations
@@ -147,9 +148,9 @@ def strength(groups: DataFrame, prior: Column) -> float:
 def score_quality(docs: DataFrame, labels: DataFrame, train_limit: int = 4000, doc_id: str = "doc_id", text: str = "text", site: str = "source", path: str = "lang", label: str = "quality") -> DataFrame:
     """(doc_id, site, path, log_odds, site_quality, path_quality, quality, keep), one row per row of docs.
 
-    quality is the probability that combines the document's log odds with its path's posterior
-    (without the document itself); keep is quality >= 0.5. A null text has the evidence of an
-    empty one; a null site or path is a group of its own; without usable labels all evidence is 0 and
+    quality is the probability that combines the document's log odds with its path's posterior; both posteriors are
+    without the document itself; keep is quality >= 0.5. A null text has the evidence of an
+    empty one; a null site or path is a group of its own, apart from an empty one; without usable labels all evidence is 0 and
     quality the prior 0.5. Repeated rows are rows of their own; ties (exactly 0.5) are kept; an empty
     table gives no rows. Other columns of docs and labels are not read. At most train_limit labelled
     documents' features are gathered to fit the model.
@@ -159,32 +160,39 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_limit: int = 4000, d
     broadcast only under Spark's size threshold, otherwise by a join that adaptive execution splits.
     """
     model = learn(docs, labels, train_limit, doc_id, text, label)
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("__text"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(site).cast("string").alias("site"), F.col(path).cast("string").alias("path"), F.col(text).alias("__text"))
     base = persisted(base.withColumn("log_odds", evidence(docs.sparkSession, model)("__text")).drop("__text"), "quality-evidence")
     return combined(base)
 
 
-def hierarchy(base: DataFrame) -> tuple[DataFrame, float, float]:
-    """(sums of every path with its site's posterior, the global prior, a site posterior's strength
-    for its paths) over (doc_id, site, path, log_odds)."""
+def hierarchy(base: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """(sums of every path and of its site, the global prior, its strength for sites, a site posterior's strength
+    for its paths) over (site, path, log_odds)."""
     p = _prob(F.col("log_odds"))
     sums = (F.sum(p).alias("s"), F.sum(p * p).alias("q"), F.count("*").alias("n"))
     paths = persisted(base.groupBy("site", "path").agg(*sums), "quality-paths")
-    sites = paths.groupBy("site").agg(*(F.sum(c).alias(c) for c in ("s", "q", "n")))
+    sites = paths.groupBy(F.col("site").alias("__site")).agg(*(F.sum(c).alias(f"site_{c}") for c in ("s", "q", "n")))
     total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     prior = total["s"] / total["n"] if total["n"] else 0.5
-    k_site = strength(sites, F.lit(prior))
-    sites = sites.select("site", ((F.col("s") + k_site * prior) / (F.col("n") + k_site)).alias("site_quality"))
-    paths = persisted(paths.join(sites, "site").select(F.col("site").alias("__site"), F.col("path").alias("__path"), "s", "q", "n", "site_quality"), "quality-groups")
-    return paths, prior, strength(paths, F.col("site_quality"))
+    k_site = strength(sites.select(*(F.col(f"site_{c}").alias(c) for c in ("s", "q", "n"))), F.lit(prior))
+    joined = paths.join(sites, F.col("site").eqNullSafe(F.col("__site"))).drop("__site")
+    joined = joined.withColumn("site_quality", (F.col("site_s") + k_site * prior) / (F.col("site_n") + k_site))
+    joined = persisted(joined.select(F.col("site").alias("__site"), F.col("path").alias("__path"), "s", "q", "n", "site_s", "site_n", "site_quality"), "quality-groups")
+    return joined, prior, k_site, strength(joined, F.col("site_quality"))
+
+
+def posteriors(own: Column, prior: float, k_site: float, k_path: float) -> tuple[Column, Column]:
+    """(site's, path's) posterior without the document of probability own, from the columns of hierarchy()."""
+    site = (F.col("site_s") - own + k_site * prior) / (F.col("site_n") - 1 + k_site)
+    return site, (F.col("s") - own + k_path * site) / (F.col("n") - 1 + k_path)
 
 
 def combined(base: DataFrame) -> DataFrame:
-    """The posteriors of (doc_id, site, path, log_odds); a document's own evidence is left out of its path's."""
-    paths, prior, k_path = hierarchy(base)
-    rows = base.join(paths, (F.col("site") == F.col("__site")) & (F.col("path") == F.col("__path")))
-    others = (F.col("s") - _prob(F.col("log_odds")) + k_path * F.col("site_quality")) / (F.col("n") - 1 + k_path)
-    rows = rows.select("doc_id", "site", "path", "log_odds", "site_quality", others.alias("path_quality"))
+    """The posteriors of (doc_id, site, path, log_odds)."""
+    groups, prior, k_site, k_path = hierarchy(base)
+    rows = base.join(groups, F.col("site").eqNullSafe(F.col("__site")) & F.col("path").eqNullSafe(F.col("__path")))
+    site, path = posteriors(_prob(F.col("log_odds")), prior, k_site, k_path)
+    rows = rows.select("doc_id", "site", "path", "log_odds", site.alias("site_quality"), path.alias("path_quality"))
     quality = _prob(F.col("log_odds") + _odds(F.col("path_quality")) - _odds(F.lit(prior)))
     return rows.withColumn("quality", quality).withColumn("keep", F.col("quality") >= 0.5)
 
@@ -193,14 +201,16 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_limit: int = 4000, doc_i
     """The rows of docs that score_quality() keeps, with their columns. Texts aren't shuffled: a
     document's evidence is computed anew beside it, and only the group sums join it."""
     model = learn(docs, labels, train_limit, doc_id, text, "quality")
-    group = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    group = lambda c: F.col(c).cast("string")
     log_odds = evidence(docs.sparkSession, model)
-    base = persisted(docs.select(F.lit(0).alias("doc_id"), group(site).alias("site"), group(path).alias("path"), log_odds(F.col(text)).alias("log_odds")), "quality-evidence")
-    paths, prior, k_path = hierarchy(base)
-    paths = paths.select("__site", "__path", F.col("s").alias("__s"), F.col("n").alias("__n"), F.col("site_quality").alias("__q"))
-    rows = docs.withColumn("__log_odds", log_odds(F.col(text))).withColumn("__gs", group(site)).withColumn("__gp", group(path))
-    if paths.count() <= MAX_BROADCAST_GROUPS:
-        paths = F.broadcast(paths)
-    rows = rows.join(paths, (F.col("__gs") == F.col("__site")) & (F.col("__gp") == F.col("__path")))
-    others = (F.col("__s") - _prob(F.col("__log_odds")) + k_path * F.col("__q")) / (F.col("__n") - 1 + k_path)
+    base = persisted(docs.select(group(site).alias("site"), group(path).alias("path"), log_odds(F.col(text)).alias("log_odds")), "quality-evidence")
+    groups, prior, k_site, k_path = hierarchy(base)
+    groups = groups.select(F.struct("__site", "__path").alias("__key"), F.struct("s", "n", "site_s", "site_n").alias("__sums"))
+    rows = docs.withColumn("__log_odds", log_odds(F.col(text))).withColumn("__group", F.struct(group(site), group(path)))
+    if groups.count() <= MAX_BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
+    rows = rows.join(groups, F.col("__group").eqNullSafe(F.col("__key")))
+    own = _prob(F.col("__log_odds"))
+    s, n, site_s, site_n = (F.col(f"__sums.{c}") for c in ("s", "n", "site_s", "site_n"))
+    others = (s - own + k_path * (site_s - own + k_site * prior) / (site_n - 1 + k_site)) / (n - 1 + k_path)
     return rows.where(_prob(F.col("__log_odds") + _odds(others) - _odds(F.lit(prior))) >= 0.5).select(*docs.columns)
