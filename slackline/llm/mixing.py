@@ -10,6 +10,7 @@ only a vector and a matrix of the domains' number reach the driver.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -60,7 +61,8 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 
 def learn_domains(docs: DataFrame, labelled: DataFrame, train_limit: int = 4000, lexicon: int = 256, doc_id: str = "doc_id", text: str = "text") -> DomainModel | None:
     """Learn from at most train_limit labelled documents (smallest hashes of their ids); of the features
-    that tell more than chance would, the lexicon most telling ones stay. A document with several domains counts for each. None without labels."""
+    that tell more than chance would, the lexicon most telling ones stay (the model's size, not a cut of the rows: it is
+    written into the plan as literals, and more features hardly change a posterior). A document with several domains counts for each. None without labels."""
     known = hash_sample(labelled.where("doc_id is not null").select(F.col("doc_id").alias("__d"), "domain").distinct(), train_limit, "__d", "domain")
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(known), F.col("__id") == F.col("__d"))  # train_limit rows at most
     rows = rows.groupBy("__id", "domain").agg(F.min("__t").alias("__t"))  # one text of an id, however often it is repeated
@@ -121,7 +123,8 @@ def fit_rates(members: DataFrame, weights: list[float], most: int = 40, within:
     """Steps whose rates make the expected domain tokens meet weights times all tokens.
 
     members has __n and __p. The start is a rate of 1 for all. A step that makes the distance
-    larger is halved. Ends when the distance is within a share of the target, or can't shrink.
+    larger is halved, and dropped if it is the last. Ends when the distance is within a share of the target; warns with the
+    distance left where it can't shrink (targets out of reach) or most steps don't suffice.
     """
     k = len(weights)
     total = members.agg(F.sum("__n")).first()[0] or 0
@@ -131,25 +134,29 @@ def fit_rates(members: DataFrame, weights: list[float], most: int = 40, within:
     p = [F.col("__p")[i] for i in range(k)]
     steps: list[list[float]] = []
     before, step = float("inf"), None
-    for _ in range(most):
+    for turn in range(most + 1):
         rows = members.withColumn("__r", rate_of(steps))
         free = F.when(F.col("__r") > 0, F.col("__n").cast("double") * F.col("__n")).otherwise(0.0)
         got = rows.agg(*[F.sum(F.col("__r") * F.col("__n") * p[i]).alias(f"g{i}") for i in range(k)], *[F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
         gap = [got[f"g{i}"] - target[i] for i in range(k)]
         distance = sum(x * x for x in gap) ** 0.5
         if distance <= within * sum(x * x for x in target) ** 0.5:
-            break
-        if distance > before * (1 + 1e-12) and step is not None:
+            return steps
+        if distance > before * (1 + 1e-12):
             step = [x / 2 for x in step]
-            if max(abs(x) for x in step) < 1e-18:
+            if turn == most or max(abs(x) for x in step) < 1e-18:
+                steps.pop()  # it leads away
                 break
             steps[-1] = step
             continue
         before = distance
+        if turn == most:
+            break
         gram = [[got[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
         ridge = 1e-9 * sum(gram[i][i] for i in range(k)) + 1e-12
         step = solve([[x + ridge * (i == j) for j, x in enumerate(row)] for i, row in enumerate(gram)], gap)
         steps.append(step)
+    warnings.warn(f"mixing: after {turn} steps the expected domain tokens are {before / sum(target):.2g} of all tokens away from the targets", stacklevel=2)
     return steps
 
 

@@ -92,6 +92,35 @@ FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(u
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_JACCARD = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS x FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(x) < 5 THEN array_to_string(x, ' ') ELSE array_to_string(x[i:i + 4], ' ') END AS g FROM (SELECT doc_id, x, unnest(generate_series(1, greatest(len(x) - 4, 1))) AS i FROM w WHERE len(x) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS s, doc_id AS t FROM w UNION SELECT r.s, e.b FROM r JOIN e ON r.t = e.a)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.t) AS component_id FROM w JOIN r ON r.s = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id"""
+
+
+def _licences() -> str:
+    labels, known = license_scan.clauses()
+    rows = ", ".join(f"({i}, {c.notice}, '{labels[c.notice]}', {c.base}, {k}, '{w}', {int(k in c.key)}, {len(c.key)}, {c.need})" for i, c in enumerate(known) for k, w in enumerate(c.words))
+    total = ", ".join(f"({g}, {sum(len(c.words) for c in known if c.notice == g)})" for g in range(len(labels)))
+    return rf"""
+WITH t(clause, notice, label, base, pos, word, key, n_key, need) AS (VALUES {rows}), size(notice, total) AS (VALUES {total}),
+x AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM documents),
+w AS (SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) - 1 AS place FROM x),
+m AS (SELECT doc_id, clause, notice, label, base, n_key, place - pos AS s, count(*) AS k FROM w JOIN t USING (word) GROUP BY doc_id, clause, notice, label, base, n_key, need, place - pos HAVING count(*) >= need AND sum(key) = n_key),
+b AS (SELECT doc_id, count(*) AS n, min(s) AS lo, max(s) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM m WHERE base GROUP BY 1),
+g AS (SELECT doc_id, notice, label, sum(k) AS k FROM (SELECT doc_id, notice, label, clause, max(n_key) AS n_key, max(k) AS k FROM m GROUP BY ALL) GROUP BY 1, 2, 3 HAVING max(n_key) > 0),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(k / total::DOUBLE) AS score FROM g JOIN size USING (notice) GROUP BY 1)
+SELECT x.doc_id, len(x.x)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels, coalesce(a.score, 0.0) AS score
+FROM x LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in (lambda r: [(t.partition("/")[0], "/" + t.partition("/")[2], v) for t, v in r])(URL_RULES)]
     fits.sort(key=lambda x: -len(x[1]))
@@ -106,6 +135,8 @@ reach AS (SELECT vec_id AS s, vec_id AS t FROM v UNION SELECT r.s, l.b FROM reac
 SELECT v.vec_id, coalesce(max(c.n), 0)::BIGINT AS n_links, min(r.t) AS component_id, v.vec_id = min(r.t) AS kept
 FROM v JOIN reach r ON r.s = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = v.vec_id
 GROUP BY v.vec_id""",
+        "op5_ngram_jaccard_join": _JACCARD,
+        "op9_license_scan": _licences(),
         "op6_warc": """
 SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
        array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_reduce(list_transform(generate_series(0, 4), lambda k: (CASE WHEN (strpos('0123456789abcdef', d[((i * 5 + k) // 4) + 1]) - 1) & (8 >> ((i * 5 + k) % 4)) > 0 THEN 1 ELSE 0 END)::INTEGER), lambda x, y: x * 2 + y) + 1, 1)), '') AS payload_digest,

@@ -582,7 +582,7 @@ def test_licenses_against_brute_force(spark):
     rng = np.random.default_rng(9)
     lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "under the mit", "cc by", "license under the MIT license under the mit license"]
     rows = [(i, " ".join(words(i, 30)) + "\n" + "\n".join(rng.choice(lines, int(rng.integers(0, 4)))) + "\n" + " ".join(words(i + 500, 20)), "en", "s") for i in range(80)]
-    rows += [(100, None, None, None), (101, "", "en", "s"), (102, "--- !!", "en", "s"), (103, "under theé mit license", "en", "s"), (104, "x " * 100_000 + "CC-BY-NC", "en", "s"), (105, license_scan.NOTICES[10][1].upper() + " cc_by\x00nc", "en", "s"), (None, "cc by nc", "en", "s")]
+    rows += [(100, None, None, None), (101, "", "en", "s"), (102, "--- !!", "en", "s"), (103, "under theé mit license", "en", "s"), (104, "x " * 100_000 + "CC-BY-NC", "en", "s"), (105, " ".join(" ".join(p) for label, _, p in license_scan.NOTICES if label == "mit").upper() + " cc_by\x00nc", "en", "s"), (106, "redistribution and use in source and binary forms, with or without change, are allowed provided that the following conditions are met", "en", "s"), (107, "published under the terms of the GNU Affero General Public License", "en", "s"), (108, "redistribution and use in source or binary forms with or without modification are permitted provided that the following conditions are met", "en", "s"), (109, "of this software and associated documentation files the software", "en", "s"), (None, "cc by nc", "en", "s")]
     got = license_scan.scan_licenses(docs(spark, rows, extra=True)).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
@@ -599,6 +599,7 @@ def test_licenses_against_brute_force(spark):
         assert found <= set(r.labels.split(",")) or not found
         assert ("gpl" in r.labels.split(",")) == ("gnu general public license" in " ".join(w))
     assert by[105].labels == "cc-by-nc,mit" and by[105].score == 1.0
+    assert by[106].labels == "bsd" and by[107].labels == "agpl" and by[108].labels == "" and by[109].labels == ""
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
@@ -630,6 +631,14 @@ def test_mixing_native_plan(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_rates_out_of_reach_warn(spark):
+    df = spark.createDataFrame([(10, [1.0, 0.0]), (10, [0.9, 0.1])], "__n long, __p array<double>")
+    with pytest.warns(UserWarning, match="away from the targets"):
+        steps = mixing.fit_rates(df, [0.0, 1.0], most=6)
+    r = np.array([x.r for x in df.select(mixing.rate_of(steps).alias("r")).collect()])
+    assert (r >= 0).all() and np.hypot(*((10 * r) @ [[1, 0], [0.9, 0.1]] - [0, 20])) <= np.hypot(19, -19)
+
+
 def test_rates_against_numpy(spark):
     rng = np.random.default_rng(0)
     p = rng.dirichlet([0.5, 0.5, 0.5], 400)
