@@ -71,3 +71,30 @@ def add_days(rows: DataFrame, cal: DataFrame, start: str, hours: str, first_day:
     kth = F.broadcast(cal.where("is_working").select((F.col("days_before") + 1).alias("_k"), F.col("day").alias("_to")))
     r = r.join(kth, "_k", "left")
     return r.withColumn(out, F.when(F.col(hours) > 0, F.col(start) + F.make_dt_interval(F.datediff("_to", F.to_date(F.col(start))))).otherwise(F.col(start))).drop("_d", "_b", "_w", "_k", "_to")
+
+
+def end_dates(rows: DataFrame, cal: DataFrame, start: str, hours: str, first_day: str, days: int, hours_per_day: float = 8.0) -> DataFrame:
+    """rows with finished (as advance() gives it) and horizon_exhausted: the work reaches the calendar's last working day, so the
+    date is a lower bound. Rows whose start lies outside the calendar are clipped to its first or last day."""
+    origin = F.to_timestamp_ntz(F.lit(first_day + " 00:00:00"))
+    day = F.least(F.greatest(F.datediff(F.col(start), origin), F.lit(0)), F.lit(days - 1))
+    d = F.broadcast(cal.select(F.col("day_idx").alias("_d"), F.col("days_before").alias("_done")))  # a row for each day
+    most = cal.agg(F.max(F.col("days_before") + F.col("is_working").cast("int")).alias("_all"))
+    r = advance(rows, cal, start, hours, first_day, days, hours_per_day).withColumn("_at", day)
+    r = r.join(d, F.col("_at") == F.col("_d")).crossJoin(F.broadcast(most))
+    spent = F.col("_done") + F.floor(F.greatest(F.col(hours), F.lit(0.0)) / hours_per_day)
+    return r.withColumn("horizon_exhausted", spent >= F.col("_all")).drop("_at", "_d", "_done", "_all")
+
+
+def slack_dates(cpm: DataFrame, starts: DataFrame, cal: DataFrame, first_day: str, days: int, hours_per_day: float = 8.0) -> DataFrame:
+    """(project_id, id, es_date, ef_date, ls_date, lf_date, slack_days): the four times of cpm() in working hours as dates from the project's
+    start (project_id, project_start), and the days from early to late finish.
+
+    The four times of an activity are advanced as rows of their own, by one set of broadcast lookups, and meet again by activity.
+    """
+    names = ("es", "ef", "ls", "lf")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("which"), F.greatest(F.col(n), F.lit(0.0)).alias("hours")) for n in names])).alias("t")
+    r = cpm.join(starts, "project_id").select("project_id", "id", "project_start", each).select("project_id", "id", "project_start", "t.*")
+    r = advance(r, cal, "project_start", "hours", first_day, days, hours_per_day)
+    out = r.groupBy("project_id", "id").agg(*[F.max(F.when(F.col("which") == n, F.col("finished"))).alias(f"{n}_date") for n in names])
+    return out.withColumn("slack_days", F.datediff("lf_date", "ef_date"))

@@ -178,3 +178,42 @@ def initial_predictions(acts: DataFrame, status: str) -> DataFrame:
     shifted = F.greatest("start", at) + F.make_dt_interval(F.col("slip_days"))
     start = F.when(done | going, F.col("actual_start")).when(p >= 1, F.col("start")).otherwise(shifted)
     return acts.withColumn("predicted_hours", hours).withColumn("predicted_start", start)
+
+
+def forecasted(acts: DataFrame, status: str, default_rate: float = 1.0) -> DataFrame:
+    """(project_id, forecasted_bcwp, forecasted_acwp_hours, forecasted_acwp_cost, risk_adjusted): accrual at the status date over
+    risk-adjusted windows (columns risk_start, risk_end, risk_duration; where null, the planned ones).
+
+    BCWP accrues planned hours, ACWP risk-adjusted ones; an empty window counts from its end on. Activities without hours or dates
+    count nowhere. risk_adjusted tells whether any activity of the project has a risk-adjusted value.
+    """
+    at = F.to_timestamp_ntz(F.lit(status))
+    share = planned_share(F.coalesce("risk_start", "start"), F.coalesce("risk_end", "finish"), at)
+    share = F.when(F.coalesce("risk_start", "start").isNotNull() & F.coalesce("risk_end", "finish").isNotNull() & (F.col("duration") > 0), share).otherwise(0.0)
+    hours = F.coalesce(F.nullif("risk_duration", F.lit(0.0)), "duration") * share
+    rate = F.when(F.col("cost_rate") > 0, F.col("cost_rate")).otherwise(default_rate)
+    given = F.col("risk_start").isNotNull() | F.col("risk_end").isNotNull() | F.col("risk_duration").isNotNull()
+    return acts.groupBy("project_id").agg(F.sum(F.col("duration") * share).alias("forecasted_bcwp"), F.sum(hours).alias("forecasted_acwp_hours"), F.sum(hours * rate).alias("forecasted_acwp_cost"), F.bool_or(given).alias("risk_adjusted"))
+
+
+def first_after(curve: DataFrame, status: str, date: str = "date") -> DataFrame:
+    """(project_id, transition): the place (from 0) of a curve's first date after the status date, or the number of its dates."""
+    w = Window.partitionBy("project_id").orderBy(date)
+    k = curve.withColumn("_i", F.row_number().over(w) - 1)
+    late = F.col(date) > F.to_timestamp_ntz(F.lit(status))
+    return k.groupBy("project_id").agg(F.coalesce(F.min(F.when(late, F.col("_i"))), F.count("*")).cast("long").alias("transition"))
+
+
+def significant_dates(acts: DataFrame, columns: list[str], status: str, most: int, step_days: int = 7) -> DataFrame:
+    """(project_id, day): the distinct dates of the columns, the status date and every step_days between the first and the last; where they
+    are more than most, evenly spaced ones of them, the first and the last among them."""
+    own = acts.select("project_id", F.explode(F.array(*columns)).alias("day")).where("day is not null")
+    ends = own.groupBy("project_id").agg(F.min("day").alias("a"), F.max("day").alias("z"))
+    fill = ends.select("project_id", F.explode(F.concat(F.sequence("a", "z", F.make_dt_interval(F.lit(step_days))), F.array(F.to_timestamp_ntz(F.lit(status))))).alias("day"))
+    days = own.unionByName(fill).distinct()
+    w = Window.partitionBy("project_id")
+    days = days.withColumn("_i", F.row_number().over(w.orderBy("day")) - 1).withColumn("_n", F.count("*").over(w))
+    # i is one of floor(k (n - 1) / (most - 1)): the place of the smallest such k that reaches i gives i back
+    k = F.ceil(F.col("_i") * (most - 1) / (F.col("_n") - 1))
+    keep = (F.col("_n") <= most) | (F.floor(k * (F.col("_n") - 1) / (most - 1)) == F.col("_i"))
+    return days.where(keep).select("project_id", "day")
