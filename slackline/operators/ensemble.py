@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slackline.plans.grouped import graph_apply
@@ -81,6 +82,45 @@ def extremes(sampled: DataFrame, cap: str) -> DataFrame:
     return out.where("black_swan or dragon_king")
 
 
+OBJECTIVES = ("schedule", "cost", "risk", "quality")
+
+
+def optimum(a, e, weights: dict[str, float], rounds: int, crash: float, rate: float):
+    """(durations, objectives of the plan, value of the plan, value reached, objectives reached), each project of the chunk for itself."""
+    share = {k: v / sum(weights.values()) for k, v in weights.items() if k in OBJECTIVES}
+    p, n = a.p.to_numpy(), int(a.p.max()) + 1
+    base = np.nan_to_num(a.duration.to_numpy(float))
+    risk, res = a.risk.to_numpy(float) * 10, np.maximum(a.resource_count.to_numpy(float), 1)
+    low = base * (1 - crash)
+
+    def measured(d):
+        tf, span = sampled_passes(a, e, d[:, None])
+        tf, span = tf[:, 0], span[:, 0]
+        crit = 2 - np.clip(tf / np.maximum(span[p], 1e-9), 0, 1)
+        cut = np.where(base > 0, (base - d) / np.where(base > 0, base, 1), 0)
+        f = {"schedule": span, "cost": np.bincount(p, rate * res * d, n), "risk": np.bincount(p, risk * crit * d, n), "quality": np.bincount(p, cut * cut * base, n)}
+        g = {"schedule": (np.abs(tf) < 1e-9).astype(float), "cost": rate * res, "risk": risk * crit, "quality": -2 * cut}
+        return f, g
+
+    first, g = measured(base)
+    scale = {k: np.maximum(np.abs(first[k]), 1) for k in share}
+    total = lambda f: sum(v * f[k] / scale[k] for k, v in share.items())
+    slope = lambda g: sum(v * g[k] / scale[k][p] for k, v in share.items())
+    d, best, grad = base.copy(), total(first), slope(g)
+    step = np.full(n, 1.0) * np.bincount(p, base, n) / np.maximum(np.bincount(p, np.abs(grad), n), 1e-12)
+    for _ in range(rounds):
+        new = np.clip(d - step[p] * grad, low, base)
+        f, g2 = measured(new)
+        value, grad2 = total(f), slope(g2)
+        better = value < best - 1e-12
+        s, y = new - d, grad2 - grad
+        sy, ss = np.bincount(p, s * y, n), np.bincount(p, s * s, n)
+        step = np.where(better, np.where(sy > 1e-15, ss / np.maximum(sy, 1e-15), 2 * step), step / 4)
+        take = better[p]
+        d, grad, best = np.where(take, new, d), np.where(take, grad2, grad), np.where(better, value, best)
+    return d, first, total(first), best, measured(d)[0]
+
+
 def optimise(rows: DataFrame, links: DataFrame, weights: dict[str, float], rounds: int = 20, crash: float = 0.2, rate: float = 85.0) -> DataFrame:
     """Durations between (1 - crash) of and the planned ones that lower the weighted, scaled sum of schedule, cost, risk and quality.
 
@@ -88,56 +128,49 @@ def optimise(rows: DataFrame, links: DataFrame, weights: dict[str, float], round
     a chunk at once; only improvements are kept, so the result is never worse than the plan. Each objective
     is scaled by its value for the plan (at least 1). rows has duration, resource_count and risk.
     """
-    share = {k: v / sum(weights.values()) for k, v in weights.items() if k in ("schedule", "cost", "risk", "quality")}
 
     def kernel(a, e):
-        p, n = a.p.to_numpy(), int(a.p.max()) + 1
-        base = np.nan_to_num(a.duration.to_numpy(float))
-        risk, res = a.risk.to_numpy(float) * 10, np.maximum(a.resource_count.to_numpy(float), 1)
-        low = base * (1 - crash)
-
-        def measured(d):
-            tf, span = sampled_passes(a, e, d[:, None])
-            tf, span = tf[:, 0], span[:, 0]
-            crit = 2 - np.clip(tf / np.maximum(span[p], 1e-9), 0, 1)
-            cut = np.where(base > 0, (base - d) / np.where(base > 0, base, 1), 0)
-            f = {"schedule": span, "cost": np.bincount(p, rate * res * d, n), "risk": np.bincount(p, risk * crit * d, n), "quality": np.bincount(p, cut * cut * base, n)}
-            g = {"schedule": (np.abs(tf) < 1e-9).astype(float), "cost": rate * res, "risk": risk * crit, "quality": -2 * cut}
-            return f, g
-
-        first, g = measured(base)
-        scale = {k: np.maximum(np.abs(first[k]), 1) for k in share}
-        total = lambda f: sum(v * f[k] / scale[k] for k, v in share.items())
-        slope = lambda g: sum(v * g[k] / scale[k][p] for k, v in share.items())
-        d, best, grad = base.copy(), total(first), slope(g)
-        step = np.full(n, 1.0) * np.bincount(p, base, n) / np.maximum(np.bincount(p, np.abs(grad), n), 1e-12)
-        for _ in range(rounds):
-            new = np.clip(d - step[p] * grad, low, base)
-            f, g2 = measured(new)
-            value, grad2 = total(f), slope(g2)
-            better = value < best - 1e-12
-            s, y = new - d, grad2 - grad
-            sy, ss = np.bincount(p, s * y, n), np.bincount(p, s * s, n)
-            step = np.where(better, np.where(sy > 1e-15, ss / np.maximum(sy, 1e-15), 2 * step), step / 4)
-            take = better[p]
-            d, grad, best = np.where(take, new, d), np.where(take, grad2, grad), np.where(better, value, best)
-        last, _ = measured(d)
-        out = a.assign(optimised=d, initial_value=total(first)[p], value=best[p])
-        for k in ("schedule", "cost", "risk", "quality"):
+        if not len(a):
+            return a.assign(**{c.split()[0]: 0.0 for c in ("optimised", "initial_value", "value", *objectives.split(", "))})
+        p = a.p.to_numpy()
+        d, first, before, best, last = optimum(a, e, weights, rounds, crash, rate)
+        out = a.assign(optimised=d, initial_value=before[p], value=best[p])
+        for k in OBJECTIVES:
             out[f"{k}_before"], out[f"{k}_after"] = first[k][p], last[k][p]
         return out
 
-    objectives = ", ".join(f"{k}_{t} double" for k in ("schedule", "cost", "risk", "quality") for t in ("before", "after"))
+    objectives = ", ".join(f"{k}_{t} double" for k in OBJECTIVES for t in ("before", "after"))
     return graph_apply(rows, links, kernel, f"project_id long, id string, duration double, optimised double, initial_value double, value double, {objectives}", ["seq", "duration", "risk", "resource_count"])
 
 
-def pareto_sweep(rows: DataFrame, links: DataFrame, vectors: list[dict[str, float]], **options) -> DataFrame:
-    """Objectives of each project's optimum for each weight vector that no other vector's optimum dominates."""
+def pareto_sweep(rows: DataFrame, links: DataFrame, vectors: list[dict[str, float]], rounds: int = 20, crash: float = 0.2, rate: float = 85.0) -> DataFrame:
+    """Objectives of each project's optimum for each weight vector that no other vector's optimum dominates.
+
+    One pass over the networks: a kernel takes all vectors of its chunk, one after the other, and the utopia is what the best of
+    them reach in each objective (columns utopia_...).
+    """
     from .solver import pareto_front
 
-    names = ["schedule", "cost", "risk", "quality"]
-    found = None
-    for i, v in enumerate(vectors):  # one branch of the plan for each vector, none waits for another
-        best = optimise(rows, links, v, **options).groupBy("project_id").agg(*[F.max(f"{k}_after").alias(k) for k in names]).withColumn("vector", F.lit(i))
-        found = best if found is None else found.unionByName(best)
-    return pareto_front(found, "project_id", names)
+    def kernel(a, e):
+        if not len(a):
+            return
+        one = np.unique(a.p.to_numpy(), return_index=True)[1]
+        for i, v in enumerate(vectors):
+            last = optimum(a, e, v, rounds, crash, rate)[4]
+            yield pd.DataFrame({"project_id": a.project_id.to_numpy()[one], "vector": i, **last})
+
+    found = graph_apply(rows, links, kernel, "project_id long, vector int, " + ", ".join(f"{k} double" for k in OBJECTIVES), ["seq", "duration", "risk", "resource_count"])
+    w = Window.partitionBy("project_id")
+    found = found.withColumns({f"utopia_{k}": F.min(k).over(w) for k in OBJECTIVES})
+    return pareto_front(found, "project_id", list(OBJECTIVES))
+
+
+def constraints(measured: DataFrame, max_makespan: Column, max_budget: Column, weight: float = 50.0) -> DataFrame:
+    """measured (project_id, makespan, cost) with each bound's violation, whether it is met (to a millionth) and the penalty: weight times
+    the squares of the violations as shares of their bounds. A null bound is met; one of 0 or less has no penalty."""
+    out, penalty = measured, F.lit(0.0)
+    for name, value, bound in (("makespan", "makespan", max_makespan), ("budget", "cost", max_budget)):
+        over = F.greatest(F.lit(0.0), F.col(value) - bound)
+        out = out.withColumn(f"{name}_violation", F.coalesce(over, F.lit(0.0))).withColumn(f"{name}_met", F.coalesce(over <= 1e-6 * F.greatest(bound, F.lit(1.0)), F.lit(True)))
+        penalty = penalty + F.coalesce(F.when(bound > 0, weight * over * over / (bound * bound)), F.lit(0.0))
+    return out.withColumn("penalty", penalty)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slackline.functions.units import clamp
+from slackline.plans.grouped import graph_apply
+
+from .cpm import acyclic, by_level
 
 MIN_CPI, MAX_CPI, MIN_SPI, MAX_SPI = 0.05, 20.0, 0.05, 10.0
 
@@ -217,3 +221,64 @@ def significant_dates(acts: DataFrame, columns: list[str], status: str, most: in
     k = F.ceil(F.col("_i") * (most - 1) / (F.col("_n") - 1))
     keep = (F.col("_n") <= most) | (F.floor(k * (F.col("_n") - 1) / (most - 1)) == F.col("_i"))
     return days.where(keep).select("project_id", "day")
+
+
+DAY = np.timedelta64(1, "D")
+
+
+class WorkDays:
+    """Whole working days added to or taken from dates, for arrays of dates; a calendar's days as an array."""
+
+    def __init__(self, days: np.ndarray, hours_per_day: float = 8.0):
+        self.days, self.hours = np.sort(days.astype("datetime64[D]")), hours_per_day
+
+    def moved(self, at: np.ndarray, hours: np.ndarray, back: bool = False) -> np.ndarray:
+        """Dates moved by as many working days as the hours begin, at the same time of day; 0 hours leave a date as it is. Beyond the calendar
+        its first or last day counts."""
+        day = at.astype("datetime64[D]")
+        n = np.ceil(np.maximum(hours, 0) / self.hours).astype(int)
+        k = np.searchsorted(self.days, day, side="left") - n if back else np.searchsorted(self.days, day, side="right") + n - 1
+        to = self.days[np.clip(k, 0, len(self.days) - 1)]
+        return np.where(hours > 0, at + (to - day).astype("timedelta64[us]"), at)
+
+
+def propagated_predictions(acts: DataFrame, links: DataFrame, working_days: list, hours_per_day: float = 8.0, decay: float = 0.85) -> DataFrame:
+    """(project_id, id, predicted_hours, predicted_start, predicted_end) after distance decay and propagation along the links.
+
+    acts has the columns of initial_predictions() and frontier (boolean). Behind the frontier the performance fades: an activity without
+    progress, d links away, takes its hours times decay ** d * performance + 1 - decay ** d. Then, level by level, an activity that hasn't
+    started begins no earlier than its links demand, by whole working days (working_days: the calendar's days, a bounded list); lags of 0 or
+    less don't move a date. On a cycle, links against the input order are left out. Empty tables give no rows.
+    """
+    days = np.array(working_days, "datetime64[D]")
+
+    def kernel(a, e):
+        work = WorkDays(days, hours_per_day)
+        e, level = acyclic(len(a), e)
+        src, dst, lag = e.src.to_numpy(int), e.dst.to_numpy(int), np.maximum(e.lag.to_numpy(float), 0)
+        rel = e.rel.str.upper().to_numpy(object) if len(e) else np.zeros(0, object)
+        away = np.where(a.frontier.fillna(False).to_numpy(bool), 0.0, np.inf)
+        for g in by_level(level, dst):
+            np.minimum.at(away, dst[g], away[src[g]] + 1)
+        begun = a.actual_start.notna().to_numpy()
+        idle = ~begun & ~a.actual_finish.notna().to_numpy() & ~(a.pct.to_numpy(float) > 0)
+        fade = np.where(np.isfinite(away) & idle, decay ** np.where(np.isfinite(away), away, 0), np.nan)
+        plain = a.duration.to_numpy(float)
+        hours = np.where(np.isnan(fade), a.predicted_hours.to_numpy(float), plain * (fade * a.performance_delta.to_numpy(float) + 1 - fade))
+        start = a.predicted_start.to_numpy("datetime64[us]").copy()
+        end = work.moved(start, hours)
+        for g in by_level(level, dst):
+            s, t = src[g], dst[g]
+            by_start, by_finish = np.isin(rel[g], ["SS", "SF"]), np.isin(rel[g], ["FF", "SF"])
+            need = work.moved(np.where(by_start, start[s], end[s]), lag[g])
+            need = np.where(by_finish, np.where(hours[t] > 0, work.moved(need, hours[t], back=True), np.datetime64("1678-01-01", "us")), need)
+            least = np.full(len(a), np.datetime64("1678-01-01", "us"))
+            np.maximum.at(least, t, need)
+            late = np.unique(t)
+            late = late[~begun[late] & (least[late] > start[late])]
+            start[late] = least[late]
+            end[late] = work.moved(start[late], hours[late])
+        return a.assign(predicted_hours=hours, predicted_start=start, predicted_end=end)
+
+    columns = ["seq", "duration", "pct", "actual_start", "actual_finish", "performance_delta", "predicted_hours", "predicted_start", "frontier"]
+    return graph_apply(acts, links, kernel, "project_id long, id string, predicted_hours double, predicted_start timestamp_ntz, predicted_end timestamp_ntz", columns)

@@ -70,6 +70,65 @@ def scaled(rows: DataFrame, column: str, by: str) -> DataFrame:
     return x.withColumn("z", z)
 
 
+#: Sources whose ways are followed at once.
+BLOCK = 256
+
+
+def closeness(n: int, src: np.ndarray, dst: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Closeness by the ways that lead to a node, scaled by the share of its network's `size` that has one.
+
+    Breadth first from BLOCK sources at once; a step's frontier is a list of (source, node), so the work is the number of
+    pairs with a way times their links, and memory BLOCK rows of n.
+    """
+    order = np.argsort(src, kind="stable")
+    to, first = dst[order], np.searchsorted(src[order], np.arange(n + 1))
+    total, seen = np.zeros(n), np.zeros(n)
+    stamp = np.zeros(BLOCK * n, np.int32)
+    for lo in range(0, n, BLOCK):
+        m = min(BLOCK, n - lo)
+        new = np.ones(m * n, bool)
+        who, at, step = np.arange(m), np.arange(lo, lo + m), 0
+        new[who * n + at] = False
+        while len(at):
+            step += 1
+            k = first[at + 1] - first[at]
+            who = np.repeat(who, k)
+            at = to[np.repeat(first[at] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+            flat = who * n + at
+            fresh = np.flatnonzero(new[flat])
+            flat = flat[fresh]
+            stamp[flat] = np.arange(len(flat), dtype=np.int32)  # of equal pairs the last one stays
+            once = fresh[stamp[flat] == np.arange(len(flat))]
+            who, at = who[once], at[once]
+            new[who * n + at] = False
+            hits = np.bincount(at, minlength=n)
+            total += step * hits
+            seen += hits
+    return np.where(total > 0, seen / np.maximum(total, 1) * seen / np.maximum(size - 1, 1), 0.0)
+
+
+def clustering(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Share of a node's pairs of neighbours (either direction) that are neighbours. Each triangle is found once, at its corner of least
+    degree, so a hub costs no square of its degree."""
+    pair = np.unique(np.minimum(src, dst).astype(np.int64) * n + np.maximum(src, dst))
+    a, b = pair // n, pair % n
+    degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    flip = degree[a] > degree[b]
+    a, b = np.where(flip, b, a), np.where(flip, a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.searchsorted(a, np.arange(n + 1))
+    later = first[a + 1] - 1 - np.arange(len(a))  # neighbours of the same corner behind this one
+    x = np.repeat(np.arange(len(a)), later)
+    y = x + 1 + np.arange(int(later.sum())) - np.repeat(np.cumsum(later) - later, later)
+    key = np.minimum(b[x], b[y]) * np.int64(n) + np.maximum(b[x], b[y])
+    at = np.minimum(np.searchsorted(pair, key), max(len(pair) - 1, 0))
+    hit = pair[at] == key if len(pair) else np.zeros(0, bool)
+    x, y = x[hit], y[hit]
+    triangles = np.bincount(a[x], minlength=n) + np.bincount(b[x], minlength=n) + np.bincount(b[y], minlength=n)
+    return np.where(degree > 1, 2 * triangles / np.maximum(degree * (degree - 1), 1), 0.0)
+
+
 def centralities(acts: DataFrame, links: DataFrame, damping: float = 0.9, rounds: int = 100) -> DataFrame:
     """PageRank, closeness, degree centrality and clustering of every activity within its project.
 
@@ -93,29 +152,7 @@ def centralities(acts: DataFrame, links: DataFrame, damping: float = 0.9, rounds
             rank = new
             if (moved < 1e-6 * np.bincount(p)).all():
                 break
-        close, tri = np.zeros(n), np.zeros(n)
-        first = np.append(np.unique(p, return_index=True)[1], n)
-        for lo, hi in zip(first[:-1], first[1:]):
-            inside = (src >= lo) & (src < hi) if n < 2000 else slice(*np.searchsorted(np.sort(src), [lo, hi]))
-            m = hi - lo
-            adj = np.zeros((m, m), bool)
-            if isinstance(inside, slice):
-                order = np.argsort(src, kind="stable")[inside]
-                adj[src[order] - lo, dst[order] - lo] = True
-            else:
-                adj[src[inside] - lo, dst[inside] - lo] = True
-            dist, reach, step = np.zeros((m, m)), np.eye(m, dtype=bool), 0
-            front = reach.copy()
-            while front.any():
-                step += 1
-                front = (front.astype(np.float32) @ adj.astype(np.float32) > 0) & ~reach
-                dist[front] = step
-                reach |= front
-            total, seen = dist.sum(0), reach.sum(0) - 1
-            close[lo:hi] = np.where(total > 0, seen / np.maximum(total, 1) * seen / max(m - 1, 1), 0)
-            und = (adj | adj.T).astype(float)
-            k = und.sum(1)
-            tri[lo:hi] = np.where(k > 1, np.einsum("ij,jk,ki->i", und, und, und) / np.maximum(k * (k - 1), 1), 0) if m <= 64 else np.where(k > 1, ((und @ und) * und).sum(1) / np.maximum(k * (k - 1), 1), 0)
+        close, tri = closeness(n, src, dst, size), clustering(n, src, dst)
         degree = (np.bincount(src, minlength=n) + np.bincount(dst, minlength=n)) / np.maximum(size - 1, 1)
         return a.assign(pagerank=rank, closeness=close, degree=np.where(size > 1, degree, 1.0), clustering=tri)
 

@@ -20,15 +20,16 @@ class HotspotWeights:
 def cross_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Links with both ends' groups and the successor's float and risk, one row for each lens.
 
-    nodes: lens, id, group, total_float, risk. links: source, target. A blank group is '(unassigned)'; links with an
-    unknown end are dropped.
+    nodes: lens, id, group, total_float, risk. links: source, target. Both may have a project_id, by which ids are then told
+    apart. A blank group is '(unassigned)'; links with an unknown end are dropped.
     """
+    key = ["project_id"] if "project_id" in nodes.columns and "project_id" in links.columns else []
     named = F.coalesce(F.nullif(F.trim("group"), F.lit("")), F.lit("(unassigned)"))
     n = nodes.withColumn("group", named)
-    pred = n.select(F.col("lens"), F.col("id").alias("source"), F.col("group").alias("pred_group"))
-    succ = n.select(F.col("lens").alias("l2"), F.col("id").alias("target"), F.col("group").alias("succ_group"), "total_float", "risk")
-    rows = links.select("source", "target").join(pred, "source").join(succ, "target")
-    return rows.where("lens = l2").drop("l2").withColumn("is_cross", F.col("pred_group") != F.col("succ_group"))
+    pred = n.select(*key, F.col("lens"), F.col("id").alias("source"), F.col("group").alias("pred_group"))
+    succ = n.select(*key, F.col("lens"), F.col("id").alias("target"), F.col("group").alias("succ_group"), "total_float", "risk")
+    rows = links.select(*key, "source", "target").join(pred, [*key, "source"]).join(succ, [*key, "target", "lens"])
+    return rows.withColumn("is_cross", F.col("pred_group") != F.col("succ_group"))
 
 
 def scaled(x: Column, by: list[str]) -> Column:
@@ -40,10 +41,17 @@ def scaled(x: Column, by: list[str]) -> Column:
 
 def hotspots(cross: DataFrame, weights: HotspotWeights = HotspotWeights()) -> DataFrame:
     """A row for each lens and group with cross-group traffic: both sides' aggregates and the score."""
-    c = cross.where("is_cross")
-    into = c.groupBy("lens", F.col("succ_group").alias("group")).agg(F.count("source").alias("incoming"), F.countDistinct("pred_group").alias("distinct_pred"), F.min("total_float").alias("min_float"), F.avg("total_float").alias("avg_float"), F.max("risk").alias("max_risk"), F.avg("risk").alias("avg_risk"))
-    out = c.groupBy("lens", F.col("pred_group").alias("group")).agg(F.count("target").alias("outgoing"), F.countDistinct("succ_group").alias("distinct_succ"), F.max("risk").alias("max_down_risk"), F.avg("risk").alias("avg_down_risk"))
-    both = into.join(out, ["lens", "group"], "full").fillna(0, ["incoming", "distinct_pred", "outgoing", "distinct_succ"])
+    ends = F.array(F.struct(F.lit(True).alias("into"), F.col("succ_group").alias("group"), F.col("pred_group").alias("other")), F.struct(F.lit(False).alias("into"), F.col("pred_group").alias("group"), F.col("succ_group").alias("other")))
+    # one row for each pair of groups first, so that the joined links are read once and distinct partners are rows
+    pairs = cross.where("is_cross").select("lens", "total_float", "risk", F.explode(ends).alias("e")).groupBy("lens", "e.group", "e.into", "e.other")
+    pairs = pairs.agg(F.count("*").alias("n"), F.min("total_float").alias("least"), F.sum("total_float").alias("sf"), F.count("total_float").alias("nf"), F.max("risk").alias("most"), F.sum("risk").alias("sr"), F.count("risk").alias("nr"))
+    i, o = F.col("into"), ~F.col("into")
+    of = lambda side, c: F.when(side, F.col(c))
+    mean = lambda side, total, n: F.sum(of(side, total)) / F.nullif(F.sum(of(side, n)), F.lit(0))
+    both = pairs.groupBy("lens", "group").agg(
+        F.coalesce(F.sum(of(i, "n")), F.lit(0)).alias("incoming"), F.count_if(i).alias("distinct_pred"), F.min(of(i, "least")).alias("min_float"), mean(i, "sf", "nf").alias("avg_float"), F.max(of(i, "most")).alias("max_risk"), mean(i, "sr", "nr").alias("avg_risk"),
+        F.coalesce(F.sum(of(o, "n")), F.lit(0)).alias("outgoing"), F.count_if(o).alias("distinct_succ"), F.max(of(o, "most")).alias("max_down_risk"), mean(o, "sr", "nr").alias("avg_down_risk"),
+    )
     w, by = weights, ["lens"]
     score = 100 * (w.incoming * scaled(F.col("incoming"), by) + w.distinct_pred * scaled(F.col("distinct_pred"), by) + w.outgoing * scaled(F.col("outgoing"), by) + w.distinct_succ * scaled(F.col("distinct_succ"), by) + w.risk * scaled(F.greatest("max_risk", "max_down_risk"), by))
     return both.withColumn("score", score)

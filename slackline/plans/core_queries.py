@@ -122,7 +122,7 @@ def lens_links(spark, sf_dir):
     nation = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("supplier"), "n_name")
     wide = a.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), "p_brand"), "part", "left").join(nation, "supplier", "left")
     lenses = F.array(*[F.struct(F.lit(n).alias("lens"), F.col(c).alias("group")) for n, c in (("type", "task_type"), ("brand", "p_brand"), ("nation", "n_name"))])
-    nodes = wide.select("id", "risk", F.col("duration").alias("total_float"), F.explode(lenses).alias("l")).select("l.lens", "id", "l.group", "total_float", "risk")
+    nodes = wide.select("project_id", "id", "risk", F.col("duration").alias("total_float"), F.explode(lenses).alias("l")).select("project_id", "l.lens", "id", "l.group", "total_float", "risk")
     return interface.cross_links(nodes, links(a))
 
 

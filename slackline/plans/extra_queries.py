@@ -130,9 +130,9 @@ def recurring_subpaths(spark, sf_dir):
     return paths.recurring(cpm.path_durations(*schedule(spark, sf_dir)))
 
 
-@query(f"{PATH_CTE}, k AS (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY duration DESC, path) AS k, string_split(path, '>') AS x FROM pt), t AS (SELECT project_id, k, list_transform(range(1, greatest(2, len(x))), lambda i: x[i] || '>' || coalesce(x[i + 1], '')) AS e FROM k WHERE k <= 8) SELECT a.project_id, a.k, b.k AS k2, len(list_intersect(a.e, b.e)) / len(list_distinct(list_concat(a.e, b.e)))::DOUBLE AS jaccard FROM t a JOIN t b ON a.project_id = b.project_id AND a.k < b.k")
+@query(f"{PATH_CTE}, k AS (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY duration DESC, path) AS k, string_split(path, '>') AS x FROM pt), t AS (SELECT project_id, k, list_transform(range(1, greatest(2, len(x))), lambda i: x[i] || '>' || coalesce(x[i + 1], '')) AS e FROM k WHERE k <= 64) SELECT a.project_id, a.k, b.k AS k2, len(list_intersect(a.e, b.e)) / len(list_distinct(list_concat(a.e, b.e)))::DOUBLE AS jaccard FROM t a JOIN t b ON a.project_id = b.project_id AND a.k < b.k")
 def path_overlaps(spark, sf_dir):
-    return paths.overlaps(cpm.path_durations(*schedule(spark, sf_dir)), most=8)
+    return paths.overlaps(cpm.path_durations(*schedule(spark, sf_dir)))
 
 
 @query(f"{PASSES}, sl AS (SELECT project_id, seq, CASE seq WHEN 1 THEN 40.0::DOUBLE ELSE 0.0 END AS es FROM act UNION SELECT f.project_id, l.dst, greatest(0, f.es + l.w) FROM sl f JOIN lnk l ON l.project_id = f.project_id AND l.src = f.seq), s2 AS (SELECT project_id, seq, max(es) AS es FROM sl GROUP BY 1, 2) SELECT d.project_id, id, s2.es - d.es AS slip, s2.es - d.es <= tf + 1e-9 AS absorbed FROM dates d JOIN s2 USING (project_id, seq)")
@@ -168,8 +168,12 @@ def category_rollup(spark, sf_dir):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one; a temporary one only where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="slackline-")
+    """A new folder below the shared one; a temporary one only where none is set, and only on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="slackline-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

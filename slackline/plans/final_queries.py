@@ -71,7 +71,7 @@ def optimised_durations(spark, sf_dir):
 
 @query()
 def pareto_sweep(spark, sf_dir):
-    return ensemble.pareto_sweep(*schedule(spark, sf_dir), solver.weight_vectors(["schedule", "quality"], 5), rounds=8)
+    return ensemble.pareto_sweep(*schedule(spark, sf_dir), solver.weight_vectors(["schedule", "quality"], 30))
 
 
 PRED = f"""{DW}, dl AS (SELECT project_id, greatest(0.5, least(2.0, CASE WHEN dw_spi > 0 THEN greatest(0.5, least(3.0, 1 / dw_spi)) ELSE 1.25 END / 1.25)) AS k, greatest(0, date_diff('day', sdt::DATE, pe::DATE)) AS lft FROM dx),

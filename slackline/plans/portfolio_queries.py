@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slackline.operators import analytics, calendar, cpm, evm, inputs, longest
+from slackline.operators import analytics, calendar, cpm, ensemble, evm, inputs, longest, mining, sanitise
 from slackline.plans.core_queries import BASE, PASSES, rounded, schedule
 from slackline.plans.extra_queries import PATH_CTE
+from slackline.plans.final_queries import predictions
 from slackline.plans.more_queries import CAL_DAY, CAL_DAYS, CAL_SQL, SPELLINGS, work_calendar
 from slackline.sources import deep
 from slackline.sources.star import ACT_SQL, STATUS_DATE, activities, table
@@ -329,3 +330,59 @@ def cost_breakdown(spark, sf_dir):
 @query(f"WITH {ACT_SQL}, p AS (SELECT a.project_id, a.seq AS first, b.seq - a.seq + 1 AS length, (SELECT avg(c.risk) FROM act c WHERE c.project_id = a.project_id AND c.seq BETWEEN a.seq AND b.seq) AS mean FROM act a JOIN act b ON b.project_id = a.project_id AND b.seq >= a.seq + 2), k AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY length DESC, round(mean, 9) DESC, first) AS k FROM p WHERE mean >= 0.55 + 1e-12) SELECT project_id, first, length, round(mean, 9) AS mean FROM k WHERE k = 1")
 def salient_windows(spark, sf_dir):
     return rounded(analytics.best_windows(activities(spark, sf_dir), "risk", 0.55 + 1e-12), 9, "mean")
+
+
+# --- mining, predictions, cycles, constraints -----------------------------------------------------
+
+_Z = ", ".join(f"CASE WHEN d_{m} > 0 THEN (x.{m} - m_{m}) / (1.4826 * d_{m}) WHEN s_{m} > 1e-12 THEN (x.{m} - a_{m}) / s_{m} ELSE 0 END AS z_{m}" for m in ("deg_in", "deg_out", "risk", "importance"))
+_UP = lambda x: f"greatest(0, least(3, {x})) / 3"
+
+
+@query(
+    f"""{PATH_CTE}, nd AS (SELECT a.project_id, a.id, (SELECT count(DISTINCT source) FROM lnk l WHERE l.target = a.id)::DOUBLE AS deg_in, (SELECT count(DISTINCT target) FROM lnk l WHERE l.source = a.id)::DOUBLE AS deg_out, risk, importance FROM act a), el AS (SELECT * FROM nd WHERE (deg_in > 0) = (deg_out > 0)),
+md AS (SELECT project_id, {', '.join(f"median({m}) AS m_{m}, avg({m}) AS a_{m}, stddev_pop({m}) AS s_{m}" for m in ('deg_in', 'deg_out', 'risk', 'importance'))} FROM el GROUP BY 1), mm AS (SELECT x.project_id, {', '.join(f"median(abs(x.{m} - m_{m})) AS d_{m}" for m in ('deg_in', 'deg_out', 'risk', 'importance'))} FROM el x JOIN md USING (project_id) GROUP BY 1),
+z AS (SELECT x.project_id, x.id, {_Z} FROM el x JOIN md USING (project_id) JOIN mm USING (project_id)), zz AS (SELECT project_id, id, greatest(z_deg_in, z_deg_out, z_risk, z_importance) >= 0.9 AS anchor, {_UP('z_deg_in')} AS ji, {_UP('z_deg_out')} AS jo, {_UP('(z_risk + z_importance) / 3')} AS sal FROM z),
+pp AS (SELECT project_id, path, string_split(path, '>')[2:-2] AS x FROM pt), po AS (SELECT pp.project_id, path, x, i, x[i] AS id, anchor, ji, jo, sal FROM (SELECT project_id, path, x, unnest(range(1, len(x) + 1)) AS i FROM pp WHERE len(x) >= 3) pp JOIN zz ON zz.id = pp.x[pp.i]),
+pr AS (SELECT f.project_id, f.path, array_to_string(f.x[f.i:l.i], '>') AS part, l.i - f.i + 1 AS n, f.ji, l.jo, (SELECT avg(sal) FROM po m WHERE m.project_id = f.project_id AND m.path = f.path AND m.i BETWEEN f.i AND l.i) AS sal, CASE WHEN f.i > 1 THEN f.x[f.i - 1] END AS le, f.x[l.i + 1] AS ri FROM po f JOIN po l ON l.project_id = f.project_id AND l.path = f.path AND l.i >= f.i + 2 AND f.anchor AND l.anchor),
+nb AS (SELECT project_id, part, max(k) AS k FROM (SELECT project_id, part, s, id, count(*) AS k FROM (SELECT project_id, part, 0 AS s, le AS id FROM pr UNION ALL SELECT project_id, part, 1, ri FROM pr) WHERE id IS NOT NULL GROUP BY ALL) GROUP BY 1, 2),
+cp AS (SELECT project_id, count(*) AS corpus FROM pt GROUP BY 1), g AS (SELECT project_id, part, min(n)::INTEGER AS length, count(*) AS support, min(ji) AS ji, min(jo) AS jo, max(sal) AS sal FROM pr GROUP BY 1, 2)
+SELECT project_id, part, length, support, round(support / corpus::DOUBLE, 8) AS supp, round((ji + jo) / 2, 8) AS junc, round(sal, 8) AS sal, round(coalesce(k, 0) / support::DOUBLE, 8) AS maxpen, round(support / corpus::DOUBLE + (ji + jo) / 2 + sal - coalesce(k, 0) / support::DOUBLE, 8) AS score FROM g JOIN cp USING (project_id) LEFT JOIN nb USING (project_id, part)"""
+)
+def mined_parts(spark, sf_dir):
+    a, e = schedule(spark, sf_dir)
+    found = mining.recurring_parts(cpm.path_durations(a, e), mining.node_scores(a, e), threshold=0.9)
+    return rounded(found, 8, "supp", "junc", "sal", "maxpen", "score")
+
+
+@query()
+def mined_top_parts(spark, sf_dir):
+    a, e = schedule(spark, sf_dir)
+    return mining.top_parts(mining.recurring_parts(cpm.path_durations(a, e), mining.node_scores(a, e), threshold=0.9))
+
+
+@query()
+def propagated_predictions(spark, sf_dir):
+    a, e = schedule(spark, sf_dir)
+    f = evm.frontier(a, e).withColumn("frontier", F.lit(True))
+    known = [r["day"] for r in work_calendar(spark).where("is_working").select("day").collect()]  # the days of one calendar
+    return evm.propagated_predictions(predictions(spark, sf_dir).join(f, ["project_id", "id"], "left"), e, known)
+
+
+@query()
+def risk_on_cycles(spark, sf_dir):
+    """The derived links with one that leads back from each third activity to its project's first."""
+    a, e = schedule(spark, sf_dir)
+    back = a.where("seq = 3").select("project_id", F.col("id").alias("source"), F.concat_ws("-", F.col("project_id"), F.lit(1)).alias("target"), F.lit("FS").alias("rel"), F.lit(0.0).alias("lag"), F.lit(3).alias("ord"))
+    return sanitise.risk_on_cycles(a, e.unionByName(back))
+
+
+@query(
+    f"""{PASSES}, m AS (SELECT project_id, max(makespan) AS makespan, sum(85 * greatest(resource_count, 1) * duration) AS cost, CASE WHEN project_id % 4 > 0 THEN sum(duration) * 0.8::DOUBLE END AS mm, 12000.0::DOUBLE AS mb FROM dates GROUP BY 1)
+SELECT project_id, makespan, cost, coalesce(greatest(0, makespan - mm), 0) AS makespan_violation, coalesce(makespan - mm <= 1e-6 * greatest(mm, 1), true) AS makespan_met, greatest(0, cost - mb) AS budget_violation, cost - mb <= 1e-6 * greatest(mb, 1) AS budget_met, round(coalesce(50 * greatest(0, makespan - mm) ** 2 / mm ** 2, 0) + 50 * greatest(0, cost - mb) ** 2 / mb ** 2, 7) AS penalty FROM m"""
+)
+def constraint_report(spark, sf_dir):
+    a, e = schedule(spark, sf_dir)
+    cost = a.groupBy("project_id").agg(F.sum(85 * F.greatest("resource_count", F.lit(1.0)) * F.col("duration")).alias("cost"), F.sum("duration").alias("hours"))
+    m = cpm.cpm(a, e).groupBy("project_id").agg(F.max("makespan").alias("makespan")).join(cost, "project_id")
+    out = ensemble.constraints(m, F.when(F.col("project_id") % 4 > 0, F.col("hours") * 0.8), F.lit(12000.0)).drop("hours")
+    return rounded(out, 7, "penalty")
