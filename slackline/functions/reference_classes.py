@@ -54,3 +54,19 @@ def resolved(name: Column) -> Column:
 def calibrated(finish: Column, expected: Column, factor: Column) -> Column:
     """The finish with its distance from the expected one multiplied; unchanged without a factor."""
     return F.when(factor.isNull(), finish).otherwise(expected + (finish - expected) * factor)
+
+
+def suggested(name: Column, most: int = 6) -> Column:
+    """The known name or alias with the fewest edits from a name in any spelling (ties: the smaller name), at most so many; else null."""
+    n = F.regexp_replace(F.lower(F.trim(name)), r"[\s\-]+", "_")
+    known = sorted({c[0] for c in CLASSES} | set(ALIASES))
+    best = F.array_min(F.array(*[F.struct(F.levenshtein(n, F.lit(k)).alias("d"), F.lit(k).alias("k")) for k in known]))
+    return F.when(best["d"] <= most, best["k"])
+
+
+def loaded(spark: SparkSession, path: str) -> DataFrame:
+    """Classes of JSON files, one object for each line, in the columns of table(). Lines that are no JSON, have no name, quantiles that are
+    missing or fall, or a cap of 1 or less, are skipped."""
+    rows = spark.read.schema(SCHEMA + ", _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    good = F.col("_broken").isNull() & F.col("name").isNotNull() & (F.trim("name") != "") & (F.col("p50") <= F.col("p80")) & (F.col("p80") <= F.col("p95")) & (F.coalesce("cap", F.lit(10.0)) > 1)
+    return rows.where(good).drop("_broken")

@@ -168,3 +168,38 @@ def tuned_selection(shape: DataFrame) -> DataFrame:
     unique = F.when(edges < 60, 4).when(edges < 120, 5).when(edges < 250, 8).when(edges < 500, 12).otherwise(15)
     cap = F.when((n > 12000) | (k > 35000), 12_000).when(n > 8000, 15_000).otherwise(20_000)
     return shape.select("project_id", paths.alias("max_paths"), overlap.alias("overlap_threshold"), unique.alias("min_unique_edges"), cap.alias("candidate_cap"), F.when(edges < 80, 2).otherwise(3).alias("midpoint_depth"))
+
+
+def thousandths(x: Column) -> Column:
+    return F.floor(x * 1000 + 0.5) / 1000
+
+
+def sentiment_divergence(signals: DataFrame, by: str) -> DataFrame:
+    """(by, signals, overreacting, underreacting, average) of signals whose divergence is beyond 0.05 either way; the average to thousandths."""
+    d = F.col("divergence")
+    g = signals.where(F.abs(d) > 0.05).groupBy(by)
+    return g.agg(F.count("*").alias("signals"), F.count_if(d > 0).alias("overreacting"), F.count_if(d < 0).alias("underreacting"), thousandths(F.avg(d)).alias("average"))
+
+
+def weather_confidence(signals: DataFrame, by: str) -> DataFrame:
+    """(by, forecasts, confidence, max_severity, h24, h48) of weather signals that carry a confidence; averages and severities to thousandths."""
+    g = signals.where("type = 'weather' and confidence is not null").groupBy(by)
+    h = F.coalesce("horizon", F.lit("unknown"))
+    return g.agg(F.count("*").alias("forecasts"), thousandths(F.avg("confidence")).alias("confidence"), F.max(thousandths(F.coalesce("severity", F.lit(0.0)))).alias("max_severity"), F.count_if(h == "24h").alias("h24"), F.count_if(h == "48h").alias("h48"))
+
+
+def merged_risks(existing: DataFrame, generated: DataFrame, order: str = "ord") -> DataFrame:
+    """Rows of both registers (name, type, ...), one for each name and type in any case: existing ones first, then by order. Missing names and types are empty."""
+    rows = existing.withColumn("_p", F.lit(0)).unionByName(generated.withColumn("_p", F.lit(1)))
+    key = [F.lower(F.coalesce(c, F.lit(""))) for c in ("name", "type")]
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("_p", order))).where("_k = 1").drop("_k", "_p")
+
+
+def pattern_modes(acts: DataFrame, value: str) -> DataFrame:
+    """(task_type, tenths, n, modes): of activities alike in type and duration (to a tenth) their number, if above one, and the commonest values,
+    all of equals, sorted. Values are counted first, so a frequent pattern is no hot group."""
+    key = ["task_type", F.round(F.col("duration") * 10).cast("long").alias("tenths")]
+    g = acts.groupBy(*key, F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    top = g.groupBy("task_type", "tenths").agg(F.sum("k").alias("n"), F.max(F.when(F.col("v").isNotNull(), F.col("k"))).alias("top")).where("n > 1")
+    both = g.join(top, ["task_type", "tenths"]).groupBy("task_type", "tenths", "n")
+    return both.agg(F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("k") == F.col("top"), F.col("v"))))).alias("modes"))

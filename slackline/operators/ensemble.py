@@ -85,8 +85,16 @@ def extremes(sampled: DataFrame, cap: str) -> DataFrame:
 OBJECTIVES = ("schedule", "cost", "risk", "quality")
 
 
-def optimum(a, e, weights: dict[str, float], rounds: int, crash: float, rate: float):
-    """(durations, objectives of the plan, value of the plan, value reached, objectives reached), each project of the chunk for itself."""
+#: Sharpness of the soft maximum, share of the sum in it, and weight of a broken bound (fixed values).
+KAPPA, RHO, PENALTY = 20.0, 0.05, 50.0
+
+
+def optimum(a, e, weights: dict[str, float], rounds: int, crash: float, rate: float, utopia: dict[str, np.ndarray] | None = None, bounds: dict[str, np.ndarray] | None = None):
+    """(durations, objectives of the plan, value of the plan, value reached, objectives reached), each project of the chunk for itself.
+
+    With a utopia (the best of each objective by project) the value is the augmented Tchebycheff one: a soft maximum of the weighted, scaled
+    distances and a share of their sum. bounds (of schedule or cost by project; not above 0: none) add a quadratic penalty.
+    """
     share = {k: v / sum(weights.values()) for k, v in weights.items() if k in OBJECTIVES}
     p, n = a.p.to_numpy(), int(a.p.max()) + 1
     base = np.nan_to_num(a.duration.to_numpy(float))
@@ -104,43 +112,66 @@ def optimum(a, e, weights: dict[str, float], rounds: int, crash: float, rate: fl
 
     first, g = measured(base)
     scale = {k: np.maximum(np.abs(first[k]), 1) for k in share}
-    total = lambda f: sum(v * f[k] / scale[k] for k, v in share.items())
-    slope = lambda g: sum(v * g[k] / scale[k][p] for k, v in share.items())
-    d, best, grad = base.copy(), total(first), slope(g)
+    limits = {k: np.where(b > 0, b, np.inf) for k, b in (bounds or {}).items()}
+
+    def valued(f, g):
+        """Value of each project and its slope by duration."""
+        terms = np.stack([v * (f[k] - (utopia[k] if utopia else 0)) / scale[k] for k, v in share.items()])
+        if utopia:
+            top = terms.max(0)
+            soft = np.exp(KAPPA * (terms - top))
+            value = top + np.log(soft.sum(0)) / KAPPA + RHO * terms.sum(0)
+            pull = soft / soft.sum(0) + RHO
+        else:
+            value, pull = terms.sum(0), np.ones_like(terms)
+        slope = sum((c * v / scale[k])[p] * g[k] for c, (k, v) in zip(pull, share.items()))
+        for k, b in limits.items():
+            over = np.maximum(0, f[k] - b) / b
+            value = value + PENALTY * over * over
+            slope = slope + (2 * PENALTY * over / b)[p] * g[k]
+        return value, slope
+
+    before, grad = valued(first, g)
+    d, best = base.copy(), before
     step = np.full(n, 1.0) * np.bincount(p, base, n) / np.maximum(np.bincount(p, np.abs(grad), n), 1e-12)
     for _ in range(rounds):
         new = np.clip(d - step[p] * grad, low, base)
-        f, g2 = measured(new)
-        value, grad2 = total(f), slope(g2)
+        value, grad2 = valued(*measured(new))
         better = value < best - 1e-12
         s, y = new - d, grad2 - grad
         sy, ss = np.bincount(p, s * y, n), np.bincount(p, s * s, n)
         step = np.where(better, np.where(sy > 1e-15, ss / np.maximum(sy, 1e-15), 2 * step), step / 4)
         take = better[p]
         d, grad, best = np.where(take, new, d), np.where(take, grad2, grad), np.where(better, value, best)
-    return d, first, total(first), best, measured(d)[0]
+    return d, first, before, best, measured(d)[0]
 
 
-def optimise(rows: DataFrame, links: DataFrame, weights: dict[str, float], rounds: int = 20, crash: float = 0.2, rate: float = 85.0) -> DataFrame:
+def optimise(rows: DataFrame, links: DataFrame, weights: dict[str, float], rounds: int = 20, crash: float = 0.2, rate: float = 85.0, tchebycheff: bool = False, max_makespan: str | None = None, max_budget: str | None = None) -> DataFrame:
     """Durations between (1 - crash) of and the planned ones that lower the weighted, scaled sum of schedule, cost, risk and quality.
 
     Projected gradient with a Barzilai-Borwein step of its own for each project and backtracking, all projects of
     a chunk at once; only improvements are kept, so the result is never worse than the plan. Each objective
     is scaled by its value for the plan (at least 1). rows has duration, resource_count and risk.
+
+    tchebycheff: the largest weighted distance from the utopia (each objective optimised alone) counts instead of the weighted sum.
+    max_makespan, max_budget: columns of rows with a project's bounds (alike in its rows; null or not above 0: none); breaking one is penalised.
     """
+    limits = {k: c for k, c in (("schedule", max_makespan), ("cost", max_budget)) if c}
 
     def kernel(a, e):
         if not len(a):
             return a.assign(**{c.split()[0]: 0.0 for c in ("optimised", "initial_value", "value", *objectives.split(", "))})
         p = a.p.to_numpy()
-        d, first, before, best, last = optimum(a, e, weights, rounds, crash, rate)
+        utopia = {k: optimum(a, e, {k: 1.0}, rounds, crash, rate)[4][k] for k in OBJECTIVES if weights.get(k)} if tchebycheff else None
+        bounds = {k: np.nan_to_num(a.groupby("p")[c].first().to_numpy(float)) for k, c in limits.items()}
+        d, first, before, best, last = optimum(a, e, weights, rounds, crash, rate, utopia, bounds)
         out = a.assign(optimised=d, initial_value=before[p], value=best[p])
         for k in OBJECTIVES:
             out[f"{k}_before"], out[f"{k}_after"] = first[k][p], last[k][p]
         return out
 
     objectives = ", ".join(f"{k}_{t} double" for k in OBJECTIVES for t in ("before", "after"))
-    return graph_apply(rows, links, kernel, f"project_id long, id string, duration double, optimised double, initial_value double, value double, {objectives}", ["seq", "duration", "risk", "resource_count"])
+    return graph_apply(rows, links, kernel, f"project_id long, id string, duration double, optimised double, initial_value double, value double, {objectives}", ["seq", "duration", "risk", "resource_count", *limits.values()])
 
 
 def pareto_sweep(rows: DataFrame, links: DataFrame, vectors: list[dict[str, float]], rounds: int = 20, crash: float = 0.2, rate: float = 85.0) -> DataFrame:

@@ -282,3 +282,14 @@ def propagated_predictions(acts: DataFrame, links: DataFrame, working_days: list
 
     columns = ["seq", "duration", "pct", "actual_start", "actual_finish", "performance_delta", "predicted_hours", "predicted_start", "frontier"]
     return graph_apply(acts, links, kernel, "project_id long, id string, predicted_hours double, predicted_start timestamp_ntz, predicted_end timestamp_ntz", columns)
+
+
+def completed_starts(acts: DataFrame, is_start: Column) -> DataFrame:
+    """acts with each project's start milestone marked as done where any activity has begun: 100 %, begun with the earliest other activity
+    that has (else at its own start, dates that are given stay), finished when it began. One window by project."""
+    w = Window.partitionBy("project_id")
+    begun = F.max(F.col("actual_start").isNotNull()).over(w)
+    first = F.min(F.when(~is_start, F.col("actual_start"))).over(w)
+    rows = acts.withColumns({"_mark": is_start & begun, "_at": F.coalesce("actual_start", first, "start")})
+    done = lambda c, v: F.when(F.col("_mark"), v).otherwise(F.col(c))
+    return rows.withColumns({"pct": done("pct", F.lit(100.0)), "actual_finish": done("actual_finish", F.coalesce("actual_finish", "_at")), "actual_start": done("actual_start", F.col("_at"))}).drop("_mark", "_at")

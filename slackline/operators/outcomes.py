@@ -34,3 +34,10 @@ def calibration(outcomes: DataFrame) -> DataFrame:
     r = outcomes.where("p80_finish > baseline_finish and actual_finish is not null").withColumn("ratio", F.greatest(F.lit(0.0), span("actual_finish", "baseline_finish")) / span("p80_finish", "baseline_finish"))
     s = index_percentiles(r, "reference_class", "ratio", {"p50": 0.5, "p80": 0.8, "p95": 0.95}).withColumn("p95", F.when(F.col("n") >= 5, F.col("p95")))
     return s.withColumn("advice", F.when(F.col("mean") > 1.3, "tighten").when(F.col("mean") < 0.7, "relax").otherwise("keep"))
+
+
+def listed(outcomes: DataFrame, reference_class: str | None = None, most: int = 10_000) -> DataFrame:
+    """Outcomes of one class (of all, if none is named), by class and project, at most so many: a listing's limit. A class whose name isn't safe has none."""
+    if reference_class is not None:
+        outcomes = outcomes.where(F.lit(reference_class).rlike(SAFE_ID) & (F.col("reference_class") == reference_class))
+    return outcomes.orderBy("reference_class", "project_id", "submitted_at").limit(most)

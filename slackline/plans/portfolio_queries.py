@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slackline.operators import analytics, calendar, cpm, ensemble, evm, inputs, longest, mining, sanitise
+from slackline.operators import analytics, calendar, cpm, ensemble, evm, inputs, longest, mining, montecarlo, outcomes, sanitise
 from slackline.plans.core_queries import BASE, PASSES, rounded, schedule
-from slackline.plans.extra_queries import PATH_CTE
+from slackline.functions import reference_classes
+from slackline.plans.extra_queries import OUT_SQL, PATH_CTE, order_outcomes, scratch
 from slackline.plans.final_queries import predictions
-from slackline.plans.more_queries import CAL_DAY, CAL_DAYS, CAL_SQL, SPELLINGS, work_calendar
-from slackline.sources import deep
+from slackline.plans.more_queries import CAL_DAY, CAL_DAYS, CAL_SQL, MCF, SAMPLES, SPELLINGS, work_calendar
+from slackline.sources import deep, requests
 from slackline.sources.star import ACT_SQL, STATUS_DATE, activities, table
 
 QUERIES: dict = {}
@@ -386,3 +387,78 @@ def constraint_report(spark, sf_dir):
     m = cpm.cpm(a, e).groupBy("project_id").agg(F.max("makespan").alias("makespan")).join(cost, "project_id")
     out = ensemble.constraints(m, F.when(F.col("project_id") % 4 > 0, F.col("hours") * 0.8), F.lit(12000.0)).drop("hours")
     return rounded(out, 7, "penalty")
+
+
+@query()
+def optimised_tchebycheff(spark, sf_dir):
+    a, e = schedule(spark, sf_dir)
+    return ensemble.optimise(a.withColumn("budget", F.lit(9000.0)), e, {"schedule": 0.5, "cost": 0.3, "quality": 0.2}, tchebycheff=True, max_budget="budget")
+
+
+# --- requests, outcomes, registers ----------------------------------------------------------------
+
+
+@query(f"WITH {ACT_SQL} SELECT project_id, seq::INTEGER AS seq, id, CASE WHEN part % 11 = 0 THEN 1.0::DOUBLE ELSE duration END AS duration, start, risk FROM act")
+def request_nodes(spark, sf_dir):
+    a, e = schedule(spark, sf_dir)
+    a = a.withColumn("duration", F.when(F.col("part") % 11 > 0, F.col("duration")))
+    path = scratch(spark, "requests")
+    requests.packed(a, e).write.json(path)
+    return requests.nodes(requests.read(spark, path))
+
+
+@query("SELECT 'good' AS name, 1.1::DOUBLE AS p50, 1.3::DOUBLE AS p80, 1.6::DOUBLE AS p95")
+def class_registry_file(spark, sf_dir):
+    path = scratch(spark, "classes")
+    lines = ['{"name": "good", "p50": 1.1, "p80": 1.3, "p95": 1.6, "cap": 5}', '{"name": "falling", "p50": 1.5, "p80": 1.3, "p95": 1.6}', "no json", '{"p50": 1, "p80": 2, "p95": 3}', '{"name": "low", "p50": 1, "p80": 2, "p95": 3, "cap": 1}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    return reference_classes.loaded(spark, path).select("name", "p50", "p80", "p95")
+
+
+MISSPELT = ["raill", "Nuclear New-Build", "IT softwear", "tunnnels", "hydro dams", "zzzzzzzzzzzzzzzzzz", "sollar", "mning"]
+
+
+@query(f"WITH n AS (SELECT unnest([{', '.join(map(repr, MISSPELT))}]) AS name), k AS (SELECT unnest([{', '.join(map(repr, sorted({c[0] for c in reference_classes.CLASSES} | set(reference_classes.ALIASES))))}]) AS k), d AS (SELECT name, k, levenshtein(regexp_replace(lower(trim(name)), '[\\s\\-]+', '_', 'g'), k) AS d FROM n, k) SELECT name, CASE WHEN min(d) <= 6 THEN arg_min(k, (d, k)) END AS suggestion FROM d GROUP BY 1")
+def class_suggestions(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in MISSPELT], "name string").withColumn("suggestion", reference_classes.suggested(F.col("name")))
+
+
+@query(f"WITH {OUT_SQL} SELECT reference_class, project_id, strftime(submitted_at, '%Y-%m-%dT%H:%M:%S') AS submitted_at FROM oc WHERE reference_class = 'rail' ORDER BY project_id LIMIT 10000")
+def outcome_listing(spark, sf_dir):
+    rows = outcomes.listed(order_outcomes(spark, sf_dir), "rail")
+    return rows.select("reference_class", "project_id", F.date_format("submitted_at", "yyyy-MM-dd'T'HH:mm:ss").alias("submitted_at"))
+
+
+@query(f"{MCF} SELECT project_id, list_min(v) AS earliest, list_max(v) AS latest, round(mean, 6) AS mean, round(sd, 6) AS sd FROM sm JOIN ps USING (project_id)")
+def mc_spread(spark, sf_dir):
+    a, e = schedule(spark, sf_dir)
+    s = montecarlo.spread(montecarlo.forecast(montecarlo.with_scope(a, STATUS_DATE), e, SAMPLES))
+    return rounded(s, 6, "mean", "sd")
+
+
+@query(f"WITH {ACT_SQL}, f AS (SELECT *, bool_or(actual_start IS NOT NULL) OVER p AS begun, min(CASE WHEN seq > 1 THEN actual_start END) OVER p AS first FROM act WINDOW p AS (PARTITION BY project_id)) SELECT project_id, id, CASE WHEN seq = 1 AND begun THEN 100 ELSE pct END AS pct, CASE WHEN seq = 1 AND begun THEN coalesce(actual_start, first, start) ELSE actual_start END AS actual_start, CASE WHEN seq = 1 AND begun THEN coalesce(actual_finish, actual_start, first, start) ELSE actual_finish END AS actual_finish FROM f")
+def completed_starts(spark, sf_dir):
+    return evm.completed_starts(activities(spark, sf_dir), F.col("seq") == 1).select("project_id", "id", "pct", "actual_start", "actual_finish")
+
+
+@query(f"WITH {ACT_SQL}, d AS (SELECT task_type, risk - importance AS d FROM act WHERE abs(risk - importance) > 0.05) SELECT task_type, count(*) AS signals, count_if(d > 0) AS overreacting, count_if(d < 0) AS underreacting, floor(avg(d) * 1000 + 0.5::DOUBLE) / 1000 AS average FROM d GROUP BY 1")
+def sentiment_divergence(spark, sf_dir):
+    return analytics.sentiment_divergence(activities(spark, sf_dir).withColumn("divergence", F.col("risk") - F.col("importance")), "task_type")
+
+
+@query(f"WITH {ACT_SQL} SELECT resources, count(*) AS forecasts, floor(avg(risk) * 1000 + 0.5::DOUBLE) / 1000 AS confidence, max(floor(importance * 1000 + 0.5::DOUBLE) / 1000) AS max_severity, count_if(seq % 3 = 0) AS h24, count_if(seq % 3 = 1) AS h48 FROM act WHERE task_type = 'A' GROUP BY 1")
+def weather_confidence(spark, sf_dir):
+    horizon = F.when(F.col("seq") % 3 == 0, "24h").when(F.col("seq") % 3 == 1, "48h")
+    s = activities(spark, sf_dir).select("resources", F.when(F.col("task_type") == "A", "weather").otherwise("other").alias("type"), F.col("risk").alias("confidence"), F.col("importance").alias("severity"), horizon.alias("horizon"))
+    return analytics.weather_confidence(s, "resources")
+
+
+@query("WITH r AS (SELECT p_name AS name, p_type AS type, p_partkey AS ord, 0 AS p FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT upper(p_name), p_type, p_partkey, 1 FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY lower(name), lower(type) ORDER BY p, ord) AS k FROM r) SELECT name, type, ord FROM k WHERE k = 1")
+def merged_risks(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_partkey").alias("ord"))
+    return analytics.merged_risks(p.where("ord % 3 = 0"), p.withColumn("name", F.upper("name")))
+
+
+@query(f"WITH {ACT_SQL}, g AS (SELECT task_type, round(duration * 10)::BIGINT AS tenths, resources AS v, count(*) AS k FROM act GROUP BY 1, 2, 3), t AS (SELECT task_type, tenths, sum(k)::BIGINT AS n, max(k) AS top FROM g GROUP BY 1, 2 HAVING sum(k) > 1) SELECT task_type, tenths, n, string_agg(v, ',' ORDER BY v) AS modes FROM g JOIN t USING (task_type, tenths) WHERE k = top GROUP BY 1, 2, 3")
+def pattern_modes(spark, sf_dir):
+    return analytics.pattern_modes(activities(spark, sf_dir), "resources")

@@ -212,3 +212,47 @@ def test_odd_inputs(spark):
     bounds = spark.createDataFrame([(1, 10.0, 5.0)], "project_id long, makespan double, cost double")
     r = ensemble.constraints(bounds, F.lit(8.0), F.lit(None).cast("double")).first()
     assert (r.makespan_violation, r.makespan_met, r.budget_met, r.penalty) == (2.0, False, True, pytest.approx(50 * 4 / 64))
+
+
+def test_optimum_against_a_grid(spark):
+    """A chain of two: all durations between 80 % and the plan, in steps of a hundredth."""
+    a, e = network(spark, {1: [10.0, 20.0]}, [(1, 0, 1, "FS", 0)])
+    a = a.withColumn("bound", F.lit(27.0)).withColumn("budget", F.lit(None).cast("double"))
+    grid = np.array(list(itertools.product(np.linspace(8, 10, 81), np.linspace(16, 20, 161))))
+    cut = (np.array([10.0, 20.0]) - grid) / np.array([10.0, 20.0])
+    span, quality = grid.sum(1), (cut * cut * [10.0, 20.0]).sum(1)
+    for w in ({"schedule": 0.5, "quality": 0.5}, {"schedule": 0.9, "quality": 0.1}):
+        value = w["schedule"] * span / 30 + w["quality"] * quality
+        got = ensemble.optimise(a, e, w, rounds=60).first()
+        assert got.value <= value.min() + 1e-4 and got.value <= got.initial_value
+        over = np.maximum(0, span - 27) / 27
+        got = ensemble.optimise(a, e, w, rounds=80, max_makespan="bound", max_budget="budget").first()
+        assert got.value <= (value + 50 * over * over).min() + 1e-3
+        terms = np.stack([w["schedule"] * (span - 24) / 30, w["quality"] * quality])
+        tch = terms.max(0) + np.log(np.exp(20 * (terms - terms.max(0))).sum(0)) / 20 + 0.05 * terms.sum(0)
+        got = ensemble.optimise(a, e, w, rounds=80, tchebycheff=True).first()
+        assert got.value <= tch.min() + 1e-3
+
+
+def test_request_lines_and_overrides(spark, tmp_path):
+    from dataclasses import dataclass
+
+    from slackline.sources import requests
+
+    path = tmp_path / "r.json"
+    path.write_text('{"project_id": 1, "nodes": [{"id": "a"}, {"id": "b", "duration": 2.5}], "links": [{"source": "a", "target": "b"}]}\nbroken\n{"project_id": 2}\n')
+    got = requests.read(spark, f"file://{path}")
+    assert [r.broken for r in got.where("broken is not null").collect()] == ["broken"]
+    assert [(r.project_id, r.seq, r.id, r.duration, r.risk) for r in requests.nodes(got).orderBy("seq").collect()] == [(1, 1, "a", 1.0, 0.0), (1, 2, "b", 2.5, 0.0)]
+    assert [tuple(r) for r in requests.links(got).collect()] == [(1, "a", "b", "FS", 0.0, 0)]
+
+    @dataclass(frozen=True)
+    class Config:
+        most: int = 5
+        share: float = 0.5
+        flag: bool = True
+
+    assert requests.overridden(Config(), {"most": 7, "share": 1, "flag": False}, {"most": (1, 10)}) == Config(7, 1.0, False)
+    for bad in ({"most": True}, {"most": 2.0}, {"most": 11}, {"flag": 1}, {"other": 1}, {"share": float("nan")}):
+        with pytest.raises(ValueError):
+            requests.overridden(Config(), bad, {"most": (1, 10)})
