@@ -124,7 +124,7 @@ def fit_rates(members: DataFrame, weights: list[float], most: int = 40, within:
 
     members has __n and __p. The start is a rate of 1 for all. A step that makes the distance
     larger is halved, and dropped if it is the last. Ends when the distance is within a share of the target; warns with the
-    distance left where it can't shrink (targets out of reach) or most steps don't suffice.
+    distance left where it hardly shrinks for four steps (targets out of reach) or most steps don't suffice.
     """
     k = len(weights)
     total = members.agg(F.sum("__n")).first()[0] or 0
@@ -133,7 +133,7 @@ def fit_rates(members: DataFrame, weights: list[float], most: int = 40, within:
     target = [w * total for w in weights]
     p = [F.col("__p")[i] for i in range(k)]
     steps: list[list[float]] = []
-    before, step = float("inf"), None
+    before, step, stalled = float("inf"), None, 0
     for turn in range(most + 1):
         rows = members.withColumn("__r", rate_of(steps))
         free = F.when(F.col("__r") > 0, F.col("__n").cast("double") * F.col("__n")).otherwise(0.0)
@@ -149,8 +149,9 @@ def fit_rates(members: DataFrame, weights: list[float], most: int = 40, within:
                 break
             steps[-1] = step
             continue
+        stalled = stalled + 1 if distance > before * (1 - 1e-4) else 0
         before = distance
-        if turn == most:
+        if turn == most or stalled == 4:
             break
         gram = [[got[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
         ridge = 1e-9 * sum(gram[i][i] for i in range(k)) + 1e-12
