@@ -293,3 +293,84 @@ def completed_starts(acts: DataFrame, is_start: Column) -> DataFrame:
     rows = acts.withColumns({"_mark": is_start & begun, "_at": F.coalesce("actual_start", first, "start")})
     done = lambda c, v: F.when(F.col("_mark"), v).otherwise(F.col(c))
     return rows.withColumns({"pct": done("pct", F.lit(100.0)), "actual_finish": done("actual_finish", F.coalesce("actual_finish", "_at")), "actual_start": done("actual_start", F.col("_at"))}).drop("_mark", "_at")
+
+
+def accrual(windows: DataFrame, days: DataFrame) -> DataFrame:
+    """(project_id, curve, day, amount, period) at each of a project's days (project_id, day), for every curve it has.
+
+    windows (project_id, curve, begin, end, amount): an amount that accrues evenly from begin to end, or is there from its
+    end on if that isn't later. `amount` is what has accrued by then; `period` is the sum of the daily amounts of the windows open
+    at that time, both ends included, where a window counts as a day long at least. Rows with a null are left out; a project
+    without days has no rows. A sweep: windows never meet days, both become events of one running sum.
+    """
+    w = windows.where("project_id is not null and curve is not null and begin is not null and end is not null and amount is not null")
+    span = seconds(F.col("end")) - seconds(F.col("begin"))
+    slope = F.when(span > 0, F.col("amount") / span).otherwise(0.0)
+    daily = F.when(span >= 0, F.col("amount") / F.greatest(span / 86400, F.lit(1.0))).otherwise(0.0)
+    zero, none, one = F.lit(0.0), F.lit(0), F.when(span > 0, 1).otherwise(0)
+    names = ("slope", "open", "step", "opens", "closes")
+    event = lambda at, *v: F.struct(F.col(at).alias("t"), *[x.alias(n) for x, n in zip(v, names)])
+    both = F.array(event("begin", slope, one, zero, daily, zero), event("end", -slope, -one, F.when(span > 0, zero).otherwise(F.col("amount")), zero, daily))
+    e = w.select("project_id", "curve", F.explode(both).alias("e")).select("project_id", "curve", "e.*", F.lit(False).alias("asked"))
+    asked = w.select("project_id", "curve").distinct().join(days.where("day is not null").distinct(), "project_id")
+    e = e.unionByName(asked.select("project_id", "curve", F.col("day").alias("t"), *[(none if n == "open" else zero).alias(n) for n in names], F.lit(True).alias("asked")))
+    e = e.groupBy("project_id", "curve", "t").agg(*[F.sum(n).alias(n) for n in names], F.max("asked").alias("asked"))
+    run = Window.partitionBy("project_id", "curve").orderBy("t")
+    before = run.rowsBetween(Window.unboundedPreceding, -1)
+    # what accrues up to the next event; nothing between windows, whatever sums of slopes leave
+    gain = F.when(F.sum("open").over(run) > 0, F.sum("slope").over(run) * (seconds(F.lead("t").over(run)) - seconds(F.col("t")))).otherwise(0.0)
+    e = e.withColumn("gain", gain).withColumn("steps", F.sum("step").over(run)).withColumn("opened", F.sum("opens").over(run)).withColumn("closed", F.sum("closes").over(before))
+    amount = F.coalesce(F.sum("gain").over(before), zero) + F.col("steps")
+    e = e.withColumn("amount", amount).withColumn("period", F.col("opened") - F.coalesce("closed", zero))
+    return e.where("asked").select("project_id", "curve", F.col("t").alias("day"), "amount", "period")
+
+
+def forecasted_windows(acts: DataFrame, default_rate: float = 1.0) -> DataFrame:
+    """The windows of planned, overrun and earned, each in hours and (suffix _cost) in cost, for accrual().
+
+    Planned and earned work accrues over the planned window, overrun over the risk-adjusted one (columns risk_start, risk_end,
+    risk_duration; where null, the planned ones; a duration of 0 too). Activities without hours or dates have none."""
+    rate = F.when(F.col("cost_rate") > 0, F.col("cost_rate")).otherwise(default_rate)
+    begin, end = F.coalesce("risk_start", "start"), F.coalesce("risk_end", "finish")
+    hours = F.coalesce(F.nullif("risk_duration", F.lit(0.0)), "duration")
+    known = acts.where(F.col("start").isNotNull() & F.col("finish").isNotNull() & (F.col("duration") > 0))
+    parts = []
+    for name, b, t, h in (("planned", F.col("start"), F.col("finish"), F.col("duration")), ("overrun", begin, end, hours), ("earned", F.col("start"), F.col("finish"), F.col("duration") * F.coalesce("pct", F.lit(0.0)) / 100)):
+        parts += [F.struct(F.lit(n).alias("curve"), b.alias("begin"), t.alias("end"), v.alias("amount")) for n, v in ((name, h), (f"{name}_cost", h * rate))]
+    return known.select("project_id", F.explode(F.array(*parts)).alias("w")).select("project_id", "w.*")
+
+
+def progress_curves(acts: DataFrame, days: DataFrame, status: str) -> DataFrame:
+    """(project_id, day, planned, actual, expected) in per cent of a project's hours at its days: planned work up to its planned finish,
+    actual work up to the status date, expected work from there to the expected finish (columns expected_start, expected_finish); else null.
+
+    Finished work accrues over its actual window, work in progress up to its percentage at the status date (from its
+    actual, else its planned start), remaining work over its expected window from the status date on. Activities without hours count
+    nowhere; a project without any has no rows. Missing percentages are 0; work is finished with an actual finish or 100 %.
+    """
+    at, h = F.to_timestamp_ntz(F.lit(status)), F.col("duration")
+    a = acts.where(h > 0).withColumn("pct", F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce("pct", F.lit(0.0)))))
+    p = F.col("pct") / 100
+    finished = F.col("actual_finish").isNotNull() | (p >= 1)
+    going = F.col("actual_finish").isNull() & (F.col("actual_start").isNotNull() | (p > 0))
+    frm = F.coalesce("actual_start", "start", at)
+    ahead = F.greatest(at, F.coalesce("expected_start", at))
+    window = lambda name, when, begin, end, v: F.when(when, F.struct(F.lit(name).alias("curve"), begin.alias("begin"), end.alias("end"), v.alias("amount")))
+    parts = F.array(
+        window("planned", F.col("start").isNotNull() & F.col("finish").isNotNull(), F.col("start"), F.col("finish"), h),
+        window("actual", F.col("actual_finish").isNotNull(), F.coalesce("actual_start", "actual_finish"), F.col("actual_finish"), h),
+        window("actual", going, F.least(frm, at), at, F.when(frm <= at, h * p).otherwise(0.0)),
+        window("expected", ~finished, ahead, F.coalesce("expected_finish", ahead), h * (1 - p)),
+    )
+    w = a.select("project_id", F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("w")).select("project_id", "w.*")
+    wide = accrual(w, days).groupBy("project_id", "day").agg(*[F.max(F.when(F.col("curve") == c, F.col("amount"))).alias(c) for c in ("planned", "actual", "expected")])
+    total = a.groupBy("project_id").agg(F.sum("duration").alias("_h"), F.sum(F.when(finished, h).otherwise(h * p)).alias("_done"), F.max("finish").alias("_planned"), F.max(F.greatest(F.coalesce("expected_finish", at), at)).alias("_expected"))
+    share = lambda v: clamp(100 * F.coalesce(v, F.lit(0.0)) / F.col("_h"), 0.0, 100.0)
+    day = F.col("day")
+    return days.where("day is not null").distinct().join(total, "project_id").join(wide, ["project_id", "day"], "left").select(
+        "project_id",
+        "day",
+        F.when(day <= F.col("_planned"), share(F.col("planned"))).alias("planned"),
+        F.when(day <= at, share(F.col("actual"))).alias("actual"),
+        F.when((day >= at) & (day <= F.col("_expected")), share(F.col("_done") + F.coalesce("expected", F.lit(0.0)))).alias("expected"),
+    )

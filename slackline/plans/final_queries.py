@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slackline.functions import stats
-from slackline.operators import calendar, community, cpm, ensemble, evm, montecarlo, paths, sanitise, solver
+from slackline.operators import calendar, community, cpm, ensemble, evm, grouping, montecarlo, paths, sanitise, solver
 from slackline.plans.core_queries import DW, PASSES, rounded, schedule
 from slackline.plans.extra_queries import PATH_CTE
 from slackline.plans.more_queries import CAL_DAY, CAL_SQL, FULL_ENSEMBLE, MC, SAMPLES, work_calendar
@@ -108,13 +108,7 @@ def evm_earned_curve(spark, sf_dir):
 
 @query()
 def risk_clusters(spark, sf_dir):
-    """k-means over the portfolio's importance and risk; 1 + sqrt(rows / 2) clusters, ten at most."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    a = VectorAssembler(inputCols=["importance", "risk"], outputCol="features").transform(activities(spark, sf_dir).select("project_id", "id", "importance", "risk"))
-    model = KMeans(k=10, seed=42, maxIter=20).fit(a)
-    return model.transform(a).select("project_id", "id", F.col("prediction").alias("cluster"))
+    return grouping.risk_groups(activities(spark, sf_dir))
 
 
 @query(f"WITH {ACT_SQL} SELECT project_id, task_type, count(*) AS n, round(avg(risk), 8) AS mean_risk, round(max(risk), 8) AS max_risk, round(sum(pct * duration) / sum(duration), 6) AS progress, count_if(pct >= 100) AS finished, count_if(pct > 0 AND pct < 100) AS running FROM act GROUP BY 1, 2")

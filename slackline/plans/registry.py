@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("core_queries", "more_queries", "extra_queries", "final_queries", "portfolio_queries")
+MODULES = ("core_queries", "more_queries", "extra_queries", "final_queries", "portfolio_queries", "register_queries")
 
 
 def _modules():
