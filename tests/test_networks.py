@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slackline.operators import analytics, cpm, ensemble, evm, health, inputs, longest, sanitise
+from slackline.plans.grouped import graph_apply
 
 ACT = "project_id long, seq int, id string, duration double, risk double, resource_count double"
 LNK = "project_id long, source string, target string, rel string, lag double, ord int, duration double"
@@ -256,3 +257,14 @@ def test_request_lines_and_overrides(spark, tmp_path):
     for bad in ({"most": True}, {"most": 2.0}, {"most": 11}, {"flag": 1}, {"other": 1}, {"share": float("nan")}):
         with pytest.raises(ValueError):
             requests.overridden(Config(), bad, {"most": (1, 10)})
+
+
+def test_kernels_ask_for_whole_projects(spark):
+    """A repartition() is dropped where both sides are partitioned alike, and joins may then be read in other parts: a window above the union asks for them."""
+    a, e = network(spark, {1: [1.0, 2.0]}, [(1, 0, 1, "FS", 0)])
+    joined = a.join(a.groupBy("project_id").agg(F.max("seq").alias("last")), "project_id")
+    df = graph_apply(joined, e, lambda a, e: a.assign(links=len(e)), "project_id long, id string, links long", ["seq"])
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    asks = plan[plan.index("MapInArrow") : plan.index("Union")]
+    assert "Window" in asks and "windowspecdefinition(project_id" in asks
+    assert {(r.id, r.links) for r in df.collect()} == {("1-0", 1), ("1-1", 1)}
