@@ -15,7 +15,7 @@ BRANCH_DEPTH, MIDPOINT_DEPTH, MOST, LEAST_BRANCH, MOST_BRANCH, MULTIPLIER, CANDI
 USUAL, LARGE, SMALL = (0.92, 5), (0.90, 10), (0.94, 5)
 
 
-def families(paths: DataFrame, most: int = MOST) -> DataFrame:
+def families(paths: DataFrame, most: int | None = MOST) -> DataFrame:
     """(project_id, path, duration, branch, midpoint, deviation, family, place, overlap_threshold, min_new_links): preselected paths.
 
     Candidates are a project's longest paths, up to a cap that is far above `most`. A family is the paths of one branch (first
@@ -23,12 +23,14 @@ def families(paths: DataFrame, most: int = MOST) -> DataFrame:
     its `family` members. Branches, those with the longest path first, get equal quotas (half as much again to choose from), within
     which each midpoint comes once before any comes twice. How much paths may share depends on the sizes of the families. Ties go to
     the smaller path as text; a path without links has no deviation (UNSPEC), one that never leaves the longest is ON_REF. Rows with a
-    null path or duration are left out. No rows give no rows.
+    null path or duration are left out. No rows give no rows. With most = None every path is a candidate and every family is given.
     """
     long = Window.partitionBy("project_id").orderBy(F.desc("duration"), "path")
     s = paths.where("path is not null and duration is not null").select("project_id", "path", "duration")
     s = s.withColumn("_k", F.row_number().over(long)).withColumn("_ref", F.split(F.first("path").over(long), ">"))
-    s = s.where(F.col("_k") <= min(CANDIDATES, max(most * MULTIPLIER, most * 3))).withColumn("_n", F.split("path", ">"))
+    if most is not None:
+        s = s.where(F.col("_k") <= min(CANDIDATES, max(most * MULTIPLIER, most * 3)))
+    s = s.withColumn("_n", F.split("path", ">"))
     size, mid = F.size("_n"), F.floor(F.size("_n") / 2).cast("int")
     branch = F.array_join(F.slice("_n", 1, BRANCH_DEPTH), ">")
     midpoint = F.when(size < 5, "short").otherwise(F.array_join(F.slice("_n", F.greatest(F.lit(0), mid - MIDPOINT_DEPTH // 2) + 1, F.lit(MIDPOINT_DEPTH)), ">"))
@@ -48,6 +50,9 @@ def families(paths: DataFrame, most: int = MOST) -> DataFrame:
     small = ~large & (F.col("_largest") <= 10) & (F.col("_f") / F.col("_n") >= 0.85)
     chosen = lambda i: F.when(large, LARGE[i]).when(small, SMALL[i]).otherwise(USUAL[i])
     s = s.withColumn("overlap_threshold", chosen(0)).withColumn("min_new_links", chosen(1))
+    columns = ["project_id", "path", "duration", "branch", "midpoint", "deviation", "family", F.row_number().over(long).alias("place"), "overlap_threshold", "min_new_links"]
+    if most is None:
+        return s.select(*columns)
 
     of = Window.partitionBy("project_id", "branch")
     first = F.first(F.struct((-F.col("duration")).alias("d"), "path")).over(of.orderBy(F.desc("duration"), "path"))
@@ -60,8 +65,7 @@ def families(paths: DataFrame, most: int = MOST) -> DataFrame:
     s = s.withColumn("_again", F.row_number().over(Window.partitionBy("project_id", "branch", "midpoint").orderBy(F.desc("duration"), "path")) > 1)
     s = s.withColumn("_i", F.row_number().over(of.orderBy("_again", F.desc("duration"), "path"))).where("_i <= _q")
     s = s.withColumn("_at", F.row_number().over(all_.orderBy("_b", "_i"))).where(F.col("_at") <= F.least(F.col("_f"), F.lit(max(most * 3, most + 10))))
-    place = F.row_number().over(long)
-    return s.select("project_id", "path", "duration", "branch", "midpoint", "deviation", "family", place.alias("place"), "overlap_threshold", "min_new_links")
+    return s.select(*columns)
 
 
 def independent(pre: DataFrame, most: int = MOST) -> DataFrame:
