@@ -25,6 +25,16 @@ def planned_share(start: Column, finish: Column, at: Column) -> Column:
     return F.when(d >= f, 1.0).when(d > s, (d - s) / (f - s)).otherwise(0.0)
 
 
+def sums(rows: DataFrame, **values: Column) -> DataFrame:
+    """Sums by project. With a column row they are added in its order, so their last digits (which decide comparisons and ties of
+    rounding) don't depend on how rows are spread over tasks."""
+    if "row" not in rows.columns:
+        return rows.groupBy("project_id").agg(*[F.sum(v).alias(n) for n, v in values.items()])
+    w = Window.partitionBy("project_id").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    each = rows.select("project_id", "row", *[v.alias(n) for n, v in values.items()])
+    return each.select("project_id", *[F.sum(n).over(w).alias(n) for n in values]).groupBy("project_id").agg(*[F.max(n).alias(n) for n in values])
+
+
 def scalars(acts: DataFrame, status: str, default_rate: float = 1.0) -> DataFrame:
     """BAC, BCWS, BCWP, ACWP (hours and cost) for each project at the status date.
 
@@ -42,11 +52,8 @@ def scalars(acts: DataFrame, status: str, default_rate: float = 1.0) -> DataFram
     hours = F.when(p == 0, 0.0).when(given, F.col("actual_cost") / rate).when(begun.isNotNull(), h * p * behind).otherwise(0.0)
     cost = F.when(p == 0, 0.0).when(given, F.col("actual_cost")).when(begun.isNotNull(), h * p * behind * rate).otherwise(0.0)
     dated = F.col("start").isNotNull() & F.col("finish").isNotNull()
-    return (
-        acts.where(h > 0)
-        .groupBy("project_id")
-        .agg(F.sum(h).alias("bac"), F.sum(F.when(dated, h * planned_share(F.col("start"), F.col("finish"), at)).otherwise(0.0)).alias("bcws"), F.sum(h * p).alias("bcwp"), F.sum(hours).alias("acwp_hours"), F.sum(cost).alias("acwp_cost"))
-    )
+    planned = F.when(dated, h * planned_share(F.col("start"), F.col("finish"), at)).otherwise(0.0)
+    return sums(acts.where(h > 0), bac=h, bcws=planned, bcwp=h * p, acwp_hours=hours, acwp_cost=cost)
 
 
 def metrics(s: DataFrame) -> DataFrame:
@@ -73,7 +80,7 @@ def duration_weighted(acts: DataFrame, status: str) -> DataFrame:
     h = F.col("duration")
     p = F.when(F.col("actual_finish") <= at, 1.0).otherwise(F.col("pct") / 100)
     dated = F.col("start").isNotNull() & F.col("finish").isNotNull()
-    s = acts.where(h > 0).groupBy("project_id").agg(F.sum(h).alias("total_hours"), F.sum(h * p).alias("actual_hours"), F.sum(F.when(dated, h * planned_share(F.col("start"), F.col("finish"), at)).otherwise(0.0)).alias("planned_hours"))
+    s = sums(acts.where(h > 0), total_hours=h, actual_hours=h * p, planned_hours=F.when(dated, h * planned_share(F.col("start"), F.col("finish"), at)).otherwise(0.0))
     spi = F.when(F.col("planned_hours") > 0, F.col("actual_hours") / F.col("planned_hours")).when(F.col("actual_hours") > 0, 2.0).otherwise(1.0)
     return s.withColumn("dw_spi", spi)
 
@@ -100,19 +107,24 @@ def frontier(acts: DataFrame, links: DataFrame) -> DataFrame:
 def planned_curve(acts: DataFrame) -> DataFrame:
     """Cumulative planned hours at each of a project's own start and finish dates, as a sweep.
 
-    Every activity adds its rate at its start and takes it away at its finish; running sums of slopes and
-    of slopes times time give the curve at all dates without meeting each activity with each date.
+    Every activity adds its rate at its start; at its finish it takes it away again and adds its hours, so finished work
+    counts exactly, and running sums of slopes only what is open. Activities never meet each date.
     """
     dated = acts.where("duration > 0 and start is not null and finish is not null")
+    # times from the project's own start, for exact sums
+    dated = dated.withColumn("_first", F.min("start").over(Window.partitionBy("project_id")))
+    x = lambda c: seconds(F.col(c)) - seconds(F.col("_first"))
     rate = F.col("duration") / (seconds(F.col("finish")) - seconds(F.col("start")))
-    event = F.when(F.col("finish") > F.col("start"), F.array(F.struct(F.col("start").alias("t"), rate.alias("slope"), F.lit(0.0).alias("step")), F.struct(F.col("finish").alias("t"), (-rate).alias("slope"), F.lit(0.0).alias("step"))))
-    event = event.otherwise(F.array(F.struct(F.col("start").alias("t"), F.lit(0.0).alias("slope"), F.col("duration").alias("step"))))
-    e = dated.select("project_id", F.explode(event).alias("e")).groupBy("project_id", F.col("e.t").alias("t")).agg(F.sum("e.slope").alias("slope"), F.sum("e.step").alias("step"))
+    names = ("t", "x", "slope", "rise", "open", "step")
+    event = lambda at, *v: F.struct(*[c.alias(n) for n, c in zip(names, (F.col(at), x(at), *v))])
+    zero, none = F.lit(0.0), F.lit(0)
+    both = F.array(event("start", rate, rate * x("start"), F.lit(1), zero), event("finish", -rate, -(rate * x("start")), F.lit(-1), F.col("duration")))
+    both = F.when(F.col("finish") > F.col("start"), both).otherwise(F.array(event("start", zero, zero, none, F.col("duration"))))
+    e = dated.select("project_id", F.explode(both).alias("e")).groupBy("project_id", F.col("e.t").alias("t")).agg(F.max("e.x").alias("x"), *[F.sum(f"e.{n}").alias(n) for n in names[2:]])
     w = Window.partitionBy("project_id").orderBy("t")
-    e = e.withColumn("first", F.min("t").over(Window.partitionBy("project_id")))
-    x = seconds(F.col("t")) - seconds(F.col("first"))  # from the project's own start, for exact sums
-    e = e.withColumn("x", x).withColumn("a", F.sum("slope").over(w)).withColumn("b", F.sum(F.col("slope") * F.col("x")).over(w)).withColumn("s", F.sum("step").over(w))
-    return e.select("project_id", F.col("t").alias("date"), (F.col("a") * F.col("x") - F.col("b") + F.col("s")).alias("planned_hours"))
+    run = {n: F.sum(n).over(w) for n in names[2:]}
+    ahead = F.when(run["open"] > 0, run["slope"] * F.col("x") - run["rise"]).otherwise(0.0)
+    return e.select("project_id", F.col("t").alias("date"), (run["step"] + ahead).alias("planned_hours"))
 
 
 def monotone(curve: DataFrame, value: str) -> DataFrame:
@@ -127,7 +139,8 @@ def earned_schedule(acts: DataFrame, status: str) -> DataFrame:
     curve = planned_curve(acts)
     w = Window.partitionBy("project_id").orderBy("date")
     seg = curve.withColumn("d1", F.lead("date").over(w)).withColumn("v1", F.lead("planned_hours").over(w))
-    base = acts.groupBy("project_id").agg(F.to_date(F.min("start")).alias("ps"), F.to_date(F.max("finish")).alias("pf"), F.sum(F.col("duration") * F.col("pct") / 100).alias("ev"), F.sum("duration").alias("pv"))
+    base = acts.groupBy("project_id").agg(F.to_date(F.min("start")).alias("ps"), F.to_date(F.max("finish")).alias("pf"))
+    base = base.join(sums(acts, ev=F.col("duration") * F.col("pct") / 100, pv=F.col("duration")), "project_id")
     hit = seg.join(base.select("project_id", "ev", "ps"), "project_id").where("d1 is not null and planned_hours <= ev and ev <= v1")
     days = F.datediff("date", "ps") + F.when(F.col("v1") > F.col("planned_hours"), (F.col("ev") - F.col("planned_hours")) / (F.col("v1") - F.col("planned_hours"))).otherwise(0.0) * F.datediff("d1", "date")
     hit = hit.groupBy("project_id").agg(F.min_by(days, "date").alias("inner_days"))

@@ -262,3 +262,28 @@ def test_every_path_of_a_large_network(spark):
     assert len(got) == 2**14 and got.path.is_unique and (got.length == 16).all()
     assert sorted(got.duration) == list(range(2**14))
     assert all(sum(d[x] for x in r.path.split(">")) == r.duration for r in got.itertuples())
+
+
+def test_numbers_are_rounded_as_the_sql_does(spark):
+    import duckdb
+
+    from slackline.plans.core_queries import rounded
+
+    values = [1.005, 2.675, -1.005, 0.285, 8.345, 0.5, -0.001, 1e15 + 0.3, 0.145]
+    got = [r.v for r in rounded(spark.createDataFrame([(v,) for v in values], "v double"), 2, "v").collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 2) + 0.0", [v]).fetchone()[0] for v in values]
+
+
+def test_sums_follow_the_rows_of_the_file(spark):
+    rows = spark.createDataFrame([(1, 2, -1e16), (1, 0, 1e16), (1, 1, 1.0), (2, 5, 3.0)], "project_id long, row long, v double").repartition(3)
+    assert {r.project_id: r.s for r in evm.sums(rows, s=F.col("v")).collect()} == {1: 0.0, 2: 3.0}
+
+
+def test_planned_curve_is_exact_where_nothing_is_open(spark):
+    rng = np.random.default_rng(5)
+    rows = [(p, f"{y}-01-{int(a):02d} 00:00:00", f"{y}-{int(m):02d}-01 00:00:00", float(rng.integers(1, 50)), y) for p in range(40) for y in range(1992, 1998) for a, m in [(rng.integers(1, 28), rng.integers(2, 8))] for _ in range(3)]
+    acts = spark.createDataFrame([(p, s, f, h) for p, s, f, h, _ in rows], "project_id long, s string, f string, duration double")
+    acts = acts.select("project_id", F.col("s").cast("timestamp_ntz").alias("start"), F.col("f").cast("timestamp_ntz").alias("finish"), "duration")
+    last = {(p, y): f for p, _, f, _, y in sorted(rows, key=lambda r: r[2])}
+    got = {(r.project_id, str(r.date)): r.planned_hours for r in evm.planned_curve(acts).collect()}
+    assert all(got[p, f] == sum(h for q, _, _, h, z in rows if q == p and z <= y) for (p, y), f in last.items())
