@@ -224,14 +224,13 @@ def first_after(curve: DataFrame, status: str, date: str = "date") -> DataFrame:
 def significant_dates(acts: DataFrame, columns: list[str], status: str, most: int, step_days: int = 7) -> DataFrame:
     """(project_id, day): the distinct dates of the columns, the status date and every step_days between the first and the last; where they
     are more than most, evenly spaced ones of them, the first and the last among them."""
-    own = acts.select("project_id", F.explode(F.array(*columns)).alias("day")).where("day is not null")
-    ends = own.groupBy("project_id").agg(F.min("day").alias("a"), F.max("day").alias("z"))
-    fill = ends.select("project_id", F.explode(F.concat(F.sequence("a", "z", F.make_dt_interval(F.lit(step_days))), F.array(F.to_timestamp_ntz(F.lit(status))))).alias("day"))
-    days = own.unionByName(fill).distinct()
-    w = Window.partitionBy("project_id")
-    days = days.withColumn("_i", F.row_number().over(w.orderBy("day")) - 1).withColumn("_n", F.count("*").over(w))
+    own = acts.groupBy("project_id").agg(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array(*columns))))).alias("own")).where(F.size("own") > 0)
+    # arrays by project: what is filled in between is many times the activities, and never shuffled
+    fill = F.sequence(F.array_min("own"), F.array_max("own"), F.make_dt_interval(F.lit(step_days)))
+    days = own.select("project_id", F.array_sort(F.array_distinct(F.concat("own", fill, F.array(F.to_timestamp_ntz(F.lit(status)))))).alias("days"))
+    days = days.select("project_id", F.size("days").alias("_n"), F.posexplode("days").alias("_i", "day"))
     # i is one of floor(k (n - 1) / (most - 1)): the place of the smallest such k that reaches i gives i back
-    k = F.ceil(F.col("_i") * (most - 1) / (F.col("_n") - 1))
+    k = F.ceil(F.col("_i") * (most - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
     keep = (F.col("_n") <= most) | (F.floor(k * (F.col("_n") - 1) / (most - 1)) == F.col("_i"))
     return days.where(keep).select("project_id", "day")
 

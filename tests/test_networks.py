@@ -268,3 +268,28 @@ def test_kernels_ask_for_whole_projects(spark):
     asks = plan[plan.index("MapInArrow") : plan.index("Union")]
     assert "Window" in asks and "windowspecdefinition(project_id" in asks
     assert {(r.id, r.links) for r in df.collect()} == {("1-0", 1), ("1-1", 1)}
+
+
+def test_links_without_activities_alone(spark):
+    """A chunk that holds only links of projects without activities gives no rows, and no error."""
+    from slackline.operators import montecarlo
+
+    a, e = network(spark, {1: [1.0, 2.0]}, [(1, 0, 1, "FS", 0)] + [(p, 0, 1, "FS", 0) for p in range(2, 40)])
+    a = a.selectExpr("*", "duration AS remaining", "0.0D AS base", "0.4D AS fat", "array(1.0D, 2.0D) AS mult")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert [r.project_id for r in montecarlo.forecast(a.drop("mult"), e, 2).collect()] == [1]
+        assert {r.id for r in ensemble.risk_indices(a, e).collect()} == {"1-0", "1-1"}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_significant_dates_shuffle_activities_only(spark):
+    a = spark.createDataFrame([(p, f"199{p}-01-0{i + 1} 00:00:00", f"199{p}-0{i + 2}-01 00:00:00") for p in (2, 3) for i in range(3)], "project_id long, s string, f string")
+    a = a.select("project_id", F.col("s").cast("timestamp_ntz").alias("start"), F.col("f").cast("timestamp_ntz").alias("finish"))
+    out = evm.significant_dates(a, ["start", "finish"], "1993-02-10 00:00:00", 400)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    # 6 own dates, 14 weeks after the first, the status date
+    want = {dt.datetime(1993, 1, 1) + dt.timedelta(days=7 * i) for i in range(13)} | {dt.datetime(1993, 1, i) for i in (2, 3)} | {dt.datetime(1993, i, 1) for i in (2, 3, 4)} | {dt.datetime(1993, 2, 10)}
+    got = [r.day for r in out.where("project_id = 3").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
