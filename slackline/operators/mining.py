@@ -32,29 +32,33 @@ def recurring_parts(paths: DataFrame, scores: DataFrame, metrics: tuple[str, ...
     An anchor is an activity one of whose scores reaches the threshold. support counts paths. supp is its share of the project's paths, junc
     the strength of the ends (degree in at the first, out at the last), sal the mean strength of the activities' salience (the sum of the
     metrics' scores over `parts`, the number of metrics that salience has in full), maxpen the share of the
-    commonest neighbour, left or right; score is supp + junc + sal - maxpen. Anchor pairs of a path meet in a self-join by path, bounded by
-    `longest`; nothing is capped. Paths without two anchors give nothing.
+    commonest neighbour, left or right; score is supp + junc + sal - maxpen. Paths are shuffled once, to their project's scores; anchor pairs
+    are made within a path, bounded by `longest`; nothing is capped. Paths without two anchors give nothing.
     """
     z = ["in", "out", *metrics]
     sal = sum((F.col(f"z_{m}") for m in metrics), F.lit(0.0)) / parts
-    s = scores.select("project_id", "id", F.greatest(*[F.col(f"z_{m}") for m in z]).alias("top"), bounded(F.col("z_in")).alias("ji"), bounded(F.col("z_out")).alias("jo"), bounded(sal).alias("sal"))
-    inner = F.slice(F.split("path", ">"), 2, F.greatest(F.lit(0), F.size(F.split("path", ">")) - 2))
-    corpus = paths.groupBy("project_id").agg(F.count("*").alias("corpus"))
-    rows = paths.select("project_id", "path", inner.alias("nodes")).where(F.size("nodes") >= shortest)
-    at = rows.select("project_id", "path", "nodes", F.posexplode("nodes").alias("i", "id")).join(s, ["project_id", "id"])
-    w = Window.partitionBy("project_id", "path").orderBy("i")
-    at = at.withColumn("run", F.sum("sal").over(w))
-    anchors = at.where(F.col("top") >= threshold)
-    first = anchors.select("project_id", "path", "nodes", "i", "ji", (F.col("run") - F.col("sal")).alias("before"))
-    last = anchors.select(F.col("project_id").alias("p2"), F.col("path").alias("path2"), F.col("i").alias("j"), "jo", F.col("run").alias("upto"))
+    node = F.struct("id", (F.greatest(*[F.col(f"z_{m}") for m in z]) >= threshold).alias("anchor"), bounded(F.col("z_in")).alias("ji"), bounded(F.col("z_out")).alias("jo"), bounded(sal).alias("sal"))
+    known = scores.select("project_id", node.alias("n")).groupBy("project_id").agg(F.collect_list("n").alias("known"))
+    known = known.where(F.size(F.filter("known", lambda n: n.anchor)) >= 2)  # others have no pair
+    rows = paths.select("project_id", "path").join(known, "project_id").withColumn("corpus", F.count("*").over(Window.partitionBy("project_id")))
+    rows = rows.withColumn("nodes", F.slice(F.split("path", ">"), 2, F.greatest(F.lit(0), F.size(F.split("path", ">")) - 2))).where(F.size("nodes") >= shortest)
+    # what is known of each activity in order (null: nothing), and the places of anchors: pairs are made within the path's row
+    place = "aggregate(known, cast(null AS {0}), (a, n) -> CASE WHEN n.id = x THEN n ELSE a END)".format(known.schema["known"].dataType.elementType.simpleString())
+    rows = rows.withColumn("at", F.expr(f"transform(nodes, x -> {place})"))
+    rows = rows.withColumn("anchors", F.expr("filter(sequence(0, size(at) - 1), i -> coalesce(at[i].anchor, false))")).where(F.size("anchors") >= 2)
+    rows = rows.withColumn("pair", F.expr(f"explode(flatten(transform(anchors, i -> transform(filter(anchors, j -> j - i + 1 BETWEEN {shortest} AND {longest}), j -> struct(i, j)))))"))
+    n = F.col("pair.j") - F.col("pair.i") + 1
+    inner = F.aggregate(F.slice("at", F.col("pair.i") + 1, n), F.lit(0.0), lambda a, x: a + F.coalesce(x["sal"], F.lit(0.0)))
+    pairs = rows.select("project_id", "corpus", "nodes", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), F.get("at", F.col("pair.i"))["ji"].alias("ji"), F.get("at", F.col("pair.j"))["jo"].alias("jo"), inner.alias("inner"))
     n = F.col("j") - F.col("i") + 1
-    pairs = first.join(last, (F.col("project_id") == F.col("p2")) & (F.col("path") == F.col("path2")) & (n >= shortest) & (n <= longest))
-    part = F.array_join(F.slice("nodes", F.col("i") + 1, F.greatest(n, F.lit(0))), ">")  # also seen by pairs that the join then drops
-    pairs = pairs.select("project_id", part.alias("part"), n.alias("length"), "ji", "jo", ((F.col("upto") - F.col("before")) / n).alias("sal"), F.get("nodes", F.col("i") - 1).alias("left"), F.get("nodes", F.col("j") + 1).alias("right"))
-    sides = pairs.select("project_id", "part", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("id")), F.struct(F.lit(1).alias("side"), F.col("right").alias("id")))).alias("e")).where("e.id is not null")
-    common = sides.groupBy("project_id", "part", "e.side", "e.id").agg(F.count("*").alias("k")).groupBy("project_id", "part").agg(F.max("k").alias("k"))
-    g = pairs.groupBy("project_id", "part").agg(F.min("length").cast("int").alias("length"), F.count("*").alias("support"), F.min("ji").alias("ji"), F.min("jo").alias("jo"), F.max("sal").alias("sal"))
-    g = g.join(common, ["project_id", "part"], "left").join(corpus, "project_id")
+    part = F.array_join(F.slice("nodes", F.col("i") + 1, n), ">")
+    pairs = pairs.select("project_id", "corpus", part.alias("part"), n.alias("length"), "ji", "jo", (F.col("inner") / n).alias("sal"), F.get("nodes", F.col("i") - 1).alias("left"), F.get("nodes", F.col("j") + 1).alias("right"))
+    # of pairs with the same neighbours one row; then the commonest neighbour on either side
+    keys = ["project_id", "part"]
+    g = pairs.groupBy(*keys, "left", "right").agg(F.count("*").alias("k"), F.min("length").cast("int").alias("length"), F.min("ji").alias("ji"), F.min("jo").alias("jo"), F.max("sal").alias("sal"), F.max("corpus").alias("corpus"))
+    of = lambda side: F.when(F.col(side).isNotNull(), F.sum("k").over(Window.partitionBy(*keys, side)))
+    g = g.withColumn("_l", of("left")).withColumn("_r", of("right"))
+    g = g.groupBy(*keys).agg(F.min("length").alias("length"), F.sum("k").alias("support"), F.min("ji").alias("ji"), F.min("jo").alias("jo"), F.max("sal").alias("sal"), F.max("corpus").alias("corpus"), F.max(F.greatest("_l", "_r")).alias("k"))
     g = g.withColumn("supp", F.col("support") / F.col("corpus")).withColumn("junc", (F.col("ji") + F.col("jo")) / 2).withColumn("maxpen", F.coalesce("k", F.lit(0)) / F.col("support"))
     return g.select("project_id", "part", "length", "support", "supp", "junc", "sal", "maxpen", (F.col("supp") + F.col("junc") + F.col("sal") - F.col("maxpen")).alias("score"))
 

@@ -293,3 +293,18 @@ def test_significant_dates_shuffle_activities_only(spark):
     want = {dt.datetime(1993, 1, 1) + dt.timedelta(days=7 * i) for i in range(13)} | {dt.datetime(1993, 1, i) for i in (2, 3)} | {dt.datetime(1993, i, 1) for i in (2, 3, 4)} | {dt.datetime(1993, 2, 10)}
     got = [r.day for r in out.where("project_id = 3").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_mined_parts_shuffle_paths_once(spark):
+    """Anchor pairs are made within a path's row: the paths' text is shuffled to the scores of their project and no further."""
+    from slackline.operators import mining
+
+    schema = "project_id long, id string, z_in double, z_out double, z_risk double, z_importance double"
+    scores = spark.createDataFrame([(1, "a", 0.0, 0.0, 0.0, 0.0), (1, "b", 3.0, 0.0, 0.0, 0.0), (1, "c", 0.0, 0.0, 1.5, 1.5), (1, "d", 0.0, 3.0, 0.0, 0.0)], schema)
+    paths = spark.createDataFrame([(1, "s>b>c>d>e"), (1, "s>a>b>c>d>e"), (1, "s>b>c>d>a>e"), (1, "s>e"), (2, "s>b>c>d>e")], "project_id long, path string")
+    found = mining.recurring_parts(paths, scores)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    r, = found.collect()
+    assert (r.part, r.length, r.support, r.supp, r.junc) == ("b>c>d", 3, 3, 0.75, 1.0)
+    assert r.sal == pytest.approx(1 / 9) and r.maxpen == pytest.approx(1 / 3)
