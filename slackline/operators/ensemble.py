@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from slackline.plans.grouped import graph_apply
 
 from .cpm import acyclic, by_level
-from .montecarlo import BLOCK, factors
+from .montecarlo import BLOCK, drawn, factors
 
 
 def sampled_passes(a, e, durations: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,16 +73,29 @@ def risk_indices_sampled(scoped: DataFrame, links: DataFrame, samples: int) -> D
     return graph_apply(scoped, links, kernel, "project_id long, id string, criticality double, cruciality double", ["seq", "duration", "remaining", "risk", "fat"])
 
 
-def extremes(sampled: DataFrame, cap: str) -> DataFrame:
+def extremes(scoped: DataFrame, samples: int, cap: str) -> DataFrame:
     """Activities that reach 95 % of their cap in a tenth of the samples or more (black swans), or whose largest
-    multiplier lies beyond mean + 4 deviations and twice the mean (dragon kings)."""
-    m, n = F.col("mult"), F.size("mult")
-    mean = F.aggregate(m, F.lit(0.0), lambda a, x: a + x) / n
-    rows = sampled.withColumn("cap", F.expr(cap)).withColumn("mean", mean)
-    rows = rows.withColumn("sd", F.sqrt(F.aggregate(m, F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / n)).withColumn("top", F.array_max(m))
-    swan = F.size(F.filter(m, lambda x: x >= 0.95 * F.col("cap"))) / n
-    out = rows.select("project_id", "id", swan.alias("cap_share"), (swan >= 0.1).alias("black_swan"), ((F.col("top") > F.col("mean") + 4 * F.col("sd")) & (F.col("top") > 2 * F.col("mean"))).alias("dragon_king"))
-    return out.where("black_swan or dragon_king")
+    multiplier lies beyond mean + 4 deviations and twice the mean (dragon kings). Samples are made in a kernel, BLOCK at once, with sums of
+    differences from the first, so their number doesn't multiply the expressions of a plan."""
+
+    def kernel(a, draws):
+        high = 0.95 * a.cap.to_numpy(float)
+        sums, first, top, over = np.zeros((2, len(a))), None, np.full(len(a), -np.inf), np.zeros(len(a))
+        for s in range(0, samples, BLOCK):
+            m = draws(s, min(BLOCK, samples - s))
+            first = m[:, :1] if first is None else first
+            x = m - first
+            sums += [x.sum(1), (x * x).sum(1)]
+            top, over = np.maximum(top, m.max(1)), over + (m >= high[:, None]).sum(1)
+        x, xx = sums / samples
+        mean, sd = first[:, 0] + x, np.sqrt(np.maximum(xx - x * x, 0))
+        out = a.assign(cap_share=over / samples, black_swan=over / samples >= 0.1, dragon_king=(top > mean + 4 * sd) & (top > 2 * mean))
+        out = out[out.black_swan | out.dragon_king]
+        return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type, from_pandas=True) for f in target], schema=target)
+
+    schema = "project_id long, id string, cap_share double, black_swan boolean, dragon_king boolean"
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    return drawn(scoped.withColumn("cap", F.expr(cap)), kernel, schema, ["cap"])
 
 
 OBJECTIVES = ("schedule", "cost", "risk", "quality")

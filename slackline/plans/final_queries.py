@@ -49,7 +49,7 @@ CAP = stats.cap("risk", "(remaining / 8e0)")
 
 @query(f"{MC}, g AS (SELECT project_id, id, avg(mult) AS mean, stddev_pop(mult) AS sd, max(mult) AS top, avg((mult >= 0.95 * {CAP})::INT) AS cap_share FROM ml JOIN (SELECT id, risk FROM act) USING (id) GROUP BY 1, 2), f AS (SELECT project_id, id, cap_share, cap_share >= 0.1 AS black_swan, top > mean + 4 * sd AND top > 2 * mean AS dragon_king FROM g) SELECT * FROM f WHERE black_swan OR dragon_king")
 def extreme_activities(spark, sf_dir):
-    return ensemble.extremes(sampled(spark, sf_dir)[0], CAP)
+    return ensemble.extremes(montecarlo.with_scope(activities(spark, sf_dir), STATUS_DATE), SAMPLES, CAP)
 
 
 @query()
@@ -60,8 +60,7 @@ def risk_indices_full(spark, sf_dir):
 
 @query()
 def extreme_activities_full(spark, sf_dir):
-    a, _ = schedule(spark, sf_dir)
-    return ensemble.extremes(montecarlo.multipliers(montecarlo.with_scope(a, STATUS_DATE), FULL_ENSEMBLE), CAP)
+    return ensemble.extremes(montecarlo.with_scope(activities(spark, sf_dir), STATUS_DATE), FULL_ENSEMBLE, CAP)
 
 
 @query()

@@ -37,3 +37,17 @@ def test_all_multipliers(spark):
     want = {(r.id, r.s): r.m for r in montecarlo.multipliers(some, 500).select("id", F.posexplode("mult").alias("s", "m")).collect()}
     got = {(r.id, r.sample): r.mult for r in df.where("project_id < 20").collect()}
     assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-7) for k, v in want.items())
+
+
+@pytest.mark.parametrize("name, samples", [("extreme_activities", 4), ("extreme_activities_full", 100)])
+def test_extremes_by_hand(spark, name, samples):
+    df = registry.queries()[name](spark, SF)
+    assert "md5" not in df._jdf.queryExecution().optimizedPlan().toString()  # the filter repeated the samples' expressions within each other
+    a = montecarlo.with_scope(activities(spark, SF), STATUS_DATE).toPandas()
+    m = montecarlo.factors(a, 0, samples)
+    unit = lambda x: np.clip(x, 0, 1)
+    cap = 6 + 4 * unit(0.6 * unit((a.risk - 0.5) / 0.5) + 0.4 * unit((a.remaining / 8 - 30) / 180)).to_numpy()
+    share = (m >= 0.95 * cap[:, None]).mean(1)
+    king = (m.max(1) > m.mean(1) + 4 * m.std(1)) & (m.max(1) > 2 * m.mean(1))
+    want = {(i, s, s >= 0.1, k) for i, s, k in zip(a.id, share, king) if s >= 0.1 or k}
+    assert want and {(r.id, r.cap_share, r.black_swan, r.dragon_king) for r in df.collect()} == want
