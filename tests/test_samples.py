@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from slackline.functions import hashing, stats
-from slackline.operators import montecarlo
+from slackline.operators import cpm, montecarlo
 from slackline.plans import registry
+from slackline.plans.core_queries import schedule
 from slackline.sources.star import STATUS_DATE, activities
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +52,26 @@ def test_extremes_by_hand(spark, name, samples):
     king = (m.max(1) > m.mean(1) + 4 * m.std(1)) & (m.max(1) > 2 * m.mean(1))
     want = {(i, s, s >= 0.1, k) for i, s, k in zip(a.id, share, king) if s >= 0.1 or k}
     assert want and {(r.id, r.cap_share, r.black_swan, r.dragon_king) for r in df.collect()} == want
+
+
+def test_forecasts_are_summed_up_in_the_kernel(spark):
+    a, e = schedule(spark, SF)
+    a = montecarlo.with_scope(a, STATUS_DATE).where("project_id % 9 = 0")
+    want = {r.project_id: r for r in montecarlo.summary(montecarlo.forecast(a, e, 60)).collect()}
+    got = {r.project_id: r for r in montecarlo.summary_sampled(a, e, 60).collect()}
+    assert want and got.keys() == want.keys() and all(tuple(got[k]) == pytest.approx(tuple(r)) for k, r in want.items())
+    for name in ("mc_forecast_full", "mc_teac_full", "mc_calibrated_full"):
+        assert "array_sort" not in registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()  # four sorts of 500 a project, by an interpreted comparison
+
+
+@pytest.mark.parametrize("fan", [3, 300])
+def test_links_that_share_an_end(fan):
+    rng = np.random.default_rng(2)
+    at = rng.integers(0, 4, fan)
+    x, v = rng.uniform(0, 1, (4, 5)), rng.uniform(0, 2, (fan, 5))
+    want = x.copy()
+    np.maximum.at(want, at, v)
+    for k, alone in cpm.in_turns(at, np.arange(fan)):
+        assert alone == (fan < 300) and (not alone or len(set(at[k])) == len(k))
+        cpm.merge(np.maximum, x, at[k], v[k], alone)
+    assert (x == want).all() and cpm.in_turns(at, np.zeros(0, int)) == []
