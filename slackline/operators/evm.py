@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from slackline.functions.units import clamp
-from slackline.plans.grouped import graph_apply
+from slackline.plans.grouped import graph_apply, project_apply
 
 from .cpm import acyclic, by_level
 
@@ -337,19 +342,94 @@ def accrual(windows: DataFrame, days: DataFrame) -> DataFrame:
     return e.where("asked").select("project_id", "curve", F.col("t").alias("day"), "amount", "period")
 
 
-def forecasted_windows(acts: DataFrame, default_rate: float = 1.0) -> DataFrame:
-    """The windows of planned, overrun and earned, each in hours and (suffix _cost) in cost, for accrual().
+def running(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Running sums of the rows of x (events, values) within segments (first row and size of each), one after the other in each segment.
+
+    Segments of like size are summed side by side."""
+    out, kind = np.empty_like(x), np.frexp(size - 1)[1]
+    for k in np.unique(kind):
+        at, n = first[kind == k, None], size[kind == k, None]
+        place = np.arange(n.max())
+        inside = place < n
+        rows = np.where(inside, at + place, 0)
+        total = np.cumsum(np.where(inside[..., None], x[rows], 0.0), axis=1)
+        out[rows[inside]] = total[inside]
+    return out
+
+
+def swept(p: np.ndarray, begin: np.ndarray, end: np.ndarray, amounts: np.ndarray, ap: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What accrual gives, for arrays: windows of projects p (numbers) with several amounts (windows, values) and moments asked, of projects ap,
+    all different; times are whole microseconds. Gives which moments of projects with windows these are, their amounts and periods."""
+    span, values = (end - begin)[:, None] / 1e6, amounts.shape[1]
+    slope = np.divide(amounts, span, out=np.zeros_like(amounts), where=span > 0)
+    daily = np.where(span >= 0, amounts / np.maximum(span / 86400, 1.0), 0.0)
+    zero, one = np.zeros_like(amounts), (span > 0).astype(float)
+    known = np.flatnonzero(np.isin(ap, p))
+    # columns: open, and slope, step, opens, closes of each value
+    change = np.concatenate([np.concatenate([one, slope, zero, daily, zero], axis=1), np.concatenate([-one, -slope, np.where(span > 0, 0.0, amounts), zero, daily], axis=1), np.zeros((len(known), 1 + 4 * values))])
+    at, who = np.concatenate([begin, end, asked[known]]), np.concatenate([p, p, ap[known]])
+    order = np.lexsort((at, who))
+    at, who = at[order], who[order]
+    new = np.r_[True, (np.diff(at) != 0) | (np.diff(who) != 0)] if len(at) else np.zeros(0, bool)
+    event = np.empty(len(order), int)
+    event[order] = np.cumsum(new) - 1
+    change = np.add.reduceat(change[order], np.flatnonzero(new)) if len(at) else change
+    at, who = at[new], who[new]
+    first = np.flatnonzero(np.r_[True, np.diff(who) != 0]) if len(at) else np.zeros(0, int)
+    size = np.diff(np.r_[first, len(at)])
+    level = running(change, first, size)
+    opened, slopes, steps, opens, closes = level[:, :1], *(level[:, 1 + i * values : 1 + (i + 1) * values] for i in range(4))
+    later = np.r_[np.diff(at), 0][:, None] / 1e6
+    later[first + size - 1] = 0
+    # what accrues up to the next event; nothing between windows, whatever sums of slopes leave
+    both = running(np.where(opened > 0, slopes * later, 0.0), first, size)
+
+    def before(x):
+        out = np.concatenate([np.zeros_like(x[:1]), x[:-1]])
+        out[first] = 0
+        return out
+
+    own = event[2 * len(p) :]
+    return known, (before(both) + steps)[own], (opens - before(closes))[own]
+
+
+CURVES = ("planned", "overrun", "earned")
+
+
+def forecasted_curves(acts: DataFrame, status: str, shown: Callable[[np.ndarray], np.ndarray] = lambda x: x, default_rate: float = 1.0) -> DataFrame:
+    """(project_id, curve, day, amount, period) of planned, overrun and earned, each in hours and (suffix _cost) in cost, at each start and
+    finish of a project's activities and the status date; amount and period are those of accrual(), passed through shown.
 
     Planned and earned work accrues over the planned window, overrun over the risk-adjusted one (columns risk_start, risk_end,
-    risk_duration; where null, the planned ones; a duration of 0 too). Activities without hours or dates have none."""
+    risk_duration; where null, the planned ones; a duration of 0 too). Activities without hours or dates have no windows. Only activities
+    are shuffled; windows and days, twenty times as many, are made in a kernel.
+    """
     rate = F.when(F.col("cost_rate") > 0, F.col("cost_rate")).otherwise(default_rate)
-    begin, end = F.coalesce("risk_start", "start"), F.coalesce("risk_end", "finish")
-    hours = F.coalesce(F.nullif("risk_duration", F.lit(0.0)), "duration")
-    known = acts.where(F.col("start").isNotNull() & F.col("finish").isNotNull() & (F.col("duration") > 0))
-    parts = []
-    for name, b, t, h in (("planned", F.col("start"), F.col("finish"), F.col("duration")), ("overrun", begin, end, hours), ("earned", F.col("start"), F.col("finish"), F.col("duration") * F.coalesce("pct", F.lit(0.0)) / 100)):
-        parts += [F.struct(F.lit(n).alias("curve"), b.alias("begin"), t.alias("end"), v.alias("amount")) for n, v in ((name, h), (f"{name}_cost", h * rate))]
-    return known.select("project_id", F.explode(F.array(*parts)).alias("w")).select("project_id", "w.*")
+    rows = acts.withColumns({"risk_start": F.coalesce("risk_start", "start"), "risk_end": F.coalesce("risk_end", "finish"), "risk_duration": F.coalesce(F.nullif("risk_duration", F.lit(0.0)), "duration"), "pct": F.coalesce("pct", F.lit(0.0)), "rate": rate})
+    at = np.datetime64(status, "us").astype("int64")
+    schema = "project_id long, curve string, day timestamp_ntz, amount double, period double"
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def kernel(t):
+        a = {c: t[c].to_pandas().to_numpy() for c in t.column_names}
+        micros = lambda c: a[c].astype("datetime64[us]").astype("int64")
+        ids = a["project_id"]
+        p = np.cumsum(np.r_[0, np.diff(ids) != 0])
+        ids = ids[np.r_[True, np.diff(ids) != 0]]
+        some = [~np.isnat(a[c]) for c in ("start", "finish")]
+        has = np.unique(p)
+        days = np.stack([np.concatenate([p[some[0]], p[some[1]], has]), np.concatenate([micros("start")[some[0]], micros("finish")[some[1]], np.full(len(has), at)])])
+        days = days[:, np.lexsort(days[::-1])]
+        days = days[:, np.r_[True, (np.diff(days) != 0).any(0)]]
+        hours = a["duration"].astype(float)
+        known = np.flatnonzero(some[0] & some[1] & (hours > 0))
+        for name, b, e, h in (("planned", "start", "finish", hours), ("overrun", "risk_start", "risk_end", a["risk_duration"].astype(float)), ("earned", "start", "finish", hours * a["pct"].astype(float) / 100)):
+            h = h[known]
+            k, amount, period = swept(p[known], micros(b)[known], micros(e)[known], np.stack([h, h * a["rate"][known].astype(float)], axis=1), *days)
+            for i, curve in enumerate((name, f"{name}_cost")):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[days[0, k]], pa.int64()), pa.repeat(pa.scalar(curve), len(k)), pa.array(days[1, k]).cast(target.field("day").type), pa.array(shown(amount[:, i])), pa.array(shown(period[:, i]))], schema=target)
+
+    return project_apply(rows, kernel, schema, ["start", "finish", "risk_start", "risk_end", "duration", "risk_duration", "pct", "rate"], "start")
 
 
 def progress_curves(acts: DataFrame, days: DataFrame, status: str) -> DataFrame:

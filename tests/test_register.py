@@ -210,3 +210,32 @@ def test_all_families_of_a_large_project(spark):
     whole, some = selection.families(paths, most=None).toPandas(), selection.families(paths).toPandas()
     assert whole.family.sum() == paths.count() == 6_765 and not whole.duplicated(["branch", "deviation"]).any()
     assert sorted(whole.place) == list(range(1, len(whole) + 1)) and some.family.sum() < 6_765
+
+
+def test_forecasted_curves_against_accrual(spark):
+    rng = np.random.default_rng(4)
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=int(n))
+    some = lambda x, share=0.15: None if rng.random() < share else x
+    rows = []
+    for p, n in [(1, 1), (2, 3), (3, 5), (4, 90), (5, 400), (6, 2)] + [(p, 4) for p in range(10, 30)]:
+        for _ in range(n):
+            s = rng.integers(0, 60) * 24
+            rows.append((p, some(day(s)), some(day(s + rng.integers(-2, 9) * 12)), some(day(s + 30), 0.6), some(day(s + 100), 0.6), some(float(rng.integers(0, 20))), some(float(rng.integers(0, 30)), 0.5), some(float(rng.integers(0, 101))), some(float(rng.integers(-1, 5)))))
+    rows += [(7, None, day(3), None, None, 5.0, None, 10.0, 2.0), (8, None, None, None, None, None, None, None, None), (9, day(0), day(0), None, None, 4.0, None, 50.0, None)]
+    a = spark.createDataFrame(rows, "project_id long, start timestamp_ntz, finish timestamp_ntz, risk_start timestamp_ntz, risk_end timestamp_ntz, duration double, risk_duration double, pct double, cost_rate double")
+    got = {(r.project_id, r.curve, r.day): (r.amount, r.period) for r in evm.forecasted_curves(a, "2024-01-20 00:00:00").collect()}
+    windows, days = [], {}
+    for p, s, f, rs, re, h, rh, pct, rate in rows:
+        days.setdefault(p, {dt.datetime(2024, 1, 20)}).update(x for x in (s, f) if x)
+        if s and f and h:
+            rate = rate if rate and rate > 0 else 1.0
+            for name, b, e, v in (("planned", s, f, h), ("overrun", rs or s, re or f, rh or h), ("earned", s, f, h * (pct or 0) / 100)):
+                windows += [(p, name, b, e, v), (p, f"{name}_cost", b, e, v * rate)]
+    w = spark.createDataFrame(windows, "project_id long, curve string, begin timestamp_ntz, end timestamp_ntz, amount double")
+    d = spark.createDataFrame([(p, x) for p, own in days.items() for x in own], "project_id long, day timestamp_ntz")
+    want = {(r.project_id, r.curve, r.day): (r.amount, r.period) for r in evm.accrual(w, d).collect()}
+    assert {5, 9} <= {k[0] for k in want} and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(v, abs=1e-8) for k, v in want.items())
+    plan = evm.forecasted_curves(a, "2024-01-20 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan  # windows and days were shuffled, sorted and joined before
+    assert evm.forecasted_curves(a.limit(0), "2024-01-20 00:00:00").count() == 0
