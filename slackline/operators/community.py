@@ -117,33 +117,80 @@ def agreement(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(ha + hb > 1e-12, 2 * mutual / np.maximum(ha + hb, 1e-12), 1.0)
 
 
+def typical(p: np.ndarray, pair: np.ndarray, gamma: float, runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(community of each node, stability of each network) of the most typical of several runs; p: number of each node's network, nodes of a
+    network stand together. A run's order of a network's nodes comes from the run's number and the network's size alone."""
+    n, size = len(p), np.bincount(p)
+    first = np.cumsum(size) - size
+    found = []
+    for r in range(runs):
+        order = np.arange(n)
+        if r:
+            turn = {m: np.random.default_rng(r).permutation(m) for m in np.unique(size).tolist()}
+            order = np.concatenate([f + turn[m] for f, m in zip(first.tolist(), size.tolist())])
+        place = np.empty(n, int)
+        place[order] = np.arange(n)
+        found.append(louvain(n, place[pair[:, 0]], place[pair[:, 1]], np.ones(len(pair)), p[order], gamma)[place])
+    mean = np.stack([np.mean([agreement(p, x, y) for j, y in enumerate(found) if j != i] or [np.ones(len(size))], axis=0) for i, x in enumerate(found)])
+    best = mean.round(12).argmax(0)
+    label = np.choose(best[p], found)
+    begin = pd.DataFrame({"p": p, "c": label, "i": np.arange(n)}).groupby(["p", "c"]).i.transform("min").to_numpy()
+    return pd.Series(begin).groupby(p).rank(method="dense").to_numpy(int) - 1, mean.max(0)
+
+
+def alike(p: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, bytes]]]:
+    """(first network that is the same, for each network; what these first ones are by their numbers: size and links). Networks are the same
+    if they have as many nodes and the same links between them, by place. pair holds links of nodes, each once."""
+    size = np.bincount(p)
+    first = np.cumsum(size) - size
+    of = p[pair[:, 0]]
+    code = (pair[:, 0] - first[of]) * size[of] + pair[:, 1] - first[of]
+    order = np.lexsort((code, of))
+    code, cut = code[order], np.searchsorted(of[order], np.arange(len(size) + 1)).tolist()
+    seen: dict = {}
+    same = np.array([seen.setdefault((m, code[cut[i] : cut[i + 1]].tobytes()), i) for i, m in enumerate(size.tolist())])
+    return same, {i: key for key, i in seen.items()}
+
+
+#: Activities of networks whose communities a task remembers.
+REMEMBERED = 500_000
+
+
 def multi_resolution(acts: DataFrame, links: DataFrame, ladder: tuple[float, ...] | None = None, runs: int = 3) -> DataFrame:
     """(project_id, resolution, stability, id, community): at each resolution the most typical of several runs.
 
     Runs differ in the order in which nodes move (from a seed); the one whose mean agreement with the others is
-    largest stays (ties: the first). Without a ladder, projects below 500 activities take its first two steps.
+    largest stays (ties: the first). Without a ladder, projects below 500 activities take its first two steps. A project's result
+    depends on its own network alone, so a network that a task has many times is run once.
     """
+    known: dict[tuple[int, tuple[int, bytes]], tuple[np.ndarray, float]] = {}
 
     def kernel(a, e):
-        p, n = a.p.to_numpy(), len(a)
-        size = np.bincount(p)[p]
+        p = a.p.to_numpy()
+        size = np.bincount(p)
+        first = np.cumsum(size) - size
         pair = pd.DataFrame({"a": np.minimum(e.src, e.dst), "b": np.maximum(e.src, e.dst)}).drop_duplicates().to_numpy(int)
-        out = []
+        same, what = alike(p, pair)
+        if sum(len(label) for label, _ in known.values()) > REMEMBERED:
+            known.clear()
         for step, gamma in enumerate(ladder or LADDER):
-            found = []
-            for r in range(runs):
-                order = np.arange(n) if r == 0 else np.random.default_rng(r).permutation(n)
-                place = np.empty(n, int)
-                place[order] = np.arange(n)
-                found.append(louvain(n, place[pair[:, 0]], place[pair[:, 1]], np.ones(len(pair)), p[order], gamma)[place])
-            mean = np.stack([np.mean([agreement(p, x, y) for j, y in enumerate(found) if j != i] or [np.ones(int(p.max()) + 1)], axis=0) for i, x in enumerate(found)])
-            best = mean.round(12).argmax(0)
-            label = np.choose(best[p], found)
-            first = pd.DataFrame({"p": p, "c": label, "i": np.arange(n)}).groupby(["p", "c"]).i.transform("min").to_numpy()
-            number = pd.Series(first).groupby(p).rank(method="dense").to_numpy(int) - 1
-            level = a.assign(resolution=gamma, stability=mean.max(0)[p], community=number)
-            out.append(level if ladder or step < 2 else level[size >= 500])
-        return pd.concat(out)
+            asked = np.ones(len(size), bool) if ladder or step < 2 else size >= 500
+            own = np.unique(same[asked])
+            new = [i for i in own.tolist() if (step, what[i]) not in known]
+            if new:
+                codes = [np.frombuffer(what[i][1], int) for i in new]
+                m = size[new]
+                begin = np.repeat(np.cumsum(m) - m, [len(c) for c in codes])
+                x, y = np.divmod(np.concatenate(codes), np.repeat(m, [len(c) for c in codes]))
+                label, stability = typical(np.repeat(np.arange(len(new)), m), np.stack([x + begin, y + begin], axis=1), gamma, runs)
+                known.update({(step, what[i]): (part, float(v)) for i, part, v in zip(new, np.split(label, np.cumsum(m)[:-1]), stability)})
+            if len(own):
+                found = [known[step, what[i]] for i in own.tolist()]
+                label, begin = np.concatenate([x for x, _ in found]), np.cumsum(size[own]) - size[own]
+                rows = np.flatnonzero(asked[p])
+                which = np.searchsorted(own, same[p[rows]])
+                stable = np.array([v for _, v in found])[which]
+                yield pd.DataFrame({"project_id": a.project_id.to_numpy()[rows], "resolution": gamma, "stability": stable, "id": a.id.to_numpy()[rows], "community": label[begin[which] + rows - first[p[rows]]]})
 
     return graph_apply(acts, links, kernel, "project_id long, resolution double, stability double, id string, community int", ["seq"])
 

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slackline.operators import analytics, cpm, ensemble, evm, health, inputs, longest, sanitise
+from slackline.operators import analytics, community, cpm, ensemble, evm, health, inputs, longest, sanitise
+from slackline.plans.core_queries import schedule
 from slackline.plans.grouped import graph_apply
 
 ACT = "project_id long, seq int, id string, duration double, risk double, resource_count double"
@@ -308,3 +309,26 @@ def test_mined_parts_shuffle_paths_once(spark):
     r, = found.collect()
     assert (r.part, r.length, r.support, r.supp, r.junc) == ("b>c>d", 3, 3, 0.75, 1.0)
     assert r.sal == pytest.approx(1 / 9) and r.maxpen == pytest.approx(1 / 3)
+
+
+def test_resolutions_depend_on_a_projects_network_alone(spark):
+    shapes = [random_links(k, 0, 5 + k % 3, 9) for k in range(4)]
+    ends = [np.array([r[1:3] for r in s]) for s in shapes]
+    p, pair, want = [], [], []
+    for i in range(40):
+        k = i % 4
+        n = 8
+        edges = np.unique(np.sort(ends[k], axis=1), axis=0)
+        edges = edges[edges[:, 0] != edges[:, 1]]
+        want.append(community.typical(np.zeros(n, int), edges, 1.0, 3))
+        pair.append(edges + len(p))
+        p += [i] * n
+    p, pair = np.array(p), np.concatenate(pair)
+    same, _ = community.alike(p, pair)
+    assert same.tolist() == [i % 4 for i in range(40)]
+    label, stability = community.typical(p, pair, 1.0, 3)
+    assert all((label[p == i] == want[i][0]).all() and stability[i] == pytest.approx(want[i][1][0]) for i in range(40))
+    acts, lnk = schedule(spark, "/root/testdata/sf0.001")
+    all_of = community.multi_resolution(acts, lnk).where("project_id % 5 = 0").collect()
+    some = community.multi_resolution(acts.where("project_id % 5 = 0"), lnk).collect()
+    assert some and {tuple(r) for r in all_of} == {tuple(r) for r in some}  # orders came from the chunk before
