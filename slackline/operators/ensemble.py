@@ -5,31 +5,29 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from slackline.plans.grouped import graph_apply
 
-from .cpm import acyclic, by_level
+from .cpm import Net, merge
 from .montecarlo import BLOCK, drawn, factors
 
 
-def sampled_passes(a, e, durations: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sampled_passes(a, e, durations: np.ndarray, net: Net | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(total float of every activity, makespan of every project) in each sample."""
-    e, level = acyclic(len(a), e)
-    src, dst, p = e.src.to_numpy(int), e.dst.to_numpy(int), a.p.to_numpy()
-    rel = e.rel.str.upper().to_numpy(object) if len(e) else np.zeros(0, object)
-    w = e.lag.to_numpy(float)[:, None] + np.where(~np.isin(rel, ["SS", "SF"])[:, None], durations[src], 0.0) - np.where(np.isin(rel, ["FF", "SF"])[:, None], durations[dst], 0.0)
+    net = net or Net(a, e)
+    src, dst = net.src, net.dst
+    w = net.lag + np.where(net.from_finish[:, None], durations[src], 0.0) - np.where(net.to_finish[:, None], durations[dst], 0.0)
     es = np.zeros_like(durations)
-    for g in by_level(level, dst):
-        np.maximum.at(es, dst[g], es[src[g]] + w[g])
-    span = np.full((int(p.max()) + 1, durations.shape[1]), -np.inf)
-    np.maximum.at(span, p, es + durations)
-    ls = span[p] - durations
-    for g in reversed(by_level(level, src)):
-        np.minimum.at(ls, src[g], ls[dst[g]] - w[g])
+    for g, alone in net.forward:
+        merge(np.maximum, es, dst[g], es[src[g]] + w[g], alone)
+    span = net.by_project(np.maximum, es + durations, -np.inf)
+    ls = span[net.p] - durations
+    for g, alone in net.backward:
+        merge(np.minimum, ls, src[g], ls[dst[g]] - w[g], alone)
     return ls - es, span
 
 
@@ -105,30 +103,42 @@ OBJECTIVES = ("schedule", "cost", "risk", "quality")
 KAPPA, RHO, PENALTY = 20.0, 0.05, 50.0
 
 
-def optimum(a, e, weights: dict[str, float], rounds: int, crash: float, rate: float, utopia: dict[str, np.ndarray] | None = None, bounds: dict[str, np.ndarray] | None = None):
-    """(durations, objectives of the plan, value of the plan, value reached, objectives reached), each project of the chunk for itself.
+def optimum(a, e, weights: list[dict[str, float]], rounds: int, crash: float, rate: float, utopia: dict[str, np.ndarray] | None = None, bounds: dict[str, np.ndarray] | None = None, net: Net | None = None):
+    """(durations, objectives of the plan, value of the plan, value reached, objectives reached), each project of the chunk and each weight
+    vector (a column) for itself.
 
     With a utopia (the best of each objective by project) the value is the augmented Tchebycheff one: a soft maximum of the weighted, scaled
     distances and a share of their sum. bounds (of schedule or cost by project; not above 0: none) add a quadratic penalty.
     """
-    share = {k: v / sum(weights.values()) for k, v in weights.items() if k in OBJECTIVES}
-    p, n = a.p.to_numpy(), int(a.p.max()) + 1
-    base = np.nan_to_num(a.duration.to_numpy(float))
-    risk, res = a.risk.to_numpy(float) * 10, np.maximum(a.resource_count.to_numpy(float), 1)
-    low = base * (1 - crash)
-
-    def measured(d):
-        tf, span = sampled_passes(a, e, d[:, None])
-        tf, span = tf[:, 0], span[:, 0]
-        crit = 2 - np.clip(tf / np.maximum(span[p], 1e-9), 0, 1)
-        cut = np.where(base > 0, (base - d) / np.where(base > 0, base, 1), 0)
-        f = {"schedule": span, "cost": np.bincount(p, rate * res * d, n), "risk": np.bincount(p, risk * crit * d, n), "quality": np.bincount(p, cut * cut * base, n)}
-        g = {"schedule": (np.abs(tf) < 1e-9).astype(float), "cost": rate * res, "risk": risk * crit, "quality": -2 * cut}
+    net = net or Net(a, e)
+    keys = [k for k in dict.fromkeys(k for v in weights for k in v) if k in OBJECTIVES]
+    share = {k: np.array([v.get(k, 0.0) / sum(v.values()) for v in weights]) for k in keys}
+    p, each = net.p, lambda x: net.by_project(np.add, x, 0.0)
+    column = lambda x: np.repeat(np.asarray(x, float)[:, None], len(weights), axis=1)
+    base = column(np.nan_to_num(a.duration.to_numpy(float)))
+    risk, res = a.risk.to_numpy(float)[:, None] * 10, np.maximum(a.resource_count.to_numpy(float), 1)[:, None]
+    low, safe = base * (1 - crash), np.where(base > 0, base, 1)
+
+    def measured(d, wanted):
+        """Those objectives, and their slopes by duration."""
+        f, g = {}, {}
+        tf, span = sampled_passes(a, e, d, net) if {"schedule", "risk"} & wanted else (None, None)
+        if "schedule" in wanted:
+            f["schedule"], g["schedule"] = span, (np.abs(tf) < 1e-9).astype(float)
+        if "cost" in wanted:
+            f["cost"], g["cost"] = each(rate * res * d), rate * res
+        if "risk" in wanted:
+            crit = 2 - np.clip(tf / np.maximum(span[p], 1e-9), 0, 1)
+            f["risk"], g["risk"] = each(risk * crit * d), risk * crit
+        if "quality" in wanted:
+            cut = np.where(base > 0, (base - d) / safe, 0)
+            f["quality"], g["quality"] = each(cut * cut * base), -2 * cut
         return f, g
 
-    first, g = measured(base)
+    used = {*keys, *(bounds or {})}
+    first, g = measured(base, set(OBJECTIVES))
     scale = {k: np.maximum(np.abs(first[k]), 1) for k in share}
-    limits = {k: np.where(b > 0, b, np.inf) for k, b in (bounds or {}).items()}
+    limits = {k: np.where(b > 0, b, np.inf)[:, None] for k, b in (bounds or {}).items()}
 
     def valued(f, g):
         """Value of each project and its slope by duration."""
@@ -149,17 +159,17 @@ def optimum(a, e, weights: dict[str, float], rounds: int, crash: float, rate: fl
 
     before, grad = valued(first, g)
     d, best = base.copy(), before
-    step = np.full(n, 1.0) * np.bincount(p, base, n) / np.maximum(np.bincount(p, np.abs(grad), n), 1e-12)
+    step = np.ones_like(best) * each(base) / np.maximum(each(np.abs(grad)), 1e-12)
     for _ in range(rounds):
         new = np.clip(d - step[p] * grad, low, base)
-        value, grad2 = valued(*measured(new))
+        value, grad2 = valued(*measured(new, used))
         better = value < best - 1e-12
         s, y = new - d, grad2 - grad
-        sy, ss = np.bincount(p, s * y, n), np.bincount(p, s * s, n)
+        sy, ss = each(s * y), each(s * s)
         step = np.where(better, np.where(sy > 1e-15, ss / np.maximum(sy, 1e-15), 2 * step), step / 4)
         take = better[p]
         d, grad, best = np.where(take, new, d), np.where(take, grad2, grad), np.where(better, value, best)
-    return d, first, before, best, measured(d)[0]
+    return d, first, before, best, measured(d, set(OBJECTIVES))[0]
 
 
 def optimise(rows: DataFrame, links: DataFrame, weights: dict[str, float], rounds: int = 20, crash: float = 0.2, rate: float = 85.0, tchebycheff: bool = False, max_makespan: str | None = None, max_budget: str | None = None) -> DataFrame:
@@ -178,38 +188,51 @@ def optimise(rows: DataFrame, links: DataFrame, weights: dict[str, float], round
         if not len(a):
             return a.assign(**{c.split()[0]: 0.0 for c in ("optimised", "initial_value", "value", *objectives.split(", "))})
         p = a.p.to_numpy()
-        utopia = {k: optimum(a, e, {k: 1.0}, rounds, crash, rate)[4][k] for k in OBJECTIVES if weights.get(k)} if tchebycheff else None
+        net = Net(a, e)
+        utopia = {k: optimum(a, e, [{k: 1.0}], rounds, crash, rate, net=net)[4][k] for k in OBJECTIVES if weights.get(k)} if tchebycheff else None
         bounds = {k: np.nan_to_num(a.groupby("p")[c].first().to_numpy(float)) for k, c in limits.items()}
-        d, first, before, best, last = optimum(a, e, weights, rounds, crash, rate, utopia, bounds)
-        out = a.assign(optimised=d, initial_value=before[p], value=best[p])
+        d, first, before, best, last = optimum(a, e, [weights], rounds, crash, rate, utopia, bounds, net)
+        out = a.assign(optimised=d[:, 0], initial_value=before[p, 0], value=best[p, 0])
         for k in OBJECTIVES:
-            out[f"{k}_before"], out[f"{k}_after"] = first[k][p], last[k][p]
+            out[f"{k}_before"], out[f"{k}_after"] = first[k][p, 0], last[k][p, 0]
         return out
 
     objectives = ", ".join(f"{k}_{t} double" for k in OBJECTIVES for t in ("before", "after"))
     return graph_apply(rows, links, kernel, f"project_id long, id string, duration double, optimised double, initial_value double, value double, {objectives}", ["seq", "duration", "risk", "resource_count", *limits.values()])
 
 
+#: Weight vectors that a kernel takes at once.
+VECTORS = 30
+
+
+def undominated(points: np.ndarray) -> np.ndarray:
+    """Which points of each group (groups, points, objectives) no other of it equals or betters everywhere and betters somewhere."""
+    out = np.ones(points.shape[:2], bool)
+    for i in range(points.shape[1]):
+        other = points[:, i : i + 1]
+        out &= ~((other <= points).all(2) & (other < points).any(2))
+    return out
+
+
 def pareto_sweep(rows: DataFrame, links: DataFrame, vectors: list[dict[str, float]], rounds: int = 20, crash: float = 0.2, rate: float = 85.0) -> DataFrame:
     """Objectives of each project's optimum for each weight vector that no other vector's optimum dominates.
 
-    One pass over the networks: a kernel takes all vectors of its chunk, one after the other, and the utopia is what the best of
-    them reach in each objective (columns utopia_...).
+    One pass over the networks: a kernel takes all vectors of its chunk, some side by side, and the utopia is what the best of
+    them reach in each objective (columns utopia_...). The front is found there too: a project's points are together.
     """
-    from .solver import pareto_front
 
     def kernel(a, e):
         if not len(a):
             return
-        one = np.unique(a.p.to_numpy(), return_index=True)[1]
-        for i, v in enumerate(vectors):
-            last = optimum(a, e, v, rounds, crash, rate)[4]
-            yield pd.DataFrame({"project_id": a.project_id.to_numpy()[one], "vector": i, **last})
-
-    found = graph_apply(rows, links, kernel, "project_id long, vector int, " + ", ".join(f"{k} double" for k in OBJECTIVES), ["seq", "duration", "risk", "resource_count"])
-    w = Window.partitionBy("project_id")
-    found = found.withColumns({f"utopia_{k}": F.min(k).over(w) for k in OBJECTIVES})
-    return pareto_front(found, "project_id", list(OBJECTIVES))
+        net = Net(a, e)
+        ids = a.project_id.to_numpy()[np.unique(net.p, return_index=True)[1]]
+        last = [optimum(a, e, vectors[i : i + VECTORS], rounds, crash, rate, net=net)[4] for i in range(0, len(vectors), VECTORS)]
+        points = np.stack([np.concatenate([x[k] for x in last], axis=1) for k in OBJECTIVES], axis=2)
+        best = points.min(1)
+        g, v = np.nonzero(undominated(points))
+        yield pd.DataFrame({"project_id": ids[g], "vector": v, **{k: points[g, v, i] for i, k in enumerate(OBJECTIVES)}, **{f"utopia_{k}": best[g, i] for i, k in enumerate(OBJECTIVES)}})
+
+    return graph_apply(rows, links, kernel, "project_id long, vector int, " + ", ".join(f"{k} double" for k in (*OBJECTIVES, *(f"utopia_{k}" for k in OBJECTIVES))), ["seq", "duration", "risk", "resource_count"])
 
 
 def constraints(measured: DataFrame, max_makespan: Column, max_budget: Column, weight: float = 50.0) -> DataFrame:

@@ -332,3 +332,17 @@ def test_resolutions_depend_on_a_projects_network_alone(spark):
     all_of = community.multi_resolution(acts, lnk).where("project_id % 5 = 0").collect()
     some = community.multi_resolution(acts.where("project_id % 5 = 0"), lnk).collect()
     assert some and {tuple(r) for r in all_of} == {tuple(r) for r in some}  # orders came from the chunk before
+
+
+def test_front_in_the_kernel(spark):
+    points = np.random.default_rng(3).integers(0, 4, (30, 7, 3)).astype(float)
+    got = ensemble.undominated(points)
+    for g, own in enumerate(points):
+        assert got[g].tolist() == [not any((o <= x).all() and (o < x).any() for o in own) for x in own]
+    a, e = network(spark, {1: np.arange(2, 11), 2: np.arange(3, 9)}, random_links(1, 1, 9, 14) + random_links(2, 2, 6, 8))
+    vectors = [{"schedule": w, "quality": 1 - w} for w in np.linspace(0.05, 0.95, 33).tolist()]
+    front = ensemble.pareto_sweep(a, e, vectors)
+    assert "collect_list" not in front._jdf.queryExecution().optimizedPlan().toString()  # every point was compared by interpreted expressions before
+    rows = front.collect()
+    assert {r.project_id for r in rows} == {1, 2} and max(r.vector for r in rows) > 29
+    assert all(min(r[k] for r in rows if r.project_id == p) >= r[f"utopia_{k}"] for p in (1, 2) for k in ensemble.OBJECTIVES for r in rows if r.project_id == p)
