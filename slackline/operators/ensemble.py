@@ -16,18 +16,23 @@ from .cpm import Net, merge
 from .montecarlo import BLOCK, drawn, factors
 
 
-def sampled_passes(a, e, durations: np.ndarray, net: Net | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(total float of every activity, makespan of every project) in each sample."""
-    net = net or Net(a, e)
+def early(net: Net, durations: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(early start of every activity, weight of every link, makespan of every project) in each sample."""
     src, dst = net.src, net.dst
     w = net.lag + np.where(net.from_finish[:, None], durations[src], 0.0) - np.where(net.to_finish[:, None], durations[dst], 0.0)
     es = np.zeros_like(durations)
     for g, alone in net.forward:
         merge(np.maximum, es, dst[g], es[src[g]] + w[g], alone)
-    span = net.by_project(np.maximum, es + durations, -np.inf)
+    return es, w, net.by_project(np.maximum, es + durations, -np.inf)
+
+
+def sampled_passes(a, e, durations: np.ndarray, net: Net | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(total float of every activity, makespan of every project) in each sample."""
+    net = net or Net(a, e)
+    es, w, span = early(net, durations)
     ls = span[net.p] - durations
     for g, alone in net.backward:
-        merge(np.minimum, ls, src[g], ls[dst[g]] - w[g], alone)
+        merge(np.minimum, ls, net.src[g], ls[net.dst[g]] - w[g], alone)
     return ls - es, span
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from slackline.plans.grouped import graph_apply
 
 from .community import louvain
-from .ensemble import sampled_passes
-from .montecarlo import BLOCK, factors
+from .cpm import Net
+from .ensemble import early
+from .montecarlo import BLOCK, Draws
 
 #: Most activities of a project whose distances are made (fixed value); larger ones are split by modularity.
 SMALL = 2000
@@ -264,35 +265,86 @@ def joint_overruns(scoped: DataFrame, links: DataFrame, samples: int, rate: floa
     schema = "project_id long, cluster int, label string, n int, schedule_mean double, schedule_max double, cost_mean double, cost_max double, correlation double, schedule_p95 double, cost_p95 double"
 
     def kernel(a, e):
-        rows = []
-        if len(a) and samples >= 6:
-            d = np.nan_to_num(a.duration.to_numpy(float))[:, None]
-            p, res = a.p.to_numpy(), rate * np.maximum(np.nan_to_num(a.resource_count.to_numpy(float)), 1)[:, None]
-
-            def outcome(x):
-                cost = np.zeros((int(p.max()) + 1, x.shape[1]))
-                np.add.at(cost, p, res * x)
-                return np.stack([sampled_passes(a, e, x)[1], cost], axis=2)
-
-            base = np.maximum(outcome(d), 1e-9)
-            drawn = np.concatenate([outcome(d * factors(a, s, min(BLOCK, samples - s))) for s in range(0, samples, BLOCK)], axis=1)
-            for project, x in zip(a.project_id.drop_duplicates(), (drawn - base) / base):
-                rows += [(project, *r) for r in overrun_groups(x)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+        if not len(a) or samples < 6:
+            return
+        net, draws = Net(a, e), Draws(a)
+        d = np.nan_to_num(a.duration.to_numpy(float))[:, None]
+        res = rate * np.maximum(np.nan_to_num(a.resource_count.to_numpy(float)), 1)[:, None]
+
+        def outcome(x):
+            return [v.T for v in (early(net, x)[2], net.by_project(np.add, res * x, 0.0))]
+
+        base = [np.maximum(v, 1e-9) for v in outcome(d)]
+        drawn = [np.concatenate(v) for v in zip(*(outcome(d * draws(s, min(BLOCK, samples - s))) for s in range(0, samples, BLOCK)))]
+        rows = overruns(*((v - b) / b for v, b in zip(drawn, base)))
+        rows.insert(0, "project_id", a.project_id.drop_duplicates().to_numpy()[rows.pop("p")])
+        yield rows
 
     return graph_apply(scoped, links, kernel, schema, ["seq", "duration", "remaining", "risk", "fat", "resource_count"])
 
 
+def kmeans_each(s: np.ndarray, c: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+    """kmeans(x, k) of the points (s, c) of many projects at once, a column each: labels (points, projects)."""
+    each = np.arange(s.shape[1])
+    away = lambda at: (s - at[0]) ** 2 + (c - at[1]) ** 2
+    point = lambda i: (s[i, each], c[i, each])
+    centres = [point(away((s.mean(0), c.mean(0))).argmin(0))]
+    for _ in range(k - 1):
+        centres.append(point(np.min([away(m) for m in centres], axis=0).argmax(0)))
+    out, left = np.full(s.shape, -1), each  # left: the projects whose labels still change
+    at = np.array(centres)  # centres, coordinates, projects
+    for _ in range(rounds):
+        new = np.stack([away(m) for m in at]).argmin(0)
+        moves = (new != out[:, left]).any(0)
+        left, new, at, s, c = left[moves], new[:, moves], at[..., moves], s[:, moves], c[:, moves]
+        if not len(left):
+            break
+        out[:, left] = new
+        for i in range(k):
+            own = new == i
+            n = own.sum(0)
+            for j, v in enumerate((s, c)):
+                at[i, j] = np.where(n > 0, np.where(own, v, 0.0).sum(0) / np.maximum(n, 1), at[i, j])
+    return out
+
+
+NAMES = np.array(["cost_dominated", "coupled", "nominal", "schedule_dominated"], object)
+
+
+def overruns(s: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+    """Rows of joint_overruns, with p for the number of the project: overruns of schedule and cost (samples, projects)."""
+    each = np.arange(s.shape[1])
+    # different points, up to three: the first, one unlike it, one unlike both
+    other = (s != s[0]) | (c != c[0])
+    second = other.argmax(0)
+    third = (other & ((s != s[second, each]) | (c != c[second, each]))).any(0)
+    label, kinds = np.zeros(s.shape, int), 1 + other.any(0) + third
+    for k in (2, 3):
+        if (kinds == k).any():
+            label[:, kinds == k] = kmeans_each(s[:, kinds == k], c[:, kinds == k], k)
+    ds, dc = s - s.mean(0), c - c.mean(0)
+    flat = (np.ptp(s, axis=0) <= 1e-12) | (np.ptp(c, axis=0) <= 1e-12)
+    square = np.sqrt((ds * ds).sum(0)) * np.sqrt((dc * dc).sum(0))
+    r = np.where(flat, 0.0, np.clip((ds * dc).sum(0) / np.where(flat, 1.0, square), -1, 1))
+    p95 = [np.percentile(v, 95, axis=0) for v in (s, c)]
+    parts = []
+    for k in range(3):
+        own = label == k
+        n = own.sum(0)
+        p = np.flatnonzero(n)
+        mean = [np.where(own, v, 0.0).sum(0)[p] / n[p] for v in (s, c)]
+        top = [np.where(own, v, -np.inf).max(0)[p] for v in (s, c)]
+        name = np.select([mean[0] + mean[1] < 0.1, mean[0] > 1.5 * mean[1], mean[1] > 1.5 * mean[0]], [2, 3, 0], 1)
+        parts.append(np.stack([p, mean[0] + mean[1], name, n[p], mean[0], top[0], mean[1], top[1]]))
+    rows = np.concatenate(parts, axis=1)
+    rows = rows[:, np.lexsort(rows[::-1])]  # by project, then by mean overrun; ties by what follows
+    p = rows[0].astype(int)
+    first = np.flatnonzero(np.r_[True, np.diff(p) != 0])
+    cluster = np.arange(len(p)) - np.repeat(first, np.diff(np.r_[first, len(p)]))
+    found = {"p": p, "cluster": cluster, "label": NAMES[rows[2].astype(int)], "n": rows[3].astype(int), "schedule_mean": rows[4], "schedule_max": rows[5], "cost_mean": rows[6], "cost_max": rows[7]}
+    return pd.DataFrame(found | {"correlation": r[p], "schedule_p95": p95[0][p], "cost_p95": p95[1][p]})
+
+
 def overrun_groups(x: np.ndarray) -> list[tuple]:
     """Rows of joint_overruns for one project's overruns (samples, 2)."""
-    label = kmeans(x, min(3, len(np.unique(x, axis=0))))
-    flat = (np.ptp(x, axis=0) <= 1e-12).any()
-    r = 0.0 if flat else float(np.corrcoef(x.T)[0, 1])
-    p95 = np.percentile(x, 95, axis=0)
-    out = []
-    for own in (x[label == k] for k in np.unique(label)):
-        s, c = own.mean(0)
-        name = "nominal" if s + c < 0.1 else "schedule_dominated" if s > 1.5 * c else "cost_dominated" if c > 1.5 * s else "coupled"
-        out.append((name, len(own), float(s), float(own[:, 0].max()), float(c), float(own[:, 1].max()), r, float(p95[0]), float(p95[1])))
-    out.sort(key=lambda g: (g[2] + g[4], g))
-    return [(i, *g) for i, g in enumerate(out)]
+    return list(overruns(x[:, :1], x[:, 1:]).drop(columns="p").itertuples(index=False, name=None))

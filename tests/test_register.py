@@ -239,3 +239,21 @@ def test_forecasted_curves_against_accrual(spark):
     plan = evm.forecasted_curves(a, "2024-01-20 00:00:00")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Generate" not in plan  # windows and days were shuffled, sorted and joined before
     assert evm.forecasted_curves(a.limit(0), "2024-01-20 00:00:00").count() == 0
+
+
+def test_overruns_of_many_projects_at_once():
+    rng = np.random.default_rng(8)
+    s, c = rng.gamma(1.0, 0.3, (2, 40, 60))
+    s[:, 0], c[:, 0] = 0.0, 0.0
+    s[:, 1], c[:, 1] = np.arange(40) % 2, 0.5
+    s[:, 2], c[:, 2] = (np.arange(40) > 6) * 0.3, (np.arange(40) > 30) * 0.3
+    s[:, 3:20], c[:, 3:20] = s[:, 3:20].round(1), c[:, 3:20].round(1)
+    rows = grouping.overruns(s, c)
+    for i in range(60):
+        x = np.stack([s[:, i], c[:, i]], axis=1)
+        label = grouping.kmeans(x, min(3, len(np.unique(x, axis=0))))
+        own = rows[rows.p == i]
+        want = sorted((x[label == k].mean(0).sum(), (label == k).sum(), *x[label == k].max(0)) for k in np.unique(label))
+        assert own.cluster.tolist() == list(range(len(want)))
+        assert np.allclose([(r.schedule_mean + r.cost_mean, r.n, r.schedule_max, r.cost_max) for r in own.itertuples()], want)
+        assert np.allclose(own.correlation, 0.0 if i < 2 else np.corrcoef(x.T)[0, 1]) and np.allclose(own.cost_p95, np.percentile(c[:, i], 95))
