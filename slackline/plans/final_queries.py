@@ -80,7 +80,8 @@ pr AS (SELECT v.*, CASE WHEN actual_finish IS NOT NULL THEN duration WHEN p > 0
 
 
 def predictions(spark, sf_dir) -> DataFrame:
-    a = activities(spark, sf_dir)
+    """Sums are in order of seq: the SQL numbers activities by a window, and adds rows as that leaves them."""
+    a = activities(spark, sf_dir).withColumn("row", F.col("seq"))
     delay = evm.delay(evm.duration_weighted(a, STATUS_DATE), a, STATUS_DATE).select("project_id", "performance_delta", "slip_days")
     first = evm.initial_predictions(a.join(delay, "project_id"), STATUS_DATE)
     return calendar.add_days(first, work_calendar(spark), "predicted_start", "predicted_hours", CAL_DAY, "predicted_end")
