@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slackline.functions import reference_classes
 from slackline.operators import community, cpm, evm, montecarlo, outcomes, paths
 from slackline.plans.core_queries import BASE, PASSES, SQL as CORE_SQL, rounded, schedule
-from slackline.plans.more_queries import MCF, SAMPLES, summary_full
+from slackline.plans.more_queries import MCF_FULL, summary_full
 from slackline.sources.star import ACT_SQL, STATUS_DATE, activities, table
 from slackline.streaming import progress
 
@@ -72,15 +72,14 @@ def calibrated(s: DataFrame) -> DataFrame:
     return rounded(out, 6, "p50_calibrated", "p80_calibrated", "p95_calibrated")
 
 
-@query(f"{MCF}, c AS (SELECT project_id, expected, p50, p80, p95, CASE project_id % 3 WHEN 0 THEN 'rail' WHEN 1 THEN 'it_software' END AS rc FROM sm) SELECT project_id, rc AS reference_class, " + ", ".join(f"round(expected + (p{q} - expected) * CASE rc WHEN 'rail' THEN {a} WHEN 'it_software' THEN {b} ELSE 1 END, 6) AS p{q}_calibrated" for q, a, b in ((50, 1.15, 1.15), (80, 1.45, 1.50), (95, 1.95, 2.50))) + " FROM c")
+@query(f"{MCF_FULL}, c AS (SELECT project_id, expected, p50, p80, p95, CASE project_id % 3 WHEN 0 THEN 'rail' WHEN 1 THEN 'it_software' END AS rc FROM sm) SELECT project_id, rc AS reference_class, " + ", ".join(f"round(expected + (p{q} - expected) * CASE rc WHEN 'rail' THEN {a} WHEN 'it_software' THEN {b} ELSE 1 END, 6) AS p{q}_calibrated" for q, a, b in ((50, 1.15, 1.15), (80, 1.45, 1.50), (95, 1.95, 2.50))) + " FROM c")
 def mc_calibrated(spark, sf_dir):
-    a, e = schedule(spark, sf_dir)
-    return calibrated(montecarlo.summary(montecarlo.forecast(montecarlo.with_scope(a, STATUS_DATE), e, SAMPLES)))
+    return calibrated(summary_full(spark, sf_dir))
 
 
 @query()
 def mc_calibrated_full(spark, sf_dir):
-    return calibrated(summary_full(spark, sf_dir))
+    return mc_calibrated(spark, sf_dir)
 
 
 def by_type(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ def rows(spark, name):
     return registry.queries()[name](spark, SF).toPandas()
 
 
-@pytest.mark.parametrize("name, low, high", [("mc_forecast", "p80", "p95"), ("mc_teac", "teac_p80", "teac_p95")])
+@pytest.mark.parametrize("name, low, high", [("mc_forecast", "p80", "p95"), ("mc_teac", "teac_p80", "teac_p95"), ("mc_calibrated", "p80_calibrated", "p95_calibrated")])
 def test_percentiles_of_many_samples(spark, name, low, high):
     f = rows(spark, name)
     if name == "mc_calibrated":
