@@ -9,7 +9,7 @@ from slackline.functions import stats
 from slackline.operators import calendar, community, cpm, ensemble, evm, grouping, montecarlo, paths, sanitise, solver
 from slackline.plans.core_queries import DW, PASSES, rounded, schedule
 from slackline.plans.extra_queries import PATH_CTE
-from slackline.plans.more_queries import CAL_DAY, CAL_SQL, FULL_ENSEMBLE, MC, SAMPLES, work_calendar
+from slackline.plans.more_queries import CAL_DAY, CAL_SQL, FULL_ENSEMBLE, MC, SAMPLES, mc_sql, work_calendar
 from slackline.sources.star import ACT_SQL, STATUS_DATE, activities
 
 QUERIES: dict = {}
@@ -26,12 +26,7 @@ def query(sql: str | None = None):
     return add
 
 
-def sampled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    a, e = schedule(spark, sf_dir)
-    return montecarlo.multipliers(montecarlo.with_scope(a, STATUS_DATE), SAMPLES), e
-
-
-ENS = f"""{MC}, du AS (SELECT ml.project_id, ml.seq, ml.s, mult, duration * mult AS d FROM ml JOIN act USING (project_id, seq)),
+ENS = f"""{mc_sql(FULL_ENSEMBLE)}, du AS (SELECT ml.project_id, ml.seq, ml.s, mult, duration * mult AS d FROM ml JOIN act USING (project_id, seq)),
 lw AS (SELECT l.project_id, l.src, l.dst, a.s, CASE rel WHEN 'FS' THEN a.d + lag WHEN 'SS' THEN lag WHEN 'FF' THEN a.d + lag - b.d ELSE lag - b.d END AS w FROM lnk l JOIN du a ON a.project_id = l.project_id AND a.seq = l.src JOIN du b ON b.project_id = l.project_id AND b.seq = l.dst AND b.s = a.s),
 fw AS (SELECT project_id, s, seq, 0.0::DOUBLE AS t FROM du UNION SELECT f.project_id, f.s, l.dst, greatest(0, f.t + l.w) FROM fw f JOIN lw l ON l.project_id = f.project_id AND l.src = f.seq AND l.s = f.s),
 ea AS (SELECT project_id, s, seq, max(t) AS es FROM fw GROUP BY 1, 2, 3), sp AS (SELECT project_id, s, max(es + d) AS span FROM ea JOIN du USING (project_id, s, seq) GROUP BY 1, 2),
@@ -39,9 +34,10 @@ bw AS (SELECT project_id, s, seq, span - d AS t FROM du JOIN sp USING (project_i
 la AS (SELECT project_id, s, seq, min(t) AS ls FROM bw GROUP BY 1, 2, 3), al AS (SELECT * FROM du JOIN ea USING (project_id, s, seq) JOIN la USING (project_id, s, seq) JOIN sp USING (project_id, s))"""
 
 
-@query(f"{ENS} SELECT project_id, project_id || '-' || seq AS id, avg((abs(ls - es) < 1e-9)::INT) AS criticality, round(CASE WHEN var_pop(mult) * {SAMPLES} > 1e-12 AND var_pop(span) * {SAMPLES} > 1e-12 THEN covar_pop(mult, span) / sqrt(var_pop(mult) * var_pop(span)) ELSE 0 END, 6) + 0.0 AS cruciality FROM al GROUP BY project_id, seq")
+@query(f"{ENS} SELECT project_id, project_id || '-' || seq AS id, avg((abs(ls - es) < 1e-9)::INT) AS criticality, round(CASE WHEN var_pop(mult) * {FULL_ENSEMBLE} > 1e-12 AND var_pop(span) * {FULL_ENSEMBLE} > 1e-12 THEN covar_pop(mult, span) / sqrt(var_pop(mult) * var_pop(span)) ELSE 0 END, 6) + 0.0 AS cruciality FROM al GROUP BY project_id, seq")
 def risk_indices(spark, sf_dir):
-    return rounded(ensemble.risk_indices(*sampled(spark, sf_dir)), 6, "cruciality")
+    a, e = schedule(spark, sf_dir)
+    return rounded(ensemble.risk_indices_sampled(montecarlo.with_scope(a, STATUS_DATE), e, FULL_ENSEMBLE), 6, "cruciality")
 
 
 CAP = stats.cap("risk", "(remaining / 8e0)")
@@ -54,8 +50,7 @@ def extreme_activities(spark, sf_dir):
 
 @query()
 def risk_indices_full(spark, sf_dir):
-    a, e = schedule(spark, sf_dir)
-    return rounded(ensemble.risk_indices_sampled(montecarlo.with_scope(a, STATUS_DATE), e, FULL_ENSEMBLE), 6, "cruciality")
+    return risk_indices(spark, sf_dir)
 
 
 @query()

@@ -18,3 +18,8 @@ def test_percentiles_of_many_samples(spark, name, low, high):
         f = f[f.reference_class.isna()]  # its factors are 1
     assert (f[low] < f[high]).any()  # of four samples both are the third
     assert "range(500)" in registry.oracle_sql()[name]
+
+
+def test_shares_of_a_hundred_samples(spark):
+    c = rows(spark, "risk_indices").criticality
+    assert ((c * 4) % 1 > 0).any() and "range(100)" in registry.oracle_sql()["risk_indices"]
