@@ -9,7 +9,7 @@ from slackline.functions import stats
 from slackline.operators import calendar, community, cpm, ensemble, evm, grouping, montecarlo, paths, sanitise, solver
 from slackline.plans.core_queries import DW, PASSES, rounded, schedule
 from slackline.plans.extra_queries import PATH_CTE
-from slackline.plans.more_queries import CAL_DAY, CAL_SQL, FULL_ENSEMBLE, MC, SAMPLES, mc_sql, work_calendar
+from slackline.plans.more_queries import CAL_DAY, CAL_SQL, FULL_ENSEMBLE, mc_sql, work_calendar
 from slackline.sources.star import ACT_SQL, STATUS_DATE, activities
 
 QUERIES: dict = {}
@@ -43,9 +43,9 @@ def risk_indices(spark, sf_dir):
 CAP = stats.cap("risk", "(remaining / 8e0)")
 
 
-@query(f"{MC}, g AS (SELECT project_id, id, avg(mult) AS mean, stddev_pop(mult) AS sd, max(mult) AS top, avg((mult >= 0.95 * {CAP})::INT) AS cap_share FROM ml JOIN (SELECT id, risk FROM act) USING (id) GROUP BY 1, 2), f AS (SELECT project_id, id, cap_share, cap_share >= 0.1 AS black_swan, top > mean + 4 * sd AND top > 2 * mean AS dragon_king FROM g) SELECT * FROM f WHERE black_swan OR dragon_king")
+@query(f"{mc_sql(FULL_ENSEMBLE)}, g AS (SELECT project_id, id, avg(mult) AS mean, stddev_pop(mult) AS sd, max(mult) AS top, avg((mult >= 0.95 * {CAP})::INT) AS cap_share FROM ml JOIN (SELECT id, risk FROM act) USING (id) GROUP BY 1, 2), f AS (SELECT project_id, id, cap_share, cap_share >= 0.1 AS black_swan, top > mean + 4 * sd AND top > 2 * mean AS dragon_king FROM g) SELECT * FROM f WHERE black_swan OR dragon_king")
 def extreme_activities(spark, sf_dir):
-    return ensemble.extremes(montecarlo.with_scope(activities(spark, sf_dir), STATUS_DATE), SAMPLES, CAP)
+    return ensemble.extremes(montecarlo.with_scope(activities(spark, sf_dir), STATUS_DATE), FULL_ENSEMBLE, CAP)
 
 
 @query()
@@ -55,7 +55,7 @@ def risk_indices_full(spark, sf_dir):
 
 @query()
 def extreme_activities_full(spark, sf_dir):
-    return ensemble.extremes(montecarlo.with_scope(activities(spark, sf_dir), STATUS_DATE), FULL_ENSEMBLE, CAP)
+    return extreme_activities(spark, sf_dir)
 
 
 @query()

@@ -23,3 +23,8 @@ def test_percentiles_of_many_samples(spark, name, low, high):
 def test_shares_of_a_hundred_samples(spark):
     c = rows(spark, "risk_indices").criticality
     assert ((c * 4) % 1 > 0).any() and "range(100)" in registry.oracle_sql()["risk_indices"]
+
+
+def test_extremes_of_a_hundred_samples(spark):
+    e = rows(spark, "extreme_activities")
+    assert e.dragon_king.any() and (e.cap_share < 0.25).any() and "range(100)" in registry.oracle_sql()["extreme_activities"]
