@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slackline.functions import reference_classes
-from slackline.operators import community, cpm, evm, montecarlo, outcomes, paths
+from slackline.operators import community, cpm, evm, outcomes, paths
 from slackline.plans.core_queries import BASE, PASSES, SQL as CORE_SQL, rounded, schedule
 from slackline.plans.more_queries import MCF_FULL, summary_full
 from slackline.sources.star import ACT_SQL, STATUS_DATE, activities, table
